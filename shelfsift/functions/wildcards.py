@@ -14,10 +14,19 @@ def has_wildcard(pattern: str) -> bool:
     return "*" in pattern or "?" in pattern
 
 
+def wildcard_body(pattern: str) -> str:
+    return "".join(r"[^\n]*" if c == "*" else r"[^\n]" if c == "?" else re.escape(c) for c in pattern)
+
+
 def wildcard_regex(pattern: str) -> str:
     """Java regex of one pattern. A newline may follow the end, and ``*`` does not cross one."""
-    body = "".join(r"[^\n]*" if c == "*" else r"[^\n]" if c == "?" else re.escape(c) for c in pattern)
-    return f"(?iu)^{body}\\n?\\z"
+    return f"(?iu)^{wildcard_body(pattern)}\\n?\\z"
+
+
+def any_body(value, bodies) -> Column:
+    """Whether any of the regex bodies covers the whole value: one regex, however many bodies."""
+    unique = list(dict.fromkeys(bodies))
+    return col(value).rlike(f"(?iu)^(?:{'|'.join(unique)})\\n?\\z") if unique else F.lit(False)
 
 
 def wildcard_match(value, pattern: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -10,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.display import format_bytes, length_display, numbering_display, quality_display
-from ..functions.paths import ancestor_dirs, is_under, parent_dir, path_key, slashed
+from ..functions.paths import ancestor_dirs, parent_dir, path_key, slashed
 from ..functions.text import effective_title, is_blank, title_verified
-from ..functions.wildcards import any_of, has_wildcard, wildcard_match, wildcard_match_whole
+from ..functions.wildcards import any_body, any_of, has_wildcard, wildcard_body, wildcard_column_regex, wildcard_match, wildcard_match_whole
 from .categories import is_incomplete, media_kind
 
 # System folders left out by default.
@@ -37,37 +38,37 @@ def _trim(path: str) -> str:
     return path.rstrip("\\/").replace("\\", "/")
 
 
+def _below(root: str) -> str:
+    return re.escape(root) + r"(?:/[\s\S]*)?"
+
+
 def path_excluded(rules: Sequence[Exclusion], path="full_path") -> Column:
-    """Whether any rule covers a file. The rules are policy, so they become one scan-side predicate."""
+    """Whether any rule covers a file. The rules are policy, so they become one scan-side regex."""
 
-    def covers(rule: Exclusion) -> Column:
+    def bodies(rule: Exclusion) -> list[str]:
         root = _trim(rule.path)
         if not rule.path:
-            return F.lit(False)
+            return []
         if has_wildcard(rule.path):
-            here = wildcard_match(slashed(path), root)
-            return here | wildcard_match(slashed(path), root + "/*") if rule.include_subdirectories else here
-        if rule.include_subdirectories:
-            return is_under(path, F.lit(root))
-        return (path_key(parent_dir(path)) == root.upper()) | (path_key(path) == root.upper())
+            return [wildcard_body(root), *([wildcard_body(root + "/*")] if rule.include_subdirectories else [])]
+        return [_below(root) if rule.include_subdirectories else re.escape(root) + "(?:/[^/]*)?"]
 
-    return any_of(covers(rule) for rule in rules)
+    return any_body(slashed(path), [body for rule in rules for body in bodies(rule)])
 
 
 def descent_blocked(rules: Sequence[Exclusion], folder="folder") -> Column:
     """The same test on a folder, to leave out whole subtrees."""
 
-    def blocks(rule: Exclusion) -> Column:
+    def bodies(rule: Exclusion) -> list[str]:
         root = _trim(rule.path)
         if not rule.path or not rule.include_subdirectories:
-            return F.lit(False)
+            return []
         if has_wildcard(rule.path):
             bare = root[:-2] if root.endswith("/*") else root
-            patterns = dict.fromkeys([root, root + "/*", bare, bare + "/*"])
-            return any_of(wildcard_match(slashed(folder), p) for p in patterns)
-        return is_under(folder, F.lit(root))
+            return [wildcard_body(p) for p in (root, root + "/*", bare, bare + "/*")]
+        return [_below(root)]
 
-    return any_of(blocks(rule) for rule in rules)
+    return any_body(slashed(folder), [body for rule in rules for body in bodies(rule)])
 
 
 def path_exclusion(files: DataFrame, rules: Sequence[Exclusion]) -> DataFrame:
@@ -105,19 +106,13 @@ def rule_supersedes(rules: DataFrame) -> DataFrame:
     bare = F.regexp_replace("outer_key", r"/\*$", "")
     covered = reduce(
         lambda x, y: x | y,
-        [F.col("inner_key").rlike(_like_column(p)) for p in (F.col("outer_key"), F.concat("outer_key", F.lit("/*")), bare, F.concat(bare, F.lit("/*")))],
+        [F.regexp_like("inner_key", wildcard_column_regex(p)) for p in (F.col("outer_key"), F.concat("outer_key", F.lit("/*")), bare, F.concat(bare, F.lit("/*")))],
     )
     wild = outer.filter(F.col("outer_include_subdirectories") & F.col("outer_wild")).join(plain_inner, covered)
     columns = ["outer_path", "inner_path"]
     return same.select(*columns).unionByName(below.select(*columns)).unionByName(wild.select(*columns)).distinct()
 
 
-def _like_column(pattern: Column) -> Column:
-    from ..functions.wildcards import wildcard_column_regex
-
-    return wildcard_column_regex(pattern)
-
-
 def extension_ignored(rules: Sequence[str], extension="extension") -> Column:
     patterns = [rule.strip() for rule in rules if rule.strip()]
     return (F.length(extension) > 0) & any_of(wildcard_match_whole(extension, p) for p in patterns)

@@ -93,22 +93,24 @@ def find_owners(files: DataFrame) -> DataFrame:
     The main side is first reduced to the best file per (folder, season) and per folder, so a folder
     meets each extra with at most two rows whatever it holds.
     """
-    keyed = files.withColumn("_dirs", F.transform(ancestor_dirs("full_path", MAX_LINK_LEVELS), lambda d: F.upper(d)))
+    keyed = with_folder(files)
     mains = keyed.filter(
         (F.col("kind") == "Video") & ~counts_as_extra() & (F.col("video_category").isin("TvShow", "Movie") | claimed_as_main())
     )
-    # Combine per (own folder, season) before expanding to ancestors.
+    # Combine per (own folder, season) before climbing to the ancestors.
+    chain = ancestor_dirs(F.concat("folder_key", F.lit("/x")), MAX_LINK_LEVELS)
     pick = F.struct(-F.col("size_bytes"), "ord", "id")
-    nearest = mains.groupBy("_dirs", "season").agg(F.min(pick).alias("_pick"))
-    placed = nearest.select("season", "_pick", F.explode("_dirs").alias("dir"))
+    nearest = mains.groupBy("folder_key", "season").agg(F.min(pick).alias("_pick"))
+    placed = nearest.select("season", "_pick", F.explode(chain).alias("dir"))
     per_season = placed.groupBy("dir", "season").agg(F.min("_pick").alias("season_pick"))
     per_folder = placed.groupBy("dir").agg(F.min("_pick").alias("any_pick"))
-    extras = keyed.filter(counts_as_extra()).select("id", F.col("season").alias("_s"), F.posexplode("_dirs").alias("level", "dir"))
-    candidates = extras.join(per_folder, "dir")
-    scoped = F.when(F.col("_s") != 0, F.col("_s"))
-    found = candidates.withColumn("season", scoped).join(per_season, ["dir", "season"], "left")
-    owner = F.coalesce("season_pick.id", "any_pick.id")
-    return found.groupBy("id").agg(F.min_by(F.struct(owner.alias("owner_id"), "level"), "level").alias("_o")).select("id", "_o.*")
+    # Owners are found once per (folder, season) that holds extras, not once per extra.
+    extras = keyed.filter(counts_as_extra()).select("id", "folder_key", F.coalesce("season", F.lit(0)).alias("season"))
+    places = extras.select("folder_key", "season").distinct().select("folder_key", "season", F.posexplode(chain).alias("level", "dir"))
+    found = places.join(per_folder, "dir").join(per_season.filter("season <> 0"), ["dir", "season"], "left")
+    owner = F.struct(F.coalesce("season_pick.id", "any_pick.id").alias("owner_id"), "level")
+    nearest_owner = found.groupBy("folder_key", "season").agg(F.min_by(owner, "level").alias("_o"))
+    return extras.join(nearest_owner, ["folder_key", "season"]).select("id", "_o.owner_id", "_o.level")
 
 
 def link_extras(files: DataFrame) -> DataFrame:

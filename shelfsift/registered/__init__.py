@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("duplicates", "filters", "folders")
+TOPICS = ("duplicates", "filters", "folders", "titles")
 
 
 def load_all():

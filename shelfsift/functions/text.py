@@ -25,6 +25,9 @@ TENS = {
 _WORD = "|".join(sorted([*TENS, *UNITS], key=len, reverse=True))
 # A season or episode number in digits or in words.
 NUMBER = rf"(?:\d{{1,3}}|(?:{_WORD})(?:[\s\-](?:{_WORD}))?)"
+_LOW_UNIT = "|".join(sorted((w for w, v in UNITS.items() if 0 < v < 10), key=len, reverse=True))
+# The same where it has to mean something: tens may be followed by a unit, nothing else may.
+VALID_NUMBER = rf"(?:\d{{1,3}}|(?:{'|'.join(TENS)})[\s\-](?:{_LOW_UNIT})|(?:{_WORD}))"
 
 INVALID_NAME_CHARS = r'[\x00-\x1f"<>|:*?\\/]'
 WHITE = r"[\s\p{Z}]"
@@ -44,9 +47,14 @@ _NUMBERS = _number_table()
 
 def number_value(text) -> Column:
     """Integer of a number written in digits or words; null when it is neither."""
-    t = F.lower(F.trim(F.regexp_replace(col(text), r"[\s\-]+", " ")))
+    t = col(text)
+    spoken = F.lower(F.trim(F.regexp_replace(t, r"[\s\-]+", " ")))
     words = F.create_map(*[F.lit(x) for pair in _NUMBERS.items() for x in pair])
-    return F.coalesce(t.try_cast("int"), F.try_element_at(words, t))
+    return (
+        F.when(t.isNull() | (t == ""), None)
+        .when(t.rlike(r"^\s*\d+\s*$"), F.trim(t).try_cast("int"))
+        .otherwise(F.try_element_at(words, spoken))
+    )
 
 
 def strip(text) -> Column:

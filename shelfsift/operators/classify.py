@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import folder_names, stem_of
-from ..functions.text import NUMBER, is_blank, number_value, strip, title_case
+from ..functions.text import NUMBER, VALID_NUMBER, is_blank, number_value, strip, title_case
 from .categories import auto_category, keeps_numbering, media_kind
 
 SEP = "\x01"
@@ -42,7 +42,7 @@ NOISE = (
     r"\b(?:1080p|720p|2160p|480p|4k|x\.?26[45]|h\.?26[45]|avc|hevc|vp9|av1|xvid|divx|10bit|8bit|\d{3,4}x\d{3,4}|"
     r"bluray|brrip|bdrip|dvdrip|webrip|web-?dl|hdtv|aac|ac3|dts|hdr|remux|proper|repack|internal|extended|uncut)\b"
 )
-SEASON_OF = rf"(?iU)^(?:(?:season|series|s)|[\s\S]*?[\s,;:\-–—_]+(?:season|series))\s*[._\-]?\s*({NUMBER})\s*$"
+SEASON_OF = rf"(?iU)^\s*(?:(?:season|series|s)|[\s\S]*?[\s,;:\-–—_]+(?:season|series))\s*[._\-]?\s*({VALID_NUMBER})\s*$"
 SEASON_FOLDER = rf"(?iU)^(?:season|series|s)\s*[._\-]?\s*{NUMBER}$"
 SEASON_SUFFIX = rf"(?iU)[\s,;:\-–—_]+(?:season|series)\s*[._\-]?\s*{NUMBER}\s*$"
 RESOLUTIONS = (240, 360, 480, 540, 576, 720)
@@ -76,10 +76,10 @@ def hit(match: Column) -> Column:
 
 def mask_noise(name: Column) -> Column:
     """The name with every encoding token overwritten at equal length, so positions stay."""
-    pieces = F.regexp_extract_all(name, F.lit(rf"(?iU)({NOISE}|[\s\S])"), F.lit(1))
+    # Fencing the tokens makes every second piece of the split one of them.
+    pieces = F.split(F.regexp_replace(name, rf"(?iU)({NOISE})", f"{SEP}$1{SEP}"), SEP)
     hidden = lambda t: F.regexp_replace(F.regexp_replace(t, r"[^0-9]", MASK), r"[0-9]", MASK_DIGIT)
-    masked = F.array_join(F.transform(pieces, lambda t: F.when(F.length(t) > 1, hidden(t)).otherwise(t)), "")
-    return F.when(name.rlike(rf"(?iU){NOISE}"), masked).otherwise(name)
+    return F.array_join(F.transform(pieces, lambda t, i: F.when(i % 2 == 1, hidden(t)).otherwise(t)), "")
 
 
 def plausible_year(latest: int) -> str:
@@ -96,8 +96,10 @@ def clean_title(name: Column, cut: Column, capitalise: bool = True) -> Column:
     return title_case(text) if capitalise else text
 
 
-def season_of_folder(folder: Column) -> Column:
-    return number_value(F.regexp_extract(strip(folder), SEASON_OF, 1))
+def season_from_path(folders: Column) -> Column:
+    """Season of the nearest folder that names one."""
+    named = F.transform(folders, lambda n: F.regexp_extract(n, SEASON_OF, 1))
+    return number_value(F.get(F.filter(named, lambda n: n != ""), 0))
 
 
 def is_extra_folder(folder: Column) -> Column:
@@ -165,43 +167,57 @@ def classify_files(files: DataFrame, as_of_year: int, capitalise: bool = True, p
     video = F.col("kind") == "Video"
     df = df.withColumns({
         "_se": matched(name, SEASON_EPISODE, 3),
-        "_xf": matched(name, X_FORMAT, 3),
         "_year": matched(masked, plausible_year(as_of_year + 1), 1),
         "_any_year": matched(masked, ANY_YEAR, 1),
-        "_fseason": F.get(F.filter(F.transform(folders, season_of_folder), lambda s: s.isNotNull()), 0),
+        "_fseason": season_from_path(folders),
     })
+    # Each later step of the ladder is only tried on names the earlier ones left open.
+    no = lambda c: ~F.coalesce(hit(F.col(c)), F.lit(False))
     df = df.withColumns({
         "_year": F.when(hit(F.col("_year")), F.col("_year")).otherwise(F.col("_any_year")),
-        "_se": F.when(hit(F.col("_se")), F.col("_se")).otherwise(matched(name, SEASON_EPISODE_WORDS, 3)),
+        "_sw": F.when(no("_se"), matched(name, SEASON_EPISODE_WORDS, 3)),
     })
-    spaced, dashed = matched(masked, SPACED, 3), matched(masked, DASHED, 3)
-    in_folder = F.col("_fseason").isNotNull()
-    df = df.withColumn("_sp", F.when(hit(spaced), spaced).when(hit(dashed), dashed).otherwise(matched(masked, BRACKETED, 3)))
+    df = df.withColumn("_xf", F.when(no("_se") & no("_sw"), matched(name, X_FORMAT, 3)))
+    left = video & no("_se") & no("_sw") & no("_xf")
+    df = df.withColumn("_sp", F.when(left, matched(masked, SPACED, 3)))
+    df = df.withColumn("_sp", F.when(left & no("_sp"), matched(masked, DASHED, 3)).otherwise(F.col("_sp")))
+    df = df.withColumn("_sp", F.when(left & no("_sp"), matched(masked, BRACKETED, 3)).otherwise(F.col("_sp")))
+    in_folder = left & no("_sp") & F.col("_fseason").isNotNull()
     df = df.withColumns({
         "_bare": F.when(in_folder, F.regexp_extract(strip(name), r"(?U)^(\d{1,2})$", 1).try_cast("int")),
         "_lead": F.when(in_folder, F.regexp_extract(strip(name), r"(?U)^(\d{1,3})\s*[.\-–—_)]\s*\S", 1).try_cast("int")),
         "_mark": F.when(in_folder, matched(name, EPISODE_ONLY, 2)),
-        "_word": matched(name, SEASON_WORD, 1),
-        "_y4": _first_code(
+        "_word": F.when(left & no("_sp"), matched(name, SEASON_WORD, 1)),
+    })
+    coded = left & no("_sp") & no("_word")
+    df = df.withColumn(
+        "_y4",
+        F.when(coded & hit(F.col("_any_year")), _first_code(
             masked, YEAR_THEN_CODE, r"(\d+)$",
             lambda c: F.when(F.length(c) == 4, ~c.cast("int").isin(*RESOLUTIONS_4) & ~c.cast("int").between(1900, 2099))
             .otherwise(~c.cast("int").isin(*RESOLUTIONS)) & ~c.endswith("00"),
-        ),
-        "_c4": _first_code(masked, FOUR_DIGITS, r"(\d+)$", lambda c: ~c.cast("int").isin(*RESOLUTIONS_4) & ~c.endswith("00")),
-        "_c3": _first_code(masked, THREE_DIGITS, r"(\d+)$", lambda c: ~c.cast("int").isin(*RESOLUTIONS) & ~c.endswith("00")),
-    })
+        )),
+    )
+    undated = coded & no("_year")
+    df = df.withColumn("_c4", F.when(undated, _first_code(masked, FOUR_DIGITS, r"(\d+)$", lambda c: ~c.cast("int").isin(*RESOLUTIONS_4) & ~c.endswith("00"))))
+    df = df.withColumn(
+        "_c3",
+        F.when(undated & F.col("_c4").isNull(), _first_code(masked, THREE_DIGITS, r"(\d+)$", lambda c: ~c.cast("int").isin(*RESOLUTIONS) & ~c.endswith("00"))),
+    )
     positive = lambda c: F.when(F.col(c) > 0, F.col(c))
-    mark_episode = F.when(hit(F.col("_mark")), number_value(F.get("_mark", 1)))
+    mark_episode = F.when(hit(F.col("_mark")), F.get("_mark", 1).try_cast("int"))
     df = df.withColumns({
         "_lead": positive("_lead"),
         "_mark_e": mark_episode,
     })
     df = df.withColumn("_fe", F.coalesce(positive("_bare"), F.col("_lead"), F.col("_mark_e")))
 
-    def numbered(match: str) -> Column:
+    digits = lambda text: text.try_cast("int")
+
+    def numbered(match: str, number=digits) -> Column:
         m = F.col(match)
-        start = number_value(F.get(m, 1 + 1))
-        return _found("TvShow", number_value(F.get(m, 1)), start, _run(start, number_value(F.get(m, 3))), F.length(F.get(m, 0)))
+        start = number(F.get(m, 2))
+        return _found("TvShow", number(F.get(m, 1)), start, _run(start, digits(F.get(m, 3))), F.length(F.get(m, 0)))
 
     def _found(category, season, episode, end, cut, episode_name=None) -> Column:
         as_int = lambda v: (F.lit(None) if v is None else v).cast("int")
@@ -216,8 +232,10 @@ def classify_files(files: DataFrame, as_of_year: int, capitalise: bool = True, p
     y4 = _code(F.regexp_extract("_y4", r"(\d+)$", 1))
     compact = F.coalesce("_c4", "_c3")
     compact_at = F.regexp_instr(masked, F.concat(F.lit("(?<![0-9])"), compact, F.lit("(?![0-9])"))) - 1
-    folder_end = F.when(F.col("_mark_e") == F.col("_fe"), _run(F.col("_fe"), number_value(F.get("_mark", 2))))
-    by_name = F.when(hit(F.col("_se")), numbered("_se")).when(hit(F.col("_xf")), numbered("_xf"))
+    folder_end = F.when(F.col("_mark_e") == F.col("_fe"), _run(F.col("_fe"), F.get("_mark", 2).try_cast("int")))
+    by_name = (
+        F.when(hit(F.col("_se")), numbered("_se")).when(hit(F.col("_sw")), numbered("_sw", number_value)).when(hit(F.col("_xf")), numbered("_xf"))
+    )
     nothing = _found("Unknown", None, None, None, F.lit(-1))
     as_video = (
         by_name.when(hit(F.col("_sp")), numbered("_sp"))

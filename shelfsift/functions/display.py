@@ -57,7 +57,8 @@ def quality_display(kind="kind", quality="quality") -> Column:
 def describe_seconds(seconds) -> Column:
     s = F.bround(F.abs(col(seconds)), 0).cast("bigint")
     return (
-        F.when(s == 1, F.lit("1 second"))
+        F.when(s.isNull(), None)
+        .when(s == 1, F.lit("1 second"))
         .when(s < 60, F.concat(s.cast("string"), F.lit(" seconds")))
         .when(s < 3600, F.format_string("%d:%02d", F.floor(s / 60), s % 60))
         .otherwise(F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import folder_names, stem_of
+from ..functions.staging import staged
 from ..functions.text import NUMBER, VALID_NUMBER, is_blank, number_value, strip, title_case
 from .categories import auto_category, keeps_numbering, media_kind
 
@@ -162,7 +163,7 @@ def classify_files(files: DataFrame, as_of_year: int, capitalise: bool = True, p
         "_name": stem_of("file_name"),
         "_folders": folder_names("full_path"),
     })
-    df = df.withColumn("_masked", mask_noise(F.col("_name")))
+    df = staged(df, {"_masked": mask_noise(F.col("_name"))})
     name, masked, folders = F.col("_name"), F.col("_masked"), F.col("_folders")
     video = F.col("kind") == "Video"
     df = df.withColumns({
@@ -247,7 +248,7 @@ def classify_files(files: DataFrame, as_of_year: int, capitalise: bool = True, p
         .otherwise(nothing)
     )
     as_other = by_name.otherwise(nothing)
-    df = df.withColumn("_f", F.when(video, as_video).otherwise(as_other))
+    df = staged(df, {"_f": F.when(video, as_video).otherwise(as_other)})
     found = F.col("_f")
     fills = video & F.col("_fseason").isNotNull() & found["episode"].isNotNull() & found["season"].isNull()
     df = df.withColumns({
@@ -255,11 +256,11 @@ def classify_files(files: DataFrame, as_of_year: int, capitalise: bool = True, p
         "_category": F.when(fills, "TvShow").when(video, found["category"]).otherwise(F.col("video_category")),
         "_title": clean_title(name, found["cut"], capitalise),
     })
-    df = df.withColumn("_extra", F.when(video, extra_category(name, folders, F.col("_season"), F.col("_category"))))
+    df = staged(df, {"_extra": F.when(video, extra_category(name, folders, F.col("_season"), F.col("_category")))})
     useless = is_blank("_title") | F.col("_title").rlike(r"(?U)^[\d\s]*$")
     from_path = title_from_path(folders)
     path_title = title_case(from_path) if capitalise else from_path
-    df = df.withColumns({
+    df = staged(df, {
         "year": F.when(year_hit, F.get("_year", 1).cast("int")),
         "video_category": F.coalesce("_extra", "_category"),
         "parsed_title": F.when(video & (found["episode_name"] | useless), F.coalesce(path_title, F.col("_title"))).otherwise(F.col("_title")),
@@ -270,9 +271,8 @@ def classify_files(files: DataFrame, as_of_year: int, capitalise: bool = True, p
     })
     keeps = ~video | keeps_numbering(auto_category())
     typed = F.col("numbering_manual")
-    numbers = {c: F.when(typed, F.col(f"_old.{c}")).when(keeps, F.col(c)) for c in ("season", "episode", "episode_end")}
     return df.withColumn("_keeps", keeps).withColumns(
-        {c: F.when(typed, F.col(f"_old.{c}")).when(F.col("_keeps"), F.col(c)) for c in numbers}
+        {c: F.when(typed, F.col(f"_old.{c}")).when(F.col("_keeps"), F.col(c)) for c in ("season", "episode", "episode_end")}
     ).select(*kept)
 
 

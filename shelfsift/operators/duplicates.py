@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.display import format_bytes, numbering_display
+from ..functions.staging import staged
 from ..functions.text import effective_title, has_hash, is_blank, is_extra, strip, title_key
 from .categories import auto_category
 
@@ -60,7 +61,7 @@ def claimed_identity(category: Column) -> Column:
 
 
 def _with_identity(files: DataFrame, category: Column | None) -> DataFrame:
-    keyed = files.withColumn("title_group", claimed_identity(auto_category() if category is None else category))
+    keyed = staged(files, {"title_group": claimed_identity(auto_category() if category is None else category)})
     return keyed.filter(F.col("title_group").isNotNull())
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.display import numbering_display, quality_display
 from ..functions.paths import base_name, extension_of, is_under, parent_dir, path_key, slashed, stem_of, trim_slashes
+from ..functions.staging import staged
 from ..functions.text import INVALID_NAME_CHARS, effective_title, is_blank, letter_bucket, not_blank, sanitize, sort_name, strip
 from ..functions.wildcards import any_of
 from ..operators.classify import SEASON_FOLDER
@@ -135,7 +136,7 @@ def plan_directory(files: DataFrame, library: Library, existing_dirs: DataFrame
         .when(category.isin(*FILMS), F.when(titled, film))
         .otherwise(other)
     )
-    return df.withColumn("planned_dir", planned).drop("_base", "_title", "_buckets", "_show")
+    return staged(df, {"planned_dir": planned}).drop("_base", "_title", "_buckets", "_show")
 
 
 def existing_show_folder(df: DataFrame, existing_dirs: DataFrame) -> DataFrame:
@@ -242,7 +243,7 @@ def plan_file_name(library: Library) -> Column:
 
 def plan_paths(files: DataFrame, library: Library, existing_dirs: DataFrame | None = None) -> DataFrame:
     """Attach planned_dir, planned_name and planned_path."""
-    placed = plan_directory(files, library, existing_dirs).withColumn("planned_name", plan_file_name(library))
+    placed = staged(plan_directory(files, library, existing_dirs), {"planned_name": plan_file_name(library)})
     path = F.when(F.col("planned_dir").isNotNull(), F.concat_ws("/", "planned_dir", "planned_name"))
     return placed.withColumn("planned_path", path)
 
@@ -263,7 +264,8 @@ def filing_state(planned: DataFrame, library: Library) -> DataFrame:
     )
     at_planned = F.coalesce(path_key("full_path") == path_key("planned_path"), F.lit(False))
     filed = F.col("under_root") & (F.col("planned_path").isNull() | F.col("at_planned_path") | F.coalesce(beside, F.lit(False)))
-    return planned.withColumns({"under_root": under_library(library.roots()), "at_planned_path": at_planned}).withColumn("correctly_filed", filed)
+    located = staged(planned, {"under_root": under_library(library.roots()), "at_planned_path": at_planned})
+    return staged(located, {"correctly_filed": filed})
 
 
 # --- collisions --------------------------------------------------------------------------------------
@@ -381,7 +383,7 @@ def rename_proposals(files: DataFrame, previous_title: str | None = None) -> Dat
         text = F.concat(sanitize(_cut(stem, found, F.length(previous), current)), extension)
         swapped = F.when((previous != "") & (current != "") & (previous != current) & (found > 0) & (F.length(text) > F.length(extension)), text)
     proposed = F.coalesce(by_scheme, swapped, in_front)
-    return files.withColumn("proposed_name", proposed).filter("proposed_name IS NOT NULL").select(
+    return staged(files, {"proposed_name": proposed}).filter("proposed_name IS NOT NULL").select(
         "id", F.col("file_name").alias("current_name"), "proposed_name",
         F.concat(parent_dir("full_path"), F.lit("/"), F.col("proposed_name")).alias("proposed_path"),
         (F.col("file_name") != F.col("proposed_name")).alias("will_change"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("duplicates", "filters", "folders", "titles")
+TOPICS = ("duplicates", "filters", "folders", "titles", "planning")
 
 
 def load_all():

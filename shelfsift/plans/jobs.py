@@ -12,6 +12,7 @@ from ..functions.staging import staged
 from ..functions.text import effective_title, has_hash, is_blank, is_extra, strip, title_key
 from ..operators.skew import first_by
 from ..operators.survivorship import choose_by_rules, length_rank, library_preference, quality_of, rank_order
+from ..session import ensure_checkpoint_dir
 from .destinations import Library
 
 
@@ -59,7 +60,11 @@ def plan_review(files: DataFrame, library: Library) -> DataFrame:
 
 def plan_jobs(files: DataFrame, library: Library) -> DataFrame:
     """One row per job: kind, display, category, members and distinct contents."""
-    rows = job_files(files, library).filter("reason IS NULL")
+    return jobs_of(job_files(files, library).filter("reason IS NULL"))
+
+
+def jobs_of(rows: DataFrame) -> DataFrame:
+    """The jobs of rows that already carry job_key and content_key."""
     # First per content, so a hot job is reduced before its contents are counted.
     head = F.struct(strip(effective_title()).alias("t"), numbering_display().alias("n"), "year", "category")
     per_content = rows.groupBy("job_key", "content_key").agg(
@@ -134,7 +139,10 @@ def settle_jobs(files: DataFrame, library: Library, same_content: Column | None
     """
     rows = job_files(files, library).filter("reason IS NULL")
     rows = rows.withColumn("library_rank", library_preference(F.col("correctly_filed"), F.col("under_root"), F.col("planned_dir")))
-    jobs = plan_jobs(files, library)
+    # Jobs, candidates and both judgements read these rows; planning them once is worth a written copy.
+    ensure_checkpoint_dir(files.sparkSession)
+    rows = rows.checkpoint()
+    jobs = jobs_of(rows)
     candidates = job_candidates(rows).join(jobs.select("job_key", "job_kind", F.col("category").alias("job_category")), "job_key")
     plain = candidates.filter("job_kind <> 'Rivals'").select("job_key", "job_kind", F.col("id").alias("keeper_id"), F.lit(None).cast("string").alias("reason"))
     rivals = candidates.filter("job_kind = 'Rivals'")

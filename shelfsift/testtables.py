@@ -106,15 +106,16 @@ SELECT pos, tconst, title_type, primary_title, start_year, end_year, genres FROM
 """
 
 _EVENT_FILES = """
-SELECT event_id, ts, concat('/inbox/u', CAST(user_id AS STRING), '/', event_type, ' ', CAST(user_id % 10 AS STRING), ' S01E0',
+SELECT event_id, {ts} AS ts, concat('/inbox/u', CAST(user_id AS STRING), '/', event_type, ' ', CAST(user_id % 10 AS STRING), ' S01E0',
        CAST(user_id % 9 + 1 AS STRING), CASE WHEN user_id % 11 = 0 THEN '.txt' WHEN user_id % 2 = 0 THEN '.mkv' ELSE '.mp3' END) AS full_path,
-       CAST(floor(value / 6) AS BIGINT) AS size_bytes
+       CAST(floor(value / 12) AS BIGINT) AS size_bytes
 FROM {events}
 """
 
+# Each vector gives three signatures: its sign bits, and two with vec_id % 10 bits flipped at one end.
 _FINGERPRINTS = """
-SELECT CAST(vec_id AS STRING) AS id, vec_id AS ord, 'Video' AS kind, frames,
-       CAST(CASE WHEN label = 0 THEN 0 ELSE 1200 + label * 20 END AS DOUBLE) AS duration_seconds
+SELECT CAST(vec_id * 3 + v AS STRING) AS id, vec_id * 3 + v AS ord, 'Video' AS kind, frames,
+       CAST(CASE WHEN label = 0 THEN 0 ELSE 1200 + label * 20 + v * 25 END AS DOUBLE) AS duration_seconds
 FROM {signs}
 """
 
@@ -137,21 +138,30 @@ def title_rows_sql(spark_dir: str | None = None) -> str:
     return _TITLE_ROWS.format(part=_table(spark_dir, "part"))
 
 
-def event_files_sql(spark_dir: str | None = None) -> str:
-    return _EVENT_FILES.format(events=_table(spark_dir, "events"))
+def event_files_sql(spark_dir: str | None = None, events: str | None = None) -> str:
+    # A month of events squeezed into 43 minutes, the pace at which a folder is polled.
+    if spark_dir:
+        ts = "timestamp_micros(CAST(1704067200000000 + floor((unix_micros(CAST(ts AS TIMESTAMP)) - 1704067200000000) / 1000) AS BIGINT))"
+    else:
+        ts = "make_timestamp(CAST(1704067200000000 + (epoch_us(ts) - 1704067200000000) // 1000 AS BIGINT))"
+    return _EVENT_FILES.format(events=events or _table(spark_dir, "events"), ts=ts)
 
 
 def fingerprints_sql(spark_dir: str | None = None) -> str:
     if spark_dir:
         signs = (
-            "(SELECT vec_id, label, array(aggregate(sequence(0, 63), 0L, (a, i) -> a | shiftleft("
-            "CAST(CASE WHEN embedding[i] > 0 THEN 1 ELSE 0 END AS BIGINT), i))) AS frames "
-            f"FROM {_table(spark_dir, 'embeddings')}) s"
+            "(SELECT vec_id, label, v, array(w ^ CASE v WHEN 0 THEN 0L WHEN 1 THEN shiftleft(1L, CAST(vec_id % 10 AS INT)) - 1 "
+            "ELSE shiftleft(shiftleft(1L, CAST(vec_id % 10 AS INT)) - 1, 20) END) AS frames FROM "
+            "(SELECT vec_id, label, explode(sequence(0, 2)) AS v, aggregate(sequence(0, 63), 0L, (a, i) -> a | shiftleft("
+            "CAST(CASE WHEN embedding[i] > 0 THEN 1 ELSE 0 END AS BIGINT), i)) AS w "
+            f"FROM {_table(spark_dir, 'embeddings')}) b) s"
         )
     else:
         signs = (
-            "(SELECT vec_id, label, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 "
-            "THEN CAST(1 AS HUGEINT) << i ELSE CAST(0 AS HUGEINT) END)) AS frames FROM embeddings) s"
+            "(SELECT vec_id, label, v, xor(w, CASE v WHEN 0 THEN 0::HUGEINT WHEN 1 THEN (1::HUGEINT << (vec_id % 10)) - 1 "
+            "ELSE ((1::HUGEINT << (vec_id % 10)) - 1) << 20 END) AS frames FROM "
+            "(SELECT vec_id, label, unnest(range(0, 3)) AS v, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 "
+            "THEN CAST(1 AS HUGEINT) << i ELSE CAST(0 AS HUGEINT) END)) AS w FROM embeddings) b) s"
         )
     return _FINGERPRINTS.format(signs=signs)
 

@@ -174,3 +174,14 @@ def _(spark, sf):
 def _(spark, sf):
     rows = L.list_files(spark, [sf], plugin_extensions=(".parquet",)).withColumns({"sha256": F.lit(""), "hash_failed": F.lit(False)})
     return L.hash_files(spark, rows, [sf]).select("file_name", "size_bytes", "sha256", "hash_failed")
+
+
+@register("read_catalog", "SELECT id, full_path, size_bytes, kind, year, season, title_manual, quality, duration_seconds, last_modified_utc, parsed_title FROM files")
+def _(spark, sf):
+    folder = _folder(spark, "xml")
+    rows = files(spark, sf).withColumn("last_modified_utc", F.date_format(F.col("last_modified_utc").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss"))
+    held = [F.col(c).alias(x) for c, x in C.XML_NAMES.items() if c in rows.columns]
+    rows.select(*held).write.format("xml").option("rootTag", "Catalog").option("rowTag", "File").save(folder)
+    return C.read_catalog(spark, folder).select(
+        "id", "full_path", "size_bytes", "kind", "year", "season", "title_manual", "quality", "duration_seconds", "last_modified_utc", "parsed_title"
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.titles import valid_year
+from .layout import spread
 
 # Column names of the raw files and where they stand when a header lacks them.
 BASICS = {"tconst": 0, "titleType": 1, "primaryTitle": 2, "startYear": 5, "endYear": 6, "genres": 8}
@@ -32,22 +33,22 @@ def _value(name: str) -> Column:
     return F.when((text != "") & (text != "\\N"), text)
 
 
-def read_title_basics(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+def read_title_basics(spark: SparkSession, path: str) -> DataFrame:
     """Raw titles (plain or gzip). A gzip file is one split, so it is spread out again after reading."""
     raw = _fields(spark, path, BASICS).select(
         "pos", "tconst", _value("titleType").alias("title_type"), F.when(F.col("primaryTitle") != "\\N", F.col("primaryTitle")).alias("primary_title"),
         valid_year(_value("startYear").try_cast("int")).alias("start_year"), valid_year(_value("endYear").try_cast("int")).alias("end_year"),
         _value("genres").alias("genres"),
     )
-    return raw.repartition(partitions or spark.sparkContext.defaultParallelism) if path.lower().endswith(".gz") else raw
+    return spread(raw, "tconst")
 
 
-def read_title_episodes(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+def read_title_episodes(spark: SparkSession, path: str) -> DataFrame:
     raw = _fields(spark, path, EPISODES).select(
         "pos", "tconst", F.col("parentTconst").alias("parent_tconst"),
         _value("seasonNumber").try_cast("int").alias("season"), _value("episodeNumber").try_cast("int").alias("episode"),
     )
-    return raw.repartition(partitions or spark.sparkContext.defaultParallelism) if path.lower().endswith(".gz") else raw
+    return spread(raw, "tconst")
 
 
 def write_title_extract(titles: DataFrame, episodes: DataFrame, codes: DataFrame, folder: str) -> None:

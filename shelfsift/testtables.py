@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.layout import spread
+
 _FILES = """
 SELECT id, ord, full_path, file_name, extension, kind, video_category, parsed_title, secondary_title,
        CASE WHEN ord % 5 = 0 THEN 'Drama, Comedy' ELSE '' END AS genres,
@@ -124,9 +126,8 @@ def _table(spark_dir: str | None, name: str) -> str:
     return f"parquet.`{spark_dir}/{name}.parquet`" if spark_dir else name
 
 
-def files_sql(spark_dir: str | None = None) -> str:
-    sha, bits = ("sha2", ", 256") if spark_dir else ("sha256", "")
-    return _FILES.format(sha=sha, bits=bits, lineitem=_table(spark_dir, "lineitem"), part=_table(spark_dir, "part"))
+def files_sql() -> str:
+    return _FILES.format(sha="sha256", bits="", lineitem="lineitem", part="part")
 
 
 def guide_sql(spark_dir: str | None = None) -> str:
@@ -167,7 +168,8 @@ def fingerprints_sql(spark_dir: str | None = None) -> str:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(files_sql(sf_dir))
+    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+    return spark.sql(_FILES.format(sha="sha2", bits=", 256", lineitem="{lines}", part="{parts}"), lines=rows, parts=table(spark, sf_dir, "part"))
 
 
 def guide(spark: SparkSession, sf_dir: str) -> DataFrame:

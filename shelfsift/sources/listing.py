@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.paths import base_name, extension_of
 from ..functions.text import has_hash
 from ..operators.categories import is_incomplete, media_kind
-from ..operators.filters import Exclusion, descent_block, extension_ignored, path_excluded
+from ..operators.filters import Exclusion, descent_block, descent_blocked, extension_ignored, path_excluded
+from ..session import ensure_checkpoint_dir
 
 CELL_LIMIT = 1 << 30
 
@@ -22,18 +24,61 @@ def _local(path: Column) -> Column:
     return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), r"^file:/+", "/")
 
 
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of folders; links are not followed and what cannot be read is passed over."""
+    for batch in batches:
+        rows = []
+        for folder in batch["folder"]:
+            try:
+                with os.scandir(folder) as entries:
+                    for entry in entries:
+                        try:
+                            if entry.is_symlink():
+                                continue
+                            stat = entry.stat(follow_symlinks=False)
+                            rows.append((entry.path, entry.is_dir(follow_symlinks=False), stat.st_size, stat.st_mtime_ns // 1000))
+                        except OSError:
+                            continue
+            except OSError:
+                continue
+        yield pd.DataFrame(rows, columns=["full_path", "is_folder", "size_bytes", "at_us"])
+
+
+def walk(spark: SparkSession, roots: Sequence[str], exclusions: Sequence[Exclusion] = ()) -> DataFrame:
+    """Files below mounted folders, one job per depth; a blocked folder is not entered.
+
+    Folders of one depth are scanned by all tasks. Unlike the file source this also sees empty files.
+    """
+    ensure_checkpoint_dir(spark)
+    level, found = spark.createDataFrame([(root,) for root in roots], "folder string"), None
+    while True:
+        entries = level.repartition("folder").mapInPandas(_scan, "full_path string, is_folder boolean, size_bytes bigint, at_us bigint").checkpoint()
+        files = entries.filter("NOT is_folder").select("full_path", "size_bytes", F.timestamp_micros("at_us").cast("timestamp_ntz").alias("last_modified_utc"))
+        found = files if found is None else found.unionByName(files)
+        level = entries.filter("is_folder").select(F.col("full_path").alias("folder")).filter(~descent_blocked(exclusions, "folder"))
+        if level.isEmpty():
+            return found
+
+
 def list_files(
     spark: SparkSession, roots: Sequence[str], exclusions: Sequence[Exclusion] = (), ignored: Sequence[str] = (), plugin_extensions: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Media and half-downloaded files below the roots; only metadata is read."""
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
-        .load(list(roots)).select(_local(F.col("path")).alias("full_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").cast("timestamp_ntz").alias("last_modified_utc"))
-    )
+    """Media and half-downloaded files below the roots; only metadata is read.
+
+    Mounted folders are walked. Roots with a scheme (object stores) are listed by the file source, which
+    leaves empty files out.
+    """
+    if any("://" in root for root in roots):
+        found = (
+            spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(list(roots))
+            .select(_local(F.col("path")).alias("full_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").cast("timestamp_ntz").alias("last_modified_utc"))
+        )
+        found = descent_block(found, exclusions) if exclusions else found
+    else:
+        found = walk(spark, roots, exclusions)
     named = found.withColumn("file_name", base_name("full_path")).withColumn("extension", extension_of("file_name"))
     named = named.withColumn("kind", media_kind(plugin_extensions=plugin_extensions)).filter((F.col("kind") != "Unknown") | is_incomplete())
-    kept = named.filter(~extension_ignored(ignored) & ~path_excluded(exclusions))
-    return descent_block(kept, exclusions) if exclusions else kept
+    return named.filter(~extension_ignored(ignored) & ~path_excluded(exclusions))
 
 
 def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -43,3 +43,30 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=1, keep=lambda ids: F.crc32(ids).alias("ids_crc32"))
+
+
+@query("op2_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import apply_policy, ledger
+
+    entries = apply_policy(ledger(documents(spark, sf_dir)), "base", name="base_kept")
+    return apply_policy(entries).withColumn("base_failed", ~F.col("base_kept")).drop("base_kept")
+
+
+@query("op9_winnowing")
+def winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnowing import as_text, edited, fingerprints, likeness
+
+    return edited(fingerprints(documents(spark, sf_dir))).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"),
+        as_text("own").alias("fingerprint"), as_text("edited").alias("edited_fingerprint"),
+        likeness("own_hashes", "edited_hashes").alias("near_edited"), likeness("own_hashes", "next_own_hashes").alias("near_next"),
+    )
+
+
+@query("op10_mixing")
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import Target, mix, word_count
+
+    mixed = mix(documents(spark, sf_dir).select("doc_id", "source", "text"), Target(max_repeats=1.4), word_count(F.col("text")))
+    return mixed.select("doc.doc_id", F.col("mix_source").alias("source"), "epoch", "tokens", "weight", "repeats", "mix_block", "mix_order")

@@ -70,3 +70,14 @@ def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     mixed = mix(documents(spark, sf_dir).select("doc_id", "source", "text"), Target(max_repeats=1.4), word_count(F.col("text")))
     return mixed.select("doc.doc_id", F.col("mix_source").alias("source"), "epoch", "tokens", "weight", "repeats", "mix_block", "mix_order")
+
+
+@query("op1_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    found = remove_repeats(documents(spark, sf_dir))
+    return found.select(
+        "doc.doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed_starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

@@ -105,15 +105,18 @@ def pack(
     earlier, every = Window.orderBy("kind").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     kinds = classes.withColumn("first_bin", F.coalesce(F.sum("bins").over(earlier), F.lit(0))).withColumn("base", F.sum("bins").over(every))
     places = parts.select("part", "kind", "front").join(kinds.select("kind", "bins", "first_bin", "base"), "kind")
-    numbered = pieces.join(places, ["part", "kind"]).withColumn("at", F.col("rank") + F.col("front"))
-    filled = numbered.filter(F.col("at") < F.col("bins") * F.col("kind")).select(
-        "doc_id", "start", "length", "doc_tokens", keep(F.col("ids")), (F.col("first_bin") + F.floor(F.col("at") / F.col("kind"))).alias("sequence_id"), "at"
-    )
+    at, whole = F.col("rank") + F.col("front"), F.col("bins") * F.col("kind")
+    # What is kept of the ids is taken in front of the join and the window, which move the rows.
+    narrow = pieces.select("part", "kind", "rank", "doc_id", "start", "length", "doc_tokens", keep(F.col("ids")))
+    filled = narrow.join(places, ["part", "kind"]).withColumn("at", at).filter(F.col("at") < whole)
+    numbered = filled.withColumn("sequence_id", F.col("first_bin") + F.floor(F.col("at") / F.col("kind"))).drop("part", "kind", "rank", "front", "bins", "first_bin", "base")
     # Offsets add up real lengths, so a bin has no gap between its pieces.
     in_bin = Window.partitionBy("sequence_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    set_down = filled.withColumn("offset", F.coalesce(F.sum("length").over(in_bin), F.lit(0))).drop("at")
-    left = numbered.filter(F.col("at") >= F.col("bins") * F.col("kind"))
-    return set_down.unionByName(_leftovers(left, capacity, keep))
+    set_down = numbered.withColumn("offset", F.coalesce(F.sum("length").over(in_bin), F.lit(0))).drop("at")
+    # Fewer than j pieces of class j are left: their keys are bounded by the capacity alone.
+    left = pieces.select("part", "kind", "rank").join(places, ["part", "kind"]).withColumn("at", at).filter(F.col("at") >= whole)
+    ids = pieces.join(F.broadcast(left.select("part", "kind", "rank", "at", "base")), ["part", "kind", "rank"])
+    return set_down.unionByName(_leftovers(ids, capacity, keep))
 
 
 def _leftovers(left: DataFrame, capacity: int, keep: Callable[[Column], Column]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, scratch_path
+from .common import documents, remainder, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,33 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc.doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed_starts").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op5_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, train
+
+    docs = documents(spark, sf_dir)
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    models = train(docs.filter(~held_out))
+    return identify(docs.select("doc_id", "text"), models).select(
+        "doc.doc_id", (remainder(F.col("doc.doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "bits", "rejected"
+    )
+
+
+@query("op7_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import grade, train
+
+    docs = documents(spark, sf_dir)
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return grade(docs.select("doc_id", "text"), model).select("doc.doc_id", "severity", "grade", "toxic")
+
+
+@query("op8_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score
+
+    held_out = remainder(F.col("doc_id"), 5) == 1
+    scored = score(documents(spark, sf_dir).select("doc_id", "text"), ~held_out)
+    return scored.select("doc.doc_id", (remainder(F.col("doc.doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -22,9 +22,11 @@ two of 10^12 different strings are taken as equal is below 10^-13.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +35,10 @@ LENGTH = 50
 LEAD = 16
 REACH = LENGTH - LEAD  # the farthest a chosen suffix starts behind its string's start
 #: Suffixes of a bucket, and text bytes of a block of documents, on average.
-BUCKET_SUFFIXES = 1 << 20
-BLOCK_BYTES = 16 << 20
+BUCKET_SUFFIXES = 1 << 19
+BLOCK_BYTES = 12 << 20
+#: Suffixes that are dealt, compared or looked around at once; bounds a task's memory.
+AT_ONCE = 1 << 15
 #: Sampled suffixes for each bucket that the splitters are taken from.
 SAMPLES_PER_BUCKET = 48
 CHUNK_BYTES = 1 << 19
@@ -161,6 +165,14 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _texts(table: pa.Table, text: str) -> pa.Array:
+    """The text cells of the rows carried in ``doc``."""
+    column = table.column("doc")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    return pa.compute.fill_null(column.field(text).cast(pa.large_binary()), b"")
+
+
 def _suffixes_of(doc: np.ndarray, column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
     """(leading bytes, doc, position, nearest, farthest) of each chunk of texts."""
     data, offsets = _bytes_of(column)
@@ -202,13 +214,18 @@ def _spread(splitters: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = list(_suffixes_of(batch.column(0).to_numpy(), batch.column(1)))
-            if not parts:
-                continue
-            lead, doc, at, near, far = (np.concatenate(x) for x in zip(*parts, strict=True))
-            rows = list(_dealt(splitters, lead, [lead, doc.astype("<i8"), at, near, far], doc))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
+            held: list[tuple[np.ndarray, ...]] = []
+            # Chunks are dealt out some hundred thousand suffixes at once.
+            for part in chain(_suffixes_of(batch.column(0).to_numpy(), batch.column(1)), [None]):
+                if part is not None:
+                    held.append(part)
+                    if sum(len(x[1]) for x in held) < 8 * AT_ONCE:
+                        continue
+                if held:
+                    lead, doc, at, near, far = (np.concatenate(x) for x in zip(*held, strict=True))
+                    held = []
+                    rows = list(_dealt(splitters, lead, [lead, doc.astype("<i8"), at, near, far], doc))
+                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
 
     return run
 
@@ -228,13 +245,13 @@ def _shared(blocks: int):
     return run
 
 
-def _surroundings(splitters: np.ndarray):
+def _surroundings(splitters: np.ndarray, text: str):
     """Texts of a block and its reported suffixes to blobs with the bytes around, by bucket."""
     reach = np.arange(-REACH, LENGTH)
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         doc, at, near, far = _read(found.column("blob").to_pylist(), *_FOUND)
-        owner, tags, (data, offsets) = texts.column("id").to_numpy(), texts.column("tag").to_numpy(), _bytes_of(texts.column("bytes"))
+        owner, tags, (data, offsets) = texts.column("id").to_numpy(), texts.column("tag").to_numpy(), _bytes_of(_texts(texts, text))
         order = np.argsort(doc, kind="stable")
         doc, at, near, far = doc[order], at[order].astype(np.int64), near[order], far[order]
         # Every row of an id takes the suffixes reported for the id; those outside of it fall away.
@@ -245,8 +262,8 @@ def _surroundings(splitters: np.ndarray):
         inside = (at >= far) & (at - near + LENGTH <= (offsets[1:] - offsets[:-1])[row])
         row, at, near, far = row[inside], at[inside], near[inside], far[inside]
         rows: list[tuple[int, bytes]] = []
-        for a in range(0, len(row), 1 << 17):
-            cut = slice(a, a + (1 << 17))
+        for a in range(0, len(row), 2 * AT_ONCE):
+            cut = slice(a, a + 2 * AT_ONCE)
             where = (offsets[row[cut]] + at[cut])[:, None] + reach
             seen = data[np.clip(where, 0, len(data) - 1)]
             seen[(reach < -far[cut].astype(int)[:, None]) | (reach >= LENGTH - near[cut].astype(int)[:, None])] = 0
@@ -282,8 +299,8 @@ def _settled(blocks: int):
         inner = bounds[1:-1]  # the first and the last range are left out
         low = 0
         while low + 1 < len(inner):
-            # Whole ranges, some ten thousand suffixes at once.
-            high = max(low + 1, int(np.searchsorted(inner, inner[low] + 40_000, side="right")) - 1)
+            # Whole ranges; a longer one is compared on its own.
+            high = max(low + 1, int(np.searchsorted(inner, inner[low] + AT_ONCE, side="right")) - 1)
             cut = slice(inner[low], inner[high])
             low = high
             sums, docs = _sums(seen[cut]), doc[cut]
@@ -314,8 +331,8 @@ def _edge_strings(table: pa.Table) -> pa.Table:
     (seen, doc, tag, at, near, far), bounds = _sorted_ranges(table)
     rows = np.unique(np.concatenate([np.arange(bounds[0], bounds[1]), np.arange(bounds[-2], bounds[-1])])) if len(doc) else np.zeros(0, int)
     parts: list[pa.Table] = []
-    for a in range(0, len(rows), 40_000):
-        own = rows[a : a + 40_000]
+    for a in range(0, len(rows), AT_ONCE):
+        own = rows[a : a + AT_ONCE]
         sums = _sums(seen[own])
         for shift in range(REACH + 1):
             pick = np.flatnonzero((near[own] <= shift) & (far[own] >= shift))
@@ -335,11 +352,15 @@ def _spans_of(blocks: int):
     return run
 
 
-def _cut_out(texts: pa.Table, spans: pa.Table) -> pa.Table:
+def _cut_out(text: str):
+    return lambda texts, spans: _without(texts, spans, text)
+
+
+def _without(texts: pa.Table, spans: pa.Table, text: str) -> pa.Table:
     doc, tag, begin, end = _read(spans.column("blob").to_pylist(), *_SPANS)
     order = np.lexsort((tag, doc))
     doc, tag, begin, end = doc[order], tag[order], begin[order].astype(np.int64), end[order].astype(np.int64)
-    data, offsets = _bytes_of(texts.column("bytes"))
+    data, offsets = _bytes_of(_texts(texts, text))
     owner, tags = texts.column("id").to_numpy(), texts.column("tag").to_numpy()
     low, high = np.searchsorted(doc, owner, side="left"), np.searchsorted(doc, owner, side="right")
     kept, starts, ends = [], [], []
@@ -381,10 +402,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     wanted = buckets * SAMPLES_PER_BUCKET * (REACH + 2) // 2
     splitters = _splitters(own.select("id", "bytes"), min(1.0, wanted / max(total, 1)), buckets)
 
-    blocked = own.select("doc", "id", "bytes", F.crc32("bytes").alias("tag"), _block_column(F.col("id"), blocks).alias("block")).repartition(blocks, "block")
+    blocked = own.select("doc", "id", F.crc32("bytes").alias("tag"), _block_column(F.col("id"), blocks).alias("block")).repartition(blocks, "block")
     suffixes = own.select("id", "bytes").mapInArrow(_spread(splitters), "bucket long, blob binary")
     shared = suffixes.groupBy("bucket").applyInArrow(_shared(blocks), CANDIDATES)
-    around = blocked.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_surroundings(splitters), "bucket long, blob binary")
+    around = blocked.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_surroundings(splitters, text), "bucket long, blob binary")
     spread = around.repartition(buckets, "bucket")
     settled = spread.groupBy("bucket").applyInArrow(_settled(blocks), CANDIDATES)
     strings = spread.groupBy("bucket").applyInArrow(_edge_strings, PENDING)
@@ -394,7 +415,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spans = settled.unionByName(late.mapInArrow(_spans_of(blocks), CANDIDATES))
     kind = docs.schema.simpleString()
     return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(
-        _cut_out, f"doc {kind}, n_bytes long, kept binary, removed_starts array<long>, removed_ends array<long>"
+        _cut_out(text), f"doc {kind}, n_bytes long, kept binary, removed_starts array<long>, removed_ends array<long>"
     )
 
 

@@ -29,11 +29,11 @@ SAMPLE_DOCS = 6_000
 SAMPLE_CHARS = 32_000_000
 GRADES = 3
 #: A word is telling if the two frequencies differ by so many standard errors.
-STANDS_OUT = 6.0
+STANDS_OUT = 4.5
 #: Features of the model, the most telling first.
 MAX_FEATURES = 512
 #: Lengths of word beginnings.
-STEMS = range(3, 9)
+STEMS = range(4, 10)
 #: Words whose features a worker remembers before it starts anew; never changes results.
 REMEMBERED = 500_000
 #: Documents are toxic from this expected severity on.
@@ -100,8 +100,8 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, levels: int, ridge: float = 1
         np.add.at(grad_t, np.minimum(grades, levels - 2), np.where(grades < levels - 1, lower / own, 0.0) / n)
         tails = np.cumsum(grad_t[::-1])[::-1]
         grad = np.concatenate([grad_w, [tails[0]], tails[1:] * gaps])
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        params += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        params += 0.2 / (1 + step / 100) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return params[:d], params[d] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(params[d + 1 :], -10, 10)))])
 
 
@@ -142,17 +142,16 @@ def fit(rows: list[tuple[str, int]], grades: int = GRADES) -> OrdinalModel:
     if not telling:
         return none
     index = {f: i for i, f in enumerate(telling)}
-    x, density = np.zeros((len(rows), len(telling))), np.zeros(len(rows))
+    x, strength = np.zeros((len(rows), len(telling))), np.zeros(len(rows))
     for i, (text, _) in enumerate(rows):
-        found = words(text)
-        for w in found:
+        for w in words(text):
             own = [index[f] for f in features_of(w) if f in index]
             if own:
                 x[i, own] += 1
-                density[i] += 1 / len(found)
+                strength[i] += 1
     x = np.log1p(x)
-    cuts = np.quantile(density[y == 1], [k / (grades - 1) for k in range(1, grades - 1)])
-    levels = np.where(y == 1, np.minimum(1 + np.searchsorted(cuts, density, side="right"), grades - 1), 0)
+    cuts = np.quantile(strength[(y == 1) & (strength > 0)], [k / (grades - 1) for k in range(1, grades - 1)])
+    levels = np.where(y == 1, np.minimum(1 + np.searchsorted(cuts, strength, side="right"), grades - 1), 0)
     w, t = fit_ordinal(x, levels, grades)
     return OrdinalModel(dict(zip(telling, w.tolist(), strict=True)), tuple(t.tolist()))
 

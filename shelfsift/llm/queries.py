@@ -111,3 +111,10 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 5) == 1
     scored = score(documents(spark, sf_dir).select("doc_id", "text"), ~held_out)
     return scored.select("doc.doc_id", (remainder(F.col("doc.doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op4_jaccard_join")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))

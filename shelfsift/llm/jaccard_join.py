@@ -72,10 +72,9 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np
         if n >= words:
             part = np.unique(code[at : at + n - words + 1])
         elif n:
-            whole = np.uint64(n)
-            for h in own[at : at + n]:
-                whole = _stir(np.array([whole * _MIX + h]))[0]
-            part = np.array([whole], np.uint64)
+            part = np.array([n], np.uint64)
+            for k in range(n):
+                part = _stir(part * _MIX + own[at + k])
         else:
             continue
         parts.append(part)

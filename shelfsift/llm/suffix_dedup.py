@@ -43,7 +43,7 @@ AT_ONCE = 1 << 15
 SAMPLES_PER_BUCKET = 48
 CHUNK_BYTES = 1 << 19
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.array(0x9E3779B97F4A7C15, np.uint64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _WIDTH = REACH + LENGTH
 _WEIGHTS = np.random.default_rng(20240917).integers(1, 1 << 63, (2, _WIDTH), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,7 +60,7 @@ def chosen_suffixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
     long = ends - starts >= LENGTH
     if not long.any():
         return none
-    value, power, width = data.astype(np.uint64) + np.uint64(1), _BASE, 1
+    value, power, width = data.astype(np.uint64) + np.uint64(1), _BASE.reshape(1), 1
     while width < LEAD:
         value = value[:-width] * power + value[width:]
         power, width = power * power, width * 2

@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 6_000
 SAMPLE_CHARS = 32_000_000
 GRADES = 3
-#: A word is telling if the two frequencies differ by so many standard errors.
-STANDS_OUT = 4.5
+#: A feature is telling if the log-likelihood ratio of its two frequencies is at least this, and
+#: the one among toxic documents is at least so many times the other.
+STANDS_OUT = 30.0
+TIMES = 4.0
 #: Features of the model, the most telling first.
 MAX_FEATURES = 512
 #: Lengths of word beginnings.
@@ -122,6 +124,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return fit(rows, grades)
 
 
+def _likelihood_ratio(n: int, a: int, m: int, b: int) -> float:
+    """Of n in a and m in b against one common frequency."""
+    p = (n + m) / (a + b)
+    part = lambda seen, expected: seen * math.log(seen / expected) if seen else 0.0
+    return 2 * (part(n, a * p) + part(a - n, a * (1 - p)) + part(m, b * p) + part(b - m, b * (1 - p)))
+
+
 def fit(rows: list[tuple[str, int]], grades: int = GRADES) -> OrdinalModel:
     """From (text, label) pairs."""
     y = np.array([1 if label > 0 else 0 for _, label in rows], np.int64)
@@ -137,8 +146,8 @@ def fit(rows: list[tuple[str, int]], grades: int = GRADES) -> OrdinalModel:
         if not toxic:  # of clean documents only what toxic ones hold matters
             frequency[0].update({f for w in set(words(text)) for f in features_of(w) if f in frequency[1]})
     clean, toxic = frequency
-    z = {f: (n / a - clean[f] / b) / math.sqrt((n + 1) / a**2 + (clean[f] + 1) / b**2) for f, n in toxic.items() if n > 2}
-    telling = sorted(sorted(f for f, s in z.items() if s > STANDS_OUT), key=lambda f: -z[f])[:MAX_FEATURES]
+    likelihood = {f: ratio for f, n in toxic.items() if n / a >= TIMES * clean[f] / b and (ratio := _likelihood_ratio(n, a, clean[f], b)) >= STANDS_OUT}
+    telling = sorted(sorted(likelihood), key=lambda f: -likelihood[f])[:MAX_FEATURES]
     if not telling:
         return none
     index = {f: i for i, f in enumerate(telling)}

@@ -86,6 +86,11 @@ def bitmap_bits(size: int) -> int:
     return max(LEAST_BITS, 1 << int(np.ceil(np.log2(max(size / 1.5, 1)))))
 
 
+def _sums(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell sets apart."""
+    return np.add.reduceat(_stir(sets * _MIX), starts).view(np.int64), np.add.reduceat(_stir(sets + _MIX), starts).view(np.int64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets, sizes = shingle_sets([x.as_py() for x in batch.column(1)])
@@ -96,8 +101,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: list = [None] * len(sizes)
         maps: list = [None] * len(sizes)
         if len(at):
-            one[some] = np.add.reduceat(_stir(sets * _MIX), at).view(np.int64)
-            two[some] = np.add.reduceat(_stir(sets + _MIX), at).view(np.int64)
+            one[some], two[some] = _sums(sets, at)
             routes = np.stack([np.minimum.reduceat(_stir(sets * seed), at) for seed in _SEEDS]).view(np.int64)
             for k, i in enumerate(np.flatnonzero(some)):
                 own = sets[starts[i] : starts[i] + sizes[i]]
@@ -271,9 +275,14 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets, sizes = shingle_sets([x.as_py() for x in batch.column(1)])
-        ends = np.cumsum(sizes)
-        cells = [sets[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], names=["id", "set"])
+        some = np.flatnonzero(sizes > 0)
+        ends = np.cumsum(sizes)[some]
+        one, two = _sums(sets, ends - sizes[some]) if len(some) else (ends, ends)
+        cells = [sets[e - n : e].tobytes() for e, n in zip(ends, sizes[some], strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(some)), pa.array(sizes[some]), pa.array(one), pa.array(two), pa.array(cells, pa.binary())],
+            names=["id", "n_shingles", "one", "two", "set"],
+        )
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -303,9 +312,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()
     sources = members.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.coalesce(F.col("doc_id"), F.lit(-1))).alias("source")).select("id", "source")
     texts = plain.withColumn("source", F.coalesce(F.col("doc_id"), F.lit(-1))).select("source", "bytes")
-    # Rows with one id may have different texts: the set's own class decides.
-    found = texts.join(sources, "source").select("id", "bytes").mapInArrow(_set_rows, "id long, set binary")
-    sets = written(found.dropDuplicates(["id"]), "sets")
+    found = texts.join(sources, "source").select("id", "bytes").mapInArrow(_set_rows, "id long, n_shingles long, one long, two long, set binary")
+    # Rows with one document id may have different texts: only those of the class are its set.
+    own = found.filter(F.col("id") == F.xxhash64("n_shingles", "one", "two")).select("id", "set")
+    sets = written(own.dropDuplicates(["id"]), "sets")
     close = written(_checked(first, sets, similarity), "links")
     label = connected_components(close.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     known = trees.join(label, "id", "left").select("tree", "id", "n", "bits", F.coalesce("component", "id").alias("component"))

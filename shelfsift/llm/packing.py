@@ -31,17 +31,14 @@ PIECES = "part long, kind long, rank long, doc_id long, start long, length long,
 def cut_lengths(tokens: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[tuple[int, int]]:
     """(class, length) of the pieces of a remainder below ``capacity``.
 
-    The remainder stays whole if j of it fill a bin up to the slack; else the largest piece that
-    fills the next class is cut off, which leaves less than half of it.
+    Each piece has the largest length, of those no longer than the rest, of which a whole number
+    fills a bin up to the slack; that number is its class.
     """
     pieces, allowed = [], int(capacity * slack)
     while tokens:
-        j = capacity // tokens
-        if capacity - j * tokens <= allowed:
-            pieces.append((j, tokens))
-            break
-        pieces.append((j + 1, capacity // (j + 1)))
-        tokens -= capacity // (j + 1)
+        length = next(n for n in range(tokens, 0, -1) if capacity % n <= allowed)
+        pieces.append((capacity // length, length))
+        tokens -= length
     return pieces
 
 

@@ -17,7 +17,6 @@ TIMESTAMP_TITLE = (
     r"|\bkl\.?\s*\d{1,2}[:.]\d{2}\b"
     r"|^\d{1,2}[:.]\d{2}(?::\d{2})?$"
 )
-MAX_CANDIDATES = 6
 
 
 def valid_year(year) -> Column:
@@ -148,8 +147,8 @@ def candidate_names() -> Column:
     return F.filter(names, lambda n: F.length(n) > 0)
 
 
-def title_candidates(files: DataFrame, limit: int | None = MAX_CANDIDATES) -> DataFrame:
-    """(id, rank, candidate): unique ignoring case, first spelling kept, the first ``limit`` of them.
+def title_candidates(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """(id, rank, candidate): unique ignoring case, first spelling kept; with a ``limit``, the first so many of them.
 
     All candidates of a file come from its own path, so they are made unique inside the row.
     """

@@ -308,38 +308,33 @@ def collision_by_hash(planned: DataFrame, existing: DataFrame, skip_taken: bool
 def unique_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """Give every wanted path (id, ord, planned_path) a free name: itself, else ``name (n).ext``.
 
-    Files that want one path are served in catalogue order and take the free numbers in turn. The
-    free numbers of a path are found from its taken ones, so nothing is tried out one by one.
+    The first file in catalogue order that wants a path gets it, unless it exists. The others take
+    the free numbers in turn; a number is free if no existing file and no other wanted path has
+    that name. A numbered name belongs to one path only, so no two files get the same one.
     """
-    rows = wanted.filter("planned_path IS NOT NULL").withColumns({"_key": path_key("planned_path")})
+    rows = wanted.filter("planned_path IS NOT NULL").withColumn("_key", path_key("planned_path"))
     have = existing.select(path_key("full_path").alias("_path")).distinct()
-    # A taken "stem (n).ext" blocks number n of "stem.ext"; the plain path blocks number 0.
-    suffix = r"^([\s\S]*) \((\d{1,9})\)(\.[^./]*)?$"
-    numbered = have.select(
-        F.explode(F.array(
-            F.struct(F.col("_path").alias("_key"), F.lit(0).cast("bigint").alias("n")),
-            F.struct(
-                F.concat(F.regexp_extract("_path", suffix, 1), F.coalesce(F.regexp_extract("_path", suffix, 3), F.lit(""))).alias("_key"),
-                F.regexp_extract("_path", suffix, 2).try_cast("bigint").alias("n"),
-            ),
-        )).alias("_t")
-    ).select("_t.*").filter("n IS NOT NULL AND NOT (n > 0 AND _key = '')")
-    keys = rows.select("_key").distinct()
-    blocked = numbered.join(keys, "_key", "left_semi").distinct()
-    # Rank k of the wanted files takes the k-th free number: number the taken ones, and between two
-    # taken numbers every number is free.
-    order = ranked(blocked, ["_key"], ["n"], "_i")
-    gaps = order.withColumn("_shift", F.col("n") - F.col("_i") + 1)  # free numbers below this taken one
-    served = ranked(rows, ["_key"], ["ord", "id"], "_turn")
-    # The file's number is its turn plus the taken numbers that come before it.
-    skipped = served.join(gaps, "_key", "left").filter(F.col("_shift").isNull() | (F.col("_shift") <= F.col("_turn") - 1))
-    passed = skipped.groupBy("id").agg(F.count("_shift").alias("_passed"))
-    numbered_rows = served.join(passed, "id", "left").withColumn("suffix", F.col("_turn") - 1 + F.coalesce("_passed", F.lit(0)))
+    # Numbers of at most 18 digits; none above can be reached by counting.
+    suffix = r"^([\s\S]*) \(([1-9]\d{0,17})\)(\.[^./]*)?$"
+    named = have.unionByName(rows.select(F.col("_key").alias("_path"))).filter(F.col("_path").rlike(suffix)).distinct()
+    numbered = named.select(
+        F.concat(F.regexp_extract("_path", suffix, 1), F.coalesce(F.regexp_extract("_path", suffix, 3), F.lit(""))).alias("_key"),
+        F.regexp_extract("_path", suffix, 2).cast("bigint").alias("n"),
+    ).distinct()
+    taken = ranked(numbered.join(rows.select("_key").distinct(), "_key", "left_semi"), ["_key"], ["n"], "_i")
+    served = ranked(rows, ["_key"], ["ord", "id"], "_turn").join(have.select(F.col("_path").alias("_key"), F.lit(1).alias("_there")), "_key", "left")
+    turns = served.withColumn("_k", F.col("_turn") - F.when(F.col("_there").isNull(), 1).otherwise(0))
+    # A taken number n, the i-th of its path, has n - i free ones below it. Taken numbers and waiting
+    # files in one row, each taken one in front of the file that would get it: a file's number is its place.
+    waiting = turns.filter("_k > 0").select("_key", (F.col("_k") * 2).alias("_at"), "ord", "id")
+    line = waiting.unionByName(taken.select("_key", ((F.col("n") - F.col("_i")) * 2 + 1).alias("_at"), F.col("n").cast(waiting.schema["ord"].dataType).alias("ord"), F.lit(None).cast(waiting.schema["id"].dataType).alias("id")))
+    placed = ranked(line, ["_key"], ["_at", "ord", "id"], "suffix").filter("id IS NOT NULL").select("id", "suffix")
+    joined = turns.join(placed, "id", "left").withColumn("suffix", F.coalesce("suffix", F.lit(0).cast("bigint")))
     name = base_name("planned_path")
     fresh = F.concat(
         parent_dir("planned_path"), F.lit("/"), stem_of(name), F.lit(" ("), F.col("suffix").cast("string"), F.lit(")"), extension_of(name)
     )
-    return numbered_rows.withColumn("final_path", F.when(F.col("suffix") == 0, F.col("planned_path")).otherwise(fresh)).drop("_key", "_turn", "_passed")
+    return joined.withColumn("final_path", F.when(F.col("suffix") == 0, F.col("planned_path")).otherwise(fresh)).drop("_key", "_turn", "_there", "_k")
 
 
 # --- renaming ----------------------------------------------------------------------------------------

@@ -218,28 +218,35 @@ def resolve_episode_conflicts(files: DataFrame, to_file: DataFrame, library: Lib
 
 # --- pair predicates -----------------------------------------------------------------------------------
 
-def copy_pairs(left: DataFrame, right: DataFrame, mode: str = "content_or_title") -> DataFrame:
-    """(id, other_id) of rows of ``left`` and ``right`` that are copies of each other.
+def are_copies(pairs: DataFrame, a: str = "a", b: str = "b", mode: str = "content_or_title") -> DataFrame:
+    """Attach ``copies`` to pairs of catalogue rows (structs): content, name, title, or content_or_title."""
+    def same(key) -> Column:
+        return F.coalesce(key(a) == key(b), F.lit(False))
 
-    content, name, title, or content_or_title; the last is the union of two equi-joins, never one OR join.
-    """
-    def keyed(df: DataFrame, key: Column, name: str) -> DataFrame:
-        return df.select(F.col("id").alias(name), key.alias("_k")).filter("_k IS NOT NULL")
-
-    def equal(key: Column) -> DataFrame:
-        pairs = keyed(left, key, "id").join(keyed(right, key, "other_id"), "_k")
-        return pairs.filter(F.col("id") != F.col("other_id")).select("id", "other_id")
-
-    content = F.when(has_hash(), F.upper("sha256"))
-    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
-    title = F.when(~is_blank(effective_title()), F.concat_ws("|", F.upper(effective_title()), number("year"), number("season"), number("episode")))
-    if mode == "content":
-        return equal(content)
-    if mode == "name":
-        return equal(F.upper("file_name"))
-    if mode == "title":
-        return equal(title)
-    return equal(content).unionByName(equal(title)).distinct()
+    tests = {"content": same(_content_of), "name": same(lambda r: F.upper(F.col(r)["file_name"])), "title": same(_title_of)}
+    return pairs.withColumn("copies", tests["content"] | tests["title"] if mode == "content_or_title" else tests[mode])
+
+
+def _content_of(row: str) -> Column:
+    return F.when(F.col(row)["sha256"] != "", F.upper(F.col(row)["sha256"]))
+
+
+def _title_of(row: str) -> Column:
+    field = F.col(row)
+    title = F.when(F.trim(field["confirmed_title"]) != "", field["confirmed_title"]).otherwise(field["parsed_title"])
+    number = lambda c: F.coalesce(field[c].cast("string"), F.lit("-"))
+    return F.when(F.trim(title) != "", F.concat_ws("|", F.upper(title), number("year"), number("season"), number("episode")))
+
+
+def copy_links(files: DataFrame) -> DataFrame:
+    """(id, content_of, title_of): the first row in catalogue order with a row's content, and with its
+    title; null if that is the row itself or nothing is known. A group of copies is a star, never all its pairs."""
+    rows = files.select("id", "ord", F.struct("sha256", "confirmed_title", "parsed_title", "year", "season", "episode").alias("r"))
+    keyed = rows.select("id", "ord", _content_of("r").alias("_content"), _title_of("r").alias("_title"))
+    for key, name in (("_content", "content_of"), ("_title", "title_of")):
+        first = keyed.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by("id", F.struct("ord", "id")).alias(name))
+        keyed = keyed.join(first, key, "left").withColumn(name, F.when(F.col(name) != F.col("id"), F.col(name)))
+    return keyed.select("id", "content_of", "title_of")
 
 
 def length_gap(pairs: DataFrame, tolerance: float) -> DataFrame:

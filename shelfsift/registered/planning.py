@@ -342,13 +342,12 @@ def _(spark, sf):
 
 @register(
     "are_copies",
-    f"""WITH l AS (SELECT *, {EFF} AS eff FROM files WHERE ord % 41 = 0), r AS (SELECT *, {EFF} AS eff FROM files)
-    SELECT l.id, r.id AS other_id FROM l JOIN r ON l.sha256 <> '' AND upper(l.sha256) = upper(r.sha256) AND l.id <> r.id
-    UNION SELECT l.id, r.id FROM l JOIN r ON upper(l.eff) = upper(r.eff) AND l.year IS NOT DISTINCT FROM r.year AND l.season IS NOT DISTINCT FROM r.season AND l.episode IS NOT DISTINCT FROM r.episode AND l.id <> r.id""",
+    f"""WITH k AS (SELECT id, ord, CASE WHEN sha256 <> '' THEN upper(sha256) END AS c, CASE WHEN trim({EFF}) <> '' THEN concat_ws('|', upper({EFF}), coalesce(CAST(year AS VARCHAR), '-'), coalesce(CAST(season AS VARCHAR), '-'), coalesce(CAST(episode AS VARCHAR), '-')) END AS t FROM files),
+    w AS (SELECT *, first_value(id) OVER (PARTITION BY c ORDER BY ord, id) AS fc, first_value(id) OVER (PARTITION BY t ORDER BY ord, id) AS ft FROM k)
+    SELECT id, CASE WHEN c IS NOT NULL AND fc <> id THEN fc END AS content_of, CASE WHEN t IS NOT NULL AND ft <> id THEN ft END AS title_of FROM w""",
 )
 def _(spark, sf):
-    rows = files(spark, sf)
-    return J.copy_pairs(rows.filter("ord % 41 = 0"), rows)
+    return J.copy_links(files(spark, sf))
 
 
 @register(
@@ -395,5 +394,5 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators.filters import Exclusion
 
-    report = refresh_report(files(spark, sf), [Exclusion("/lib/films/R")], [".flac"], rules(spark, sf).limit(0), rules(spark, sf).limit(0), YEAR)
+    report = refresh_report(files(spark, sf), [Exclusion("/lib/films/R")], [".flac"], rules(spark, sf), rules(spark, sf), YEAR)
     return report.select("refreshed", "skipped", "pruned", "numbered")

@@ -69,7 +69,7 @@ def _(spark, sf):
     year = (F.lit(1900) + F.col("doc_id") % 100).cast("string")
     named = F.concat(F.lit("/books/Writer "), "source", F.lit(" - Book "), "lang", F.lit(" - Part ("), year, F.lit(")"))
     path = F.when(F.col("doc_id") % 3 == 2, F.concat(F.lit("/books/Plain_"), "lang", F.lit(".djvu"))).otherwise(F.concat(named, F.when(F.col("doc_id") % 3 == 0, ".pdf").otherwise(".mobi")))
-    content = F.concat(F.lit("%PDF /Title (Inner "), F.col("doc_id").cast("string"), F.lit(") /Type /Page "), F.substring("text", 1, 200)).cast("binary")
+    content = F.concat(F.lit("%PDF /Title (Inner "), F.col("doc_id").cast("string"), F.lit(") /Type /Page "), F.col("text")).cast("binary")
     rows = docs.select(F.concat(F.col("doc_id").cast("string"), path).alias("full_path"), content.alias("content"))
     read = S.read_document_fields(rows)
     return read.select(
@@ -165,17 +165,6 @@ def _(spark, sf):
     return L.scan_remaining(spark, listing, done)
 
 
-@register("list_files", "SELECT concat(t, '.parquet') AS file_name, 'Other' AS kind FROM (VALUES ('region'),('nation'),('customer'),('supplier'),('part'),('orders'),('lineitem'),('events'),('documents'),('embeddings'),('pages'),('benchmark'),('labels'),('conversations')) v(t)")
-def _(spark, sf):
-    return L.list_files(spark, [sf], plugin_extensions=(".parquet",)).select("file_name", "kind")
-
-
-@register("hash_files")
-def _(spark, sf):
-    rows = L.list_files(spark, [sf], plugin_extensions=(".parquet",)).withColumns({"sha256": F.lit(""), "hash_failed": F.lit(False)})
-    return L.hash_files(spark, rows, [sf]).select("file_name", "size_bytes", "sha256", "hash_failed")
-
-
 @register("read_catalog", "SELECT id, full_path, size_bytes, kind, year, season, title_manual, quality, duration_seconds, last_modified_utc, parsed_title FROM files")
 def _(spark, sf):
     folder = _folder(spark, "xml")

@@ -119,7 +119,7 @@ flat AS (SELECT *, list_filter(flatten(list_transform(cs, lambda n: [n, trim(reg
        '[\\s._-]+(19|20)\\d{2}\\s*$', ''))])), lambda n: n <> '') AS vs FROM cleaned),
 cand AS (SELECT id, rank, candidate FROM (SELECT id, candidate, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS rank FROM (
    SELECT id, arg_min(candidate, i) AS candidate, min(i) AS i FROM (SELECT id, unnest(vs) AS candidate, unnest(range(1, len(vs) + 1)) AS i FROM flat) GROUP BY id, upper(candidate)))
-   WHERE rank < 6)"""
+   WHERE true)"""
 
 
 @register("title_candidates", f"WITH {_CANDS} SELECT id, CAST(rank AS INT) AS rank, candidate FROM cand")

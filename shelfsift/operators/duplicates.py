@@ -13,6 +13,7 @@ from ..functions.display import format_bytes, numbering_display
 from ..functions.staging import staged
 from ..functions.text import effective_title, has_hash, is_blank, is_extra, strip, title_key
 from .categories import auto_category
+from .reports import one_row
 
 
 def exact_duplicates(files: DataFrame) -> DataFrame:
@@ -137,8 +138,4 @@ def catalog_summary(files: DataFrame, near_groups: DataFrame, category: Column |
     )
     near = near_groups.agg(F.count(F.lit(1)).alias("near_sets"))
     title = title_duplicates(files, category).agg(F.count(F.lit(1)).alias("title_sets"))
-    one = F.lit(1).alias("_one")
-    joined = base.select("*", one)
-    for part in (exact, near, title):
-        joined = joined.join(part.select("*", one), "_one")
-    return joined.drop("_one").withColumn("reclaimable_text", format_bytes("reclaimable"))
+    return one_row(base, exact, near, title).withColumn("reclaimable_text", format_bytes("reclaimable"))

@@ -13,6 +13,7 @@ from ..functions.wildcards import any_of
 from .categories import is_incomplete, media_kind
 from .filters import extension_scanned, size_in_range
 from .skew import first_by
+from .reports import one_row
 
 
 def under_any(roots: Sequence[str], path="full_path") -> Column:
@@ -92,7 +93,7 @@ def scan_report(listing: DataFrame, merged: DataFrame, minimum: int, maximum: in
         F.count_if(F.col("present")).alias("listed"),
     )
     hashed = merged.agg(F.count_if(~has_hash() & (F.col("size_bytes") > 0) & ~is_incomplete()).alias("unhashed"))
-    return seen.withColumn("_one", F.lit(1)).join(hashed.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return one_row(seen, hashed)
 
 
 def adopt_listing(files: DataFrame, listing: DataFrame, excluded: Column, ignored: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import folder_names
 from ..functions.text import effective_title, is_blank, lookup_key, not_blank, strip, title_id_value, title_verified
 from .skew import first_by, ranked
+from .reports import one_row
 
 # Titles that name no work.
 GENERIC_EPISODE = r"(?iu)^Episode\s*(?:#|dated\b|\d{1,4}(?!\d))"
@@ -234,14 +235,13 @@ def fill_genres(files: DataFrame, titles: DataFrame) -> DataFrame:
 
 def verification_report(verified: DataFrame, years: DataFrame, genres: DataFrame) -> DataFrame:
     """Counts of a verification run, one row."""
-    one = F.lit(1).alias("_one")
     titles = verified.agg(
         F.count_if(F.col("outcome") == "dataset").alias("dataset_verified"),
         F.count_if(F.col("outcome") == "online").alias("online_verified"),
         F.count_if(F.col("outcome") == "unresolved").alias("unresolved"),
-    ).select("*", one)
+    )
     year = years.agg(
         F.count_if("year_filled").alias("years_filled"), F.count_if(F.col("year_filled") & F.col("year_ambiguous")).alias("years_uncertain")
-    ).select("*", one)
-    genre = genres.agg(F.count_if("genres_filled").alias("genres_filled")).select("*", one)
-    return titles.join(year, "_one").join(genre, "_one").drop("_one")
+    )
+    genre = genres.agg(F.count_if("genres_filled").alias("genres_filled"))
+    return one_row(titles, year, genre)

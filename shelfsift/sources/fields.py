@@ -163,43 +163,72 @@ DOCUMENT_FIELDS = {"BookName": "text", "Author": "text", "Publisher": "text", "L
                    "YearPublished": "number", "Chapters": "number", "Pages": "number"}
 DOCUMENT_EXTENSIONS = (".epub", ".mobi", ".azw", ".azw3", ".fb2", ".djvu", ".pdf")
 YEAR = r"\b(1[5-9]\d{2}|20\d{2})\b"
-PDF_LIMIT = 64 * 1024 * 1024
+
+# Name spaces of the EPUB formats, and where a container names its package.
+OCF = "{urn:oasis:names:tc:opendocument:xmlns:container}"
+OPF = "{http://www.idpf.org/2007/opf}"
+DC = "{http://purl.org/dc/elements/1.1/}"
+CONTAINER = "META-INF/container.xml"
 
 
 def _epub(content: bytes) -> dict[str, str]:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        local = lambda e: e.tag.rsplit("}", 1)[-1].lower()
-        container = ElementTree.fromstring(archive.read("META-INF/container.xml"))
-        package = next((e.get("full-path") for e in container.iter() if local(e) == "rootfile"), None)
-        if not package:
+    """Dublin Core metadata and the number of spine entries of the first package of a book."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        files = ElementTree.fromstring(book.read(CONTAINER)).findall(f"{OCF}rootfiles/{OCF}rootfile[@full-path]")
+        if not files:
             return {}
-        by_name = {n.lower(): n for n in archive.namelist()}
-        root = ElementTree.fromstring(archive.read(by_name[package.lower()]))
-
-    def every(name: str) -> list[str]:
-        texts = ("".join(e.itertext()).strip() for e in root.iter() if local(e) == name)
-        return list({t.lower(): t for t in reversed([t for t in texts if t])}.values())[::-1]
-
-    first = lambda name: next(iter(every(name)), "")
-    year = re.search(YEAR, first("date"))
-    spine = sum(1 for e in root.iter() if local(e) == "itemref")
-    return {
-        "BookName": first("title"), "Author": ", ".join(every("creator")), "Publisher": first("publisher"), "Language": first("language"),
-        "BookGenre": ", ".join(every("subject")), "YearPublished": year.group(1) if year else "", "Chapters": str(spine) if spine else "",
-    }
+        wanted = files[0].attrib["full-path"]
+        member = wanted if wanted in book.NameToInfo else next(n for n in book.NameToInfo if n.casefold() == wanted.casefold())
+        package = ElementTree.fromstring(book.read(member))
+    metadata, spine = package.find(f"{OPF}metadata"), package.findall(f"{OPF}spine/{OPF}itemref")
+    terms: dict[str, list[str]] = {}
+    for element in metadata if metadata is not None else ():
+        value = " ".join(" ".join(element.itertext()).split())
+        own = terms.setdefault(str(element.tag).removeprefix(DC), [])
+        if value and value.casefold() not in map(str.casefold, own):
+            own.append(value)
+    first = {name: values[0] for name, values in terms.items() if values}
+    found = {"BookName": first.get("title"), "Publisher": first.get("publisher"), "Language": first.get("language"),
+             "Author": ", ".join(terms.get("creator", [])), "BookGenre": ", ".join(terms.get("subject", []))}
+    if dated := re.search(YEAR, first.get("date", "")):
+        found["YearPublished"] = dated[1]
+    if spine:
+        found["Chapters"] = str(len(spine))
+    return {name: value for name, value in found.items() if value}
+
+
+# A name or a literal string of a PDF object, in the file's own syntax.
+_PDF_PAGE = re.compile(rb"/Type\s*/Page(?![A-Za-z0-9])")
+_PDF_ENTRY = re.compile(rb"/(Title|Author)\s*\(")
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(content: bytes, at: int) -> str:
+    """The literal string that opens in front of ``at``: balanced brackets, backslash escapes."""
+    out, depth = bytearray(), 1
+    while at < len(content):
+        byte = content[at : at + 1]
+        if byte == b"\\":
+            at += 1
+            byte = content[at : at + 1]
+            out += _PDF_ESCAPES.get(byte, byte)
+        else:
+            depth += (byte == b"(") - (byte == b")")
+            if not depth:
+                break
+            out += byte
+        at += 1
+    return out.decode("utf-16" if out[:2] in (b"\xfe\xff", b"\xff\xfe") else "latin-1")
 
 
 def _pdf(content: bytes) -> dict[str, str]:
-    if not 0 < len(content) <= PDF_LIMIT:
-        return {}
-    text = content.decode("latin-1")
-    pages = len(re.findall(r"/Type\s*/Page[^s]", text))
-
-    def entry(key: str) -> str:
-        found = re.search(rf"/{key}\s*\(((?:[^()\\]|\\.)*)\)", text)
-        return found.group(1).replace(r"\)", ")").replace(r"\(", "(") if found else ""
-
-    return {"Pages": str(pages) if pages else "", "BookName": entry("Title"), "Author": entry("Author")}
+    """Pages, title and author of the plain objects of a file; compressed ones are not opened."""
+    found: dict[str, str] = {}
+    for entry in _PDF_ENTRY.finditer(content):
+        found.setdefault({b"Title": "BookName", b"Author": "Author"}[entry[1]], _pdf_string(content, entry.end()))
+    if pages := sum(1 for _ in _PDF_PAGE.finditer(content)):
+        found["Pages"] = str(pages)
+    return found
 
 
 def document_content_fields(path: str, content: bytes) -> dict[str, str]:

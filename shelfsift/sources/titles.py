@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,16 @@ def _fields(spark: SparkSession, path: str, layout: dict[str, int]) -> DataFrame
     ``pos`` is the order of the lines. Text is split here rather than by the CSV reader because quotes
     mean nothing in these files.
     """
-    lines = spark.read.text(path)
-    first = lines.first()
-    header = [name.lower() for name in (first[0].split("\t") if first else [])]
-    at = {name: header.index(name.lower()) if name.lower() in header else fallback for name, fallback in layout.items()}
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_n"))
+    # A file's first line is its header: one row a file, found by an aggregate.
+    headers = lines.groupBy("_file").agg(F.min_by("value", F.struct("_from", "_n")).alias("_header"), F.min(F.struct("_from", "_n")).alias("_first"))
+    names = F.split(F.lower("_header"), "\t")
     parts = F.split("value", "\t")
-    rows = lines.withColumn("pos", F.monotonically_increasing_id()).filter("pos > 0").withColumn("_p", parts).filter(F.size("_p") > max(at.values()))
-    return rows.select("pos", *[F.get("_p", i).alias(name) for name, i in at.items()])
+    # Lines of one split are numbered in order; splits go by file and offset.
+    rows = lines.join(headers, "_file").filter(F.struct("_from", "_n") != F.col("_first"))
+    places = {name: F.when(F.array_contains(names, name.lower()), F.array_position(names, name.lower()).cast("int") - 1).otherwise(F.lit(fallback)) for name, fallback in layout.items()}
+    whole = rows.filter(F.size(parts) > F.greatest(*places.values()))
+    return whole.select(F.struct("_file", "_from", "_n").alias("pos"), *[F.get(parts, at).alias(name) for name, at in places.items()])
 
 
 def _value(name: str) -> Column:
@@ -52,14 +57,18 @@ def read_title_episodes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_title_extract(titles: DataFrame, episodes: DataFrame, codes: DataFrame, folder: str) -> None:
-    """Codes first, then episodes, titles last: a reader that finds titles finds the rest."""
-    codes.write.mode("overwrite").parquet(f"{folder}/codes")
-    episodes.write.mode("overwrite").parquet(f"{folder}/episodes")
-    titles.write.mode("overwrite").parquet(f"{folder}/titles")
+    """A new version beside the old ones; the pointer moves last, so a reader sees one version whole."""
+    spark = titles.sparkSession
+    version = f"{folder}/v-{uuid.uuid4().hex}"
+    for name, rows in (("codes", codes), ("episodes", episodes), ("titles", titles)):
+        rows.write.parquet(f"{version}/{name}")
+    pointer = spark.createDataFrame([(version,)], "version string").withColumn("written", F.current_timestamp())
+    pointer.coalesce(1).write.mode("append").parquet(f"{folder}/pointer")
 
 
 def read_title_extract(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{folder}/{name}") for name in ("titles", "episodes", "codes"))
+    current = spark.read.parquet(f"{folder}/pointer").agg(F.max_by("version", "written")).first()[0]
+    return tuple(spark.read.parquet(f"{current}/{name}") for name in ("titles", "episodes", "codes"))
 
 
 def _number(text: Column) -> Column:

@@ -56,10 +56,17 @@ def test_list_and_hash(spark):
     assert sorted(r.file_name for r in listed.collect()) == ["a b+c.mkv", "d.MP3", "e.part", "h.mkv"]
     rows = listed.withColumns({"sha256": F.lit(""), "hash_failed": F.lit(False)})
     lost = rows.filter("file_name = 'd.MP3'").withColumn("full_path", F.concat("full_path", F.lit("gone.mp3")))
-    for limit in (1 << 30, 2):
-        got = {r.file_name + ("!" if "gone" in r.full_path else ""): (r.sha256, r.hash_failed) for r in L.hash_files(spark, rows.unionByName(lost), [str(root)], limit).collect()}
-        one, two = (hashlib.sha256(t).hexdigest() for t in (b"one", b"two"))
-        assert got == {"a b+c.mkv": (one, False), "d.MP3": (two, False), "e.part": ("", False), "h.mkv": ("", False), "d.MP3!": ("", True)}
+    got = {r.file_name + ("!" if "gone" in r.full_path else ""): (r.sha256, r.hash_failed) for r in L.hash_files(rows.unionByName(lost)).collect()}
+    one, two = (hashlib.sha256(t).hexdigest() for t in (b"one", b"two"))
+    assert got == {"a b+c.mkv": (one, False), "d.MP3": (two, False), "e.part": ("", False), "h.mkv": ("", False), "d.MP3!": ("", True)}
+    # A path with a scheme goes through the same calls and sees empty files too.
+    by_scheme = L.list_files(spark, [f"file://{root}"], [Exclusion(f"file://{root}/skip")])
+    assert sorted(r.file_name for r in by_scheme.collect()) == ["a b+c.mkv", "d.MP3", "e.part", "h.mkv"]
+    plain = by_scheme.filter("file_name = 'd.MP3'").withColumns({"sha256": F.lit(""), "hash_failed": F.lit(False)})
+    assert L.hash_files(plain).first().sha256 == two
+    # Files that have a hash are not opened: this one is not there.
+    known = lost.withColumn("sha256", F.lit("ab"))
+    assert L.hash_files(known).select("sha256", "hash_failed").first() == ("ab", False)
 
 
 def test_gzip_titles(spark):

@@ -41,7 +41,7 @@ def detect_moves(files: DataFrame, listing: DataFrame) -> DataFrame:
 def merge_listing(files: DataFrame, listing: DataFrame) -> DataFrame:
     """Upsert a listing by path, ignoring case, after moves. ``status`` is kept, changed, moved, added or unlisted.
 
-    A changed size or time clears the hash, the hash failure and the plugin fields.
+    A changed size or time clears the hash, the hash failure and the plugin fields; all other columns stay.
     """
     moves = detect_moves(files, listing).select("id", "new_path")
     current = files.join(moves, "id", "left").withColumn("_path", F.coalesce("new_path", "full_path")).withColumn("_k", path_key("_path"))
@@ -60,18 +60,19 @@ def merge_listing(files: DataFrame, listing: DataFrame) -> DataFrame:
         F.when(added, "added").when(~listed, "unlisted").when(F.col("new_path").isNotNull(), "moved").when(changed, "changed").otherwise("kept")
     )
     path = F.when(listed, F.col("_full")).otherwise(F.col("full_path"))
-    return joined.withColumn("status", status).select(
-        "id",
-        "ord",
-        path.alias("full_path"),
-        base_name(path).alias("file_name"),
-        extension_of(base_name(path)).alias("extension"),
-        F.when(listed, F.col("_size")).otherwise(F.col("size_bytes")).alias("size_bytes"),
-        F.when(listed, F.col("_time")).otherwise(F.col("last_modified_utc")).alias("last_modified_utc"),
-        F.when(changed | added, F.lit("")).otherwise(F.col("sha256")).alias("sha256"),
-        F.when(changed | added, F.lit(False)).otherwise(F.col("hash_failed")).alias("hash_failed"),
-        "status",
-    )
+    fresh = changed | added
+    new = {
+        "full_path": path,
+        "file_name": base_name(path),
+        "extension": extension_of(base_name(path)),
+        "size_bytes": F.when(listed, F.col("_size")).otherwise(F.col("size_bytes")),
+        "last_modified_utc": F.when(listed, F.col("_time")).otherwise(F.col("last_modified_utc")),
+        "sha256": F.when(fresh, F.lit("")).otherwise(F.col("sha256")),
+        "hash_failed": F.when(fresh, F.lit(False)).otherwise(F.col("hash_failed")),
+        "plugin_fields": F.when(fresh, F.create_map().cast("map<string,string>")).otherwise(F.col("plugin_fields")) if "plugin_fields" in files.columns else None,
+    }
+    # Every other column of the row stays as it is; an added row has nulls there until it is analysed.
+    return joined.withColumn("status", status).select(*[new[c].alias(c) if new.get(c) is not None else F.col(c) for c in files.columns], "status")
 
 
 def prune_missing(files: DataFrame, listing: DataFrame, walked: Sequence[str], mode: str = "all") -> DataFrame:

@@ -292,10 +292,10 @@ def _(spark, sf):
     j AS (SELECT cur.*, l, CASE WHEN cur.id IS NULL THEN 'added' WHEN l IS NULL THEN 'unlisted' WHEN new_path IS NOT NULL THEN 'moved'
         WHEN size_bytes IS DISTINCT FROM l.s OR last_modified_utc IS DISTINCT FROM l.t THEN 'changed' ELSE 'kept' END AS status FROM cur FULL OUTER JOIN inc ON upper(cur.p) = inc.k)
     SELECT id, ord, coalesce(l.f, full_path) AS full_path, coalesce(l.s, size_bytes) AS size_bytes, CASE WHEN status IN ('added', 'changed') THEN '' ELSE sha256 END AS sha256, status,
-           regexp_extract(coalesce(l.f, full_path), '([^/]*)$', 1) AS file_name FROM j""",
+           regexp_extract(coalesce(l.f, full_path), '([^/]*)$', 1) AS file_name, kind, parsed_title, confirmed_title, season, episode, year, quality, title_manual, duration_seconds FROM j""",
 )
 def _(spark, sf):
-    return I.merge_listing(catalogue(spark, sf), listing(spark, sf)).select("id", "ord", "full_path", "size_bytes", "sha256", "status", "file_name")
+    return I.merge_listing(catalogue(spark, sf), listing(spark, sf)).select("id", "ord", "full_path", "size_bytes", "sha256", "status", "file_name", "kind", "parsed_title", "confirmed_title", "season", "episode", "year", "quality", "title_manual", "duration_seconds")
 
 
 @register(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.display import describe_seconds
-from ..functions.paths import parent_dir
+from ..functions.paths import base_name, extension_of, parent_dir
 from ..functions.text import has_hash
 from ..operators.categories import effective_category
 from ..operators.classify import classify_files, detect_extra, renumber_diff
@@ -53,6 +53,46 @@ def _(spark, sf):
     return classify_files(files(spark, sf), YEAR).select("id", "kind", "season", "episode", "episode_end", "year", "video_category", "parsed_title")
 
 
+# Each form of numbering a name can carry, made from the part's and line's own numbers: (path, season, episode, last episode).
+_SEASON, _EPISODE = "CAST(l_orderkey % 9 + 1 AS INT)", "CAST(l_partkey % 40 + 10 AS INT)"
+_FORMS = (
+    ("concat('/x/Quiet River Season ', {s}, ' Episode ', {e}, ' Thing.mkv')", "{s}", "{e}", "NULL"),
+    ("concat('/x/Quiet River ', {s}, 'x', {e}, ' Thing.mkv')", "{s}", "{e}", "NULL"),
+    ("concat('/x/Quiet River ', {s}, '-', {e}, ' Games And Flames.avi')", "{s}", "{e}", "NULL"),
+    ("concat('/x/The Still Zone - 0', {s}, ' ', {e}, ' - Wheel Of Luck.mkv')", "{s}", "{e}", "NULL"),
+    ("concat('/x/Quiet River [0', {s}, '-', {e}, '] Pilot [Dvdrip GROUP].avi')", "{s}", "{e}", "NULL"),
+    ("concat('/TV/Q/Quiet River/Season 0', {s}, '/', {e}, '.avi')", "{s}", "{e}", "NULL"),
+    ("concat('/TV/Quiet River, Season ', {s}, '/', {e}, '. Equal Things.mkv')", "{s}", "{e}", "NULL"),
+    # Picture heights are no codes.
+    ("concat('/x/quiet.2016.', {s}, {e}, '.hdtv-lol[ettv].mkv')", "CASE WHEN {s} * 100 + {e} NOT IN (240, 540, 720) THEN {s} END", "CASE WHEN {s} * 100 + {e} NOT IN (240, 540, 720) THEN {e} END", "NULL"),
+    ("concat('/x/quiet.', {s}, {e}, '.x264.mkv')", "CASE WHEN {s} * 100 + {e} NOT IN (240, 540, 720) THEN {s} END", "CASE WHEN {s} * 100 + {e} NOT IN (240, 540, 720) THEN {e} END", "NULL"),
+    ("concat('/x/Quiet River S0', {s}, 'E', {e}, 'E', {e} + 1, ' Thing.mkv')", "{s}", "{e}", "{e} + 1"),
+    ("concat('/x/Quiet.River.2049.2017.1080p.x', {s}, '.mkv')", "NULL", "NULL", "NULL"),
+)
+
+
+def _form(part: int, kind: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN {form[part].format(s=_SEASON, e=_EPISODE)}" for i, form in enumerate(_FORMS))
+    return f"CAST(CASE (l_orderkey + l_linenumber) % {len(_FORMS)} {cases} END AS {kind})"
+
+
+@register(
+    "classify_ladder",
+    f"SELECT l_orderkey, l_linenumber, l_partkey, {_form(1, 'INT')} AS season, {_form(2, 'INT')} AS episode, {_form(3, 'INT')} AS episode_end FROM lineitem",
+    "guide",
+)
+def _(spark, sf):
+    """Every form of the numbering ladder, one after the other over the table."""
+    none, lines = F.lit(None).cast("int"), table(spark, sf, "lineitem")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    named = lines.select(*keys, F.concat_ws("-", *keys).alias("id"), F.expr(_form(0, "STRING")).alias("full_path"))
+    rows = named.withColumns({
+        "file_name": base_name("full_path"), "extension": extension_of(base_name("full_path")), "kind": F.lit("Unknown"), "video_category": F.lit("Unknown"),
+        "season": none, "episode": none, "episode_end": none, "year": none, "parsed_title": F.lit(""), "numbering_manual": F.lit(False),
+    })
+    return classify_files(rows, YEAR).select(*keys, "season", "episode", "episode_end")
+
+
 @register(
     "detect_extra",
     """SELECT id, CASE WHEN video_category IN ('TvExtra','MovieExtra') THEN CASE WHEN season IS NOT NULL OR video_category = 'TvExtra' THEN 'TvExtra' ELSE 'MovieExtra' END END AS extra_category FROM files""",

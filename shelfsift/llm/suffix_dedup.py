@@ -113,7 +113,7 @@ def _planes(column: np.ndarray) -> bytes:
 
 def _write(*columns: np.ndarray) -> bytes:
     raw = b"".join(c.tobytes() if c.ndim == 2 else _planes(c) for c in columns)
-    return zstandard.ZstdCompressor(level=1).compress(len(columns[0]).to_bytes(8, "little") + raw)
+    return zstandard.ZstdCompressor(level=3).compress(len(columns[0]).to_bytes(8, "little") + raw)
 
 
 def _read(blobs: list[bytes], *kinds: tuple) -> list[np.ndarray]:
@@ -131,9 +131,9 @@ def _read(blobs: list[bytes], *kinds: tuple) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros((0, w) if w else 0, k) for p, (k, w) in zip(parts, kinds, strict=True)]
 
 
-_SUFFIX = ((np.uint8, LEAD), ("<i8", None), ("<u4", None), (np.uint8, None), (np.uint8, None))
+_SUFFIX = ((np.uint8, LEAD), ("<i8", None), ("<u4", None))
 _SEEN = ((np.uint8, _WIDTH), ("<i8", None), ("<u4", None), ("<u4", None), (np.uint8, None), (np.uint8, None))
-_FOUND = (("<i8", None), ("<u4", None), (np.uint8, None), (np.uint8, None))
+_FOUND = (("<i8", None), ("<u4", None))
 _SPANS = (("<i8", None), ("<u4", None), ("<u4", None), ("<u4", None))
 
 
@@ -173,8 +173,8 @@ def _texts(table: pa.Table, text: str) -> pa.Array:
     return pa.compute.fill_null(column.field(text).cast(pa.large_binary()), b"")
 
 
-def _suffixes_of(doc: np.ndarray, column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
-    """(leading bytes, doc, position, nearest, farthest) of each chunk of texts."""
+def _suffixes_of(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """(leading bytes, row, position, nearest, farthest) of each chunk of texts."""
     data, offsets = _bytes_of(column)
     for low, high in _chunks(np.diff(offsets)):
         part, ends = data[offsets[low] : offsets[high]], offsets[low + 1 : high + 1] - offsets[low]
@@ -182,7 +182,7 @@ def _suffixes_of(doc: np.ndarray, column: pa.Array) -> Iterator[tuple[np.ndarray
         at, near, far = chosen_suffixes(part, starts, ends)
         owner = np.searchsorted(starts, at, side="right") - 1
         # Empty texts share their start with the next one; the last of equal starts owns the bytes.
-        yield part[at[:, None] + np.arange(LEAD)], doc[low:high][owner], (at - starts[owner]).astype("<u4"), near, far
+        yield part[at[:, None] + np.arange(LEAD)], owner + low, (at - starts[owner]).astype("<u4"), near, far
 
 
 def _sort_keys(lead: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -215,16 +215,17 @@ def _spread(splitters: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[tuple[np.ndarray, ...]] = []
+            ids = batch.column(0).to_numpy()
             # Chunks are dealt out some hundred thousand suffixes at once.
-            for part in chain(_suffixes_of(batch.column(0).to_numpy(), batch.column(1)), [None]):
+            for part in chain(_suffixes_of(batch.column(1)), [None]):
                 if part is not None:
-                    held.append(part)
+                    held.append(part[:3])
                     if sum(len(x[1]) for x in held) < 8 * AT_ONCE:
                         continue
                 if held:
-                    lead, doc, at, near, far = (np.concatenate(x) for x in zip(*held, strict=True))
-                    held = []
-                    rows = list(_dealt(splitters, lead, [lead, doc.astype("<i8"), at, near, far], doc))
+                    lead, row, at = (np.concatenate(x) for x in zip(*held, strict=True))
+                    held, doc = [], ids[row]
+                    rows = list(_dealt(splitters, lead, [lead, doc.astype("<i8"), at], doc))
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
 
     return run
@@ -234,13 +235,13 @@ def _shared(blocks: int):
     """A bucket's suffixes whose leading bytes occur in two documents or may go on next door."""
 
     def run(table: pa.Table) -> pa.Table:
-        lead, doc, at, near, far = _read(table.column("blob").to_pylist(), *_SUFFIX)
+        lead, doc, at = _read(table.column("blob").to_pylist(), *_SUFFIX)
         order, begins = multikey_order(_words(lead))
         sizes, ordered = np.diff(np.append(begins, len(order))), doc[order]
         keep = np.minimum.reduceat(ordered, begins) != np.maximum.reduceat(ordered, begins)
         keep[[0, -1]] = True
         found = order[np.repeat(keep, sizes)]
-        return _by_block(doc[found], [doc[found], at[found], near[found], far[found]], blocks)
+        return _by_block(doc[found], [doc[found], at[found]], blocks)
 
     return run
 
@@ -250,17 +251,25 @@ def _surroundings(splitters: np.ndarray, text: str):
     reach = np.arange(-REACH, LENGTH)
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        doc, at, near, far = _read(found.column("blob").to_pylist(), *_FOUND)
-        owner, tags, (data, offsets) = texts.column("id").to_numpy(), texts.column("tag").to_numpy(), _bytes_of(_texts(texts, text))
-        order = np.argsort(doc, kind="stable")
-        doc, at, near, far = doc[order], at[order].astype(np.int64), near[order], far[order]
-        # Every row of an id takes the suffixes reported for the id; those outside of it fall away.
-        low, high = np.searchsorted(doc, owner, side="left"), np.searchsorted(doc, owner, side="right")
-        row = np.repeat(np.arange(len(owner)), high - low)
-        pick = np.arange(len(row)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
-        at, near, far = at[pick], near[pick], far[pick]
-        inside = (at >= far) & (at - near + LENGTH <= (offsets[1:] - offsets[:-1])[row])
-        row, at, near, far = row[inside], at[inside], near[inside], far[inside]
+        doc, at = _read(found.column("blob").to_pylist(), *_FOUND)
+        column = _texts(texts, text)
+        owner, tags, (data, offsets) = texts.column("id").to_numpy(), texts.column("tag").to_numpy(), _bytes_of(column)
+        # Suffixes are chosen again and kept if they were reported for the row's id: by number of
+        # the id and position, in one sorted list.
+        ids, number = np.unique(owner, return_inverse=True)
+        place = np.searchsorted(ids, doc)
+        known = place < len(ids)
+        known[known] = ids[place[known]] == doc[known]
+        wanted = np.unique(place[known].astype(np.uint64) << np.uint64(32) | at[known].astype(np.uint64))
+        parts = []
+        for _, row, at, near, far in _suffixes_of(column):
+            keys = number[row].astype(np.uint64) << np.uint64(32) | at.astype(np.uint64)
+            slot = np.searchsorted(wanted, keys)
+            hit = slot < len(wanted)
+            hit[hit] = wanted[slot[hit]] == keys[hit]
+            parts.append((row[hit], at[hit].astype(np.int64), near[hit], far[hit]))
+        none = np.zeros(0, np.int64)
+        row, at, near, far = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none, none)
         rows: list[tuple[int, bytes]] = []
         for a in range(0, len(row), 2 * AT_ONCE):
             cut = slice(a, a + 2 * AT_ONCE)
@@ -290,28 +299,36 @@ def _sums(seen: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate([np.zeros((len(seen), 1), np.uint64), np.cumsum(wide * w, axis=1, dtype=np.uint64)], axis=1) for w in _WEIGHTS]
 
 
+def _strings(sums: list[np.ndarray], docs: np.ndarray, near: np.ndarray, far: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """For each distance: the rows with a string so far in front of their suffix, the first
+    document of each one's string among them, and its two hashes. Rows are in order of documents
+    within their ranges."""
+    for shift in range(REACH + 1):
+        rows = np.flatnonzero((near <= shift) & (far >= shift))
+        if len(rows):
+            k1, k2 = (s[rows, REACH - shift + LENGTH] - s[rows, REACH - shift] for s in sums)
+            order = np.lexsort((docs[rows], k2, k1))
+            new = np.concatenate([[True], (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)])
+            first = docs[rows[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
+            yield shift, rows[order], first, [k1[order].view(np.int64), k2[order].view(np.int64)]
+
+
 def _settled(blocks: int):
-    """Spans of the inner ranges of a bucket that an earlier document also holds."""
+    """Spans of strings that an earlier document of the bucket also holds."""
 
     def run(table: pa.Table) -> pa.Table:
         (seen, doc, tag, at, near, far), bounds = _sorted_ranges(table)
         out: list[list[np.ndarray]] = [[], [], [], []]
-        inner = bounds[1:-1]  # the first and the last range are left out
         low = 0
-        while low + 1 < len(inner):
+        while low + 1 < len(bounds):
             # Whole ranges; a longer one is compared on its own.
-            high = max(low + 1, int(np.searchsorted(inner, inner[low] + AT_ONCE, side="right")) - 1)
-            cut = slice(inner[low], inner[high])
+            high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + AT_ONCE, side="right")) - 1)
+            cut = slice(bounds[low], bounds[high])
             low = high
             sums, docs = _sums(seen[cut]), doc[cut]
             marked = np.zeros((len(docs), REACH + 3), bool)
-            for shift in range(REACH + 1):
-                rows = np.flatnonzero((near[cut] <= shift) & (far[cut] >= shift))
-                k1, k2 = (s[rows, REACH - shift + LENGTH] - s[rows, REACH - shift] for s in sums)
-                order = np.lexsort((docs[rows], k2, k1))
-                new = np.concatenate([[True], (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)]) if len(order) else np.zeros(0, bool)
-                first = docs[rows[order]][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else docs[:0]
-                marked[rows[order], shift + 1] = docs[rows[order]] > first
+            for shift, rows, firsts, _ in _strings(sums, docs, near[cut], far[cut]):
+                marked[rows, shift + 1] = docs[rows] > firsts
             step = np.diff(marked.astype(np.int8), axis=1)
             row, nearest = np.nonzero(step == 1)
             farthest = np.nonzero(step == -1)[1] - 1
@@ -327,20 +344,18 @@ def _settled(blocks: int):
 
 
 def _edge_strings(table: pa.Table) -> pa.Table:
-    """The strings of a bucket's first and last range."""
+    """The strings of a bucket's first and last range, where its first document holds them: only
+    there an earlier bucket matters, later documents of the bucket are settled already."""
     (seen, doc, tag, at, near, far), bounds = _sorted_ranges(table)
-    rows = np.unique(np.concatenate([np.arange(bounds[0], bounds[1]), np.arange(bounds[-2], bounds[-1])])) if len(doc) else np.zeros(0, int)
-    parts: list[pa.Table] = []
-    for a in range(0, len(rows), AT_ONCE):
-        own = rows[a : a + AT_ONCE]
-        sums = _sums(seen[own])
-        for shift in range(REACH + 1):
-            pick = np.flatnonzero((near[own] <= shift) & (far[own] >= shift))
-            k1, k2 = ((s[pick, REACH - shift + LENGTH] - s[pick, REACH - shift]).view(np.int64) for s in sums)
-            src = own[pick]
-            parts.append(pa.table([pa.array(np.full(len(pick), shift, np.int32)), pa.array(k1), pa.array(k2), pa.array(doc[src]), pa.array(tag[src].astype(np.int64)), pa.array(at[src].astype(np.int64) - shift)], names=["shift", "k1", "k2", "doc", "tag", "at"]))
-    empty = pa.table({n: pa.array([], t) for n, t in (("shift", pa.int32()), *((c, pa.int64()) for c in ("k1", "k2", "doc", "tag", "at")))})
-    return pa.concat_tables([empty, *parts])
+    parts = [pa.table({n: pa.array([], t) for n, t in (("shift", pa.int32()), *((c, pa.int64()) for c in ("k1", "k2", "doc", "tag", "at")))})]
+    edges = sorted({(int(bounds[0]), int(bounds[1])), (int(bounds[-2]), int(bounds[-1]))}) if len(doc) else []
+    for low, high in edges:
+        cut = slice(low, high)
+        for shift, rows, firsts, (k1, k2) in _strings(_sums(seen[cut]), doc[cut], near[cut], far[cut]):
+            open_ = doc[cut][rows] == firsts
+            own = rows[open_] + low
+            parts.append(pa.table([pa.array(np.full(len(own), shift, np.int32)), pa.array(k1[open_]), pa.array(k2[open_]), pa.array(doc[own]), pa.array(tag[own].astype(np.int64)), pa.array(at[own].astype(np.int64) - shift)], names=parts[0].column_names))
+    return pa.concat_tables(parts)
 
 
 def _spans_of(blocks: int):
@@ -425,7 +440,8 @@ def _splitters(texts: DataFrame, fraction: float, buckets: int) -> np.ndarray:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lead, doc, *_ in _suffixes_of(batch.column(0).to_numpy(), batch.column(1)):
+            for lead, row, *_ in _suffixes_of(batch.column(1)):
+                doc = batch.column(0).to_numpy()[row]
                 pick = np.random.default_rng(len(doc)).random(len(doc)) < 0.25
                 yield pa.RecordBatch.from_arrays([pa.array([k.ljust(LEAD + 8, b"\0") for k in _sort_keys(lead[pick], doc[pick]).tolist()], pa.binary())], names=["key"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,19 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
 
 
+def slices(sizes: Sequence[int], limit: int) -> Iterator[tuple[int, int]]:
+    """(from, to) runs of rows of about ``limit`` in all; one larger row is a run of its own. What a
+    task holds is then bounded by the limit and its largest row."""
+    start = held = 0
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= limit:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of the decimal text of an id, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts

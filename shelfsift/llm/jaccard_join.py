@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.fingerprints import connected_components
-from .common import written
+from .common import slices, written
 
 WORDS = 4
 SIMILARITY = (85, 100)
 ROUTES = 16
 TREE_ROWS = 4096
 LEAF, FAN = 16, 8
+#: Text bytes whose shingles a task holds at once.
+SLICE_BYTES = 2 << 20
 #: A class's bitmap has at least as many bits as two thirds of its shingles, and a power of two.
 LEAST_BITS = 64
 
@@ -91,8 +93,14 @@ def _sums(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.add.reduceat(_stir(sets * _MIX), starts).view(np.int64), np.add.reduceat(_stir(sets + _MIX), starts).view(np.int64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for low, high in slices([len(x.as_buffer() or b"") for x in batch.column(1)], SLICE_BYTES):
+            yield batch.slice(low, high - low)
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _in_slices(batches):
         sets, sizes = shingle_sets([x.as_py() for x in batch.column(1)])
         starts = np.cumsum(sizes) - sizes
         some = sizes > 0
@@ -273,7 +281,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _in_slices(batches):
         sets, sizes = shingle_sets([x.as_py() for x in batch.column(1)])
         some = np.flatnonzero(sizes > 0)
         ends = np.cumsum(sizes)[some]

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 ORDER = 4
 DISCOUNT = 0.75
 #: The models are fitted on the driver from at most so many documents a language, those with the
@@ -29,7 +31,8 @@ MAX_LANGUAGES = 256
 #: Share of training documents that would be rejected under their own language.
 REJECT_SHARE = 0.001
 UNDETERMINED = "und"
-CHUNK_CHARS = 1 << 20
+#: Text bytes that a task looks at together.
+CHUNK_BYTES = 1 << 20
 
 #: Bits of a symbol in an n-gram code. Symbol 0 is the edge of a word.
 _BITS = 16
@@ -174,17 +177,6 @@ def train(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str
     return fit({k: v for k, v in samples.items() if any(len(symbols(t)) for t in v)})
 
 
-def _groups(texts: Sequence[np.ndarray]) -> Iterator[tuple[int, int]]:
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= CHUNK_CHARS:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def identify(docs: DataFrame, models: CharModels, text: str = "text") -> DataFrame:
     """``doc`` (the whole row), ``lang_pred``, ``score`` (the language's posterior at even priors,
     0 to 1), ``bits`` (its cross-entropy a symbol) and ``rejected``.
@@ -201,9 +193,9 @@ def identify(docs: DataFrame, models: CharModels, text: str = "text") -> DataFra
             n = batch.num_rows
             pred, score = np.full(n, UNDETERMINED, object), np.zeros(n)
             bits, rejected = np.full(n, np.nan), np.zeros(n, bool)
-            codes = [symbols(t.as_py() or "") for t in batch.column(1)]
-            for low, high in _groups(codes):
-                rows = [i for i in range(low, high) if len(codes[i])]
+            for low, high in slices([len(x.as_buffer() or b"") for x in batch.column(1)], CHUNK_BYTES):
+                codes = {i: c for i in range(low, high) if len(c := symbols(batch.column(1)[i].as_py() or ""))}
+                rows = list(codes)
                 if not rows or not m.languages:
                     continue
                 # Texts follow each other with a whole context of edges between them.

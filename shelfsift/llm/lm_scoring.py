@@ -29,9 +29,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 MU = 30.0
 #: Text bytes of a block and of a bucket's share, on average.
 BLOCK_BYTES = 12 << 20
+SLICE_BYTES = 2 << 20
 
 # Any fixed values: the end of a text as a word, the start as a state.
 END, START = np.uint64(0x5AFE0B57AC1E0E4D), np.uint64(0x1F3A9C58E2D7B604)
@@ -39,14 +42,19 @@ _LEFT, _RIGHT, _STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB
 
 
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit words of all texts, each text closed by END, and where each text ends."""
-    split = [t.lower().split() for t in texts]  # bytes: lowers A-Z alone, splits at ASCII white space
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    flat = list(chain.from_iterable(split))
-    number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
-    words = hashes[np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))] if flat else np.zeros(0, np.uint64)
-    return np.insert(words, np.cumsum(lengths), END), np.cumsum(lengths + 1)
+    """64-bit words of all texts, each text closed by END, and where each text ends. Words of
+    about SLICE_BYTES of text are held as such at once."""
+    parts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for low, high in slices([len(t) for t in texts], SLICE_BYTES):
+        split = [t.lower().split() for t in texts[low:high]]  # bytes: lowers A-Z alone, splits at ASCII white space
+        lengths = np.fromiter(map(len, split), np.int64, len(split))
+        flat = list(chain.from_iterable(split))
+        number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+        words = hashes[np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))] if flat else np.zeros(0, np.uint64)
+        parts.append(np.insert(words, np.cumsum(lengths), END))
+        counts.append(lengths + 1)
+    return np.concatenate(parts), np.cumsum(np.concatenate(counts))
 
 
 def pairs_of(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -326,9 +326,9 @@ def unique_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     turns = served.withColumn("_k", F.col("_turn") - F.when(F.col("_there").isNull(), 1).otherwise(0))
     # A taken number n, the i-th of its path, has n - i free ones below it. Taken numbers and waiting
     # files in one row, each taken one in front of the file that would get it: a file's number is its place.
-    waiting = turns.filter("_k > 0").select("_key", (F.col("_k") * 2).alias("_at"), "ord", "id")
-    line = waiting.unionByName(taken.select("_key", ((F.col("n") - F.col("_i")) * 2 + 1).alias("_at"), F.col("n").cast(waiting.schema["ord"].dataType).alias("ord"), F.lit(None).cast(waiting.schema["id"].dataType).alias("id")))
-    placed = ranked(line, ["_key"], ["_at", "ord", "id"], "suffix").filter("id IS NOT NULL").select("id", "suffix")
+    waiting = turns.filter("_k > 0").select("_key", (F.col("_k") * 2).alias("_slot"), "ord", "id")
+    line = waiting.unionByName(taken.select("_key", ((F.col("n") - F.col("_i")) * 2 + 1).alias("_slot"), F.col("n").cast(waiting.schema["ord"].dataType).alias("ord"), F.lit(None).cast(waiting.schema["id"].dataType).alias("id")))
+    placed = ranked(line, ["_key"], ["_slot", "ord", "id"], "suffix").filter("id IS NOT NULL").select("id", "suffix")
     joined = turns.join(placed, "id", "left").withColumn("suffix", F.coalesce("suffix", F.lit(0).cast("bigint")))
     name = base_name("planned_path")
     fresh = F.concat(

@@ -107,3 +107,26 @@ def test_unique_names(spark):
     existing = spark.createDataFrame([("/D/a.mkv",), ("/d/a (2).mkv",), ("/d/a (7).mkv",)], "full_path string")
     got = {r.id: r.final_path for r in P.unique_names(wanted, existing).collect()}
     assert got == {"0": "/d/a (1).mkv", "1": "/d/a (3).mkv", "2": "/d/a (4).mkv", "3": "/d/a (5).mkv", "x": "/d/b.mkv"}
+
+
+def test_unique_names_where_families_meet(spark):
+    """A numbered name that another file wants, or that exists, is never handed out."""
+    wanted = spark.createDataFrame([("1", 1, "/x/a.mkv"), ("2", 2, "/x/a.mkv"), ("3", 3, "/x/a (1).mkv"), ("4", 4, "/x/A (1).mkv"), ("5", 5, "/x/b (1999).mkv"), ("6", 6, "/x/b (1999).mkv"), ("7", 7, "/x/a.mkv"), ("8", 8, None)], "id string, ord int, planned_path string")
+    existing = spark.createDataFrame([("/x/a (3).mkv",), ("/X/c.mkv",)], "full_path string")
+    got = {r.id: r.final_path for r in P.unique_names(wanted, existing).collect()}
+    assert got == {"1": "/x/a.mkv", "2": "/x/a (2).mkv", "3": "/x/a (1).mkv", "4": "/x/A (1) (1).mkv", "5": "/x/b (1999).mkv", "6": "/x/b (1999) (1).mkv", "7": "/x/a (4).mkv"}
+
+
+@pytest.mark.parametrize("limit", [None, 3])
+def test_unique_names_are_unique(spark, limit):
+    import random
+
+    if limit:
+        spark.conf.set("spark.shelfsift.hotRows", limit)
+    rng = random.Random(6)
+    name = lambda: "/d/" + rng.choice("ab") + rng.choice(["", " (1)", " (2)", " (1) (1)", " (12)"]) + rng.choice([".mkv", ""])
+    wanted = spark.createDataFrame([(str(i), rng.randrange(40), name()) for i in range(120)], "id string, ord int, planned_path string")
+    taken = {name() for _ in range(12)}
+    paths = [r.final_path.lower() for r in P.unique_names(wanted, spark.createDataFrame([(t,) for t in taken], "full_path string")).collect()]
+    spark.conf.unset("spark.shelfsift.hotRows")
+    assert len(paths) == 120 == len(set(paths)) and not set(paths) & {t.lower() for t in taken}

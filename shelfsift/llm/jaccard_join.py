@@ -14,7 +14,7 @@ uses the bits that one side has and the other lacks. What is left is checked exa
 One tree over all classes would put them in one task. So classes are routed to trees first: tree i
 and the shingle that is least under hash function i. Two sets of similarity s meet in a tree of
 function i with chance s; that a linked pair (s >= 0.85) meets in none of ROUTES trees has a chance
-below 0.15^16 = 7e-14.
+below 0.15^12 = 2e-10.
 
 Large groups are linked in two rounds. The first gives each tree pivots: a class that no earlier
 pivot reaches is one, and every class is paired with the pivots in its reach. Checked links give
@@ -38,12 +38,13 @@ from .common import slices, written
 
 WORDS = 4
 SIMILARITY = (85, 100)
-ROUTES = 16
+ROUTES = 12
 TREE_ROWS = 4096
 LEAF, FAN = 16, 8
 #: Text bytes whose shingles a task holds at once.
 SLICE_BYTES = 2 << 20
-#: A class's bitmap has at least as many bits as two thirds of its shingles, and a power of two.
+#: A class's bitmap has at least four bits a shingle, and a power of two: most shingles that one of two
+#: sets lacks then show, and pairs a little below the similarity are left out without their sets.
 LEAST_BITS = 64
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -85,7 +86,7 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np
 
 
 def bitmap_bits(size: int) -> int:
-    return max(LEAST_BITS, 1 << int(np.ceil(np.log2(max(size / 1.5, 1)))))
+    return max(LEAST_BITS, 1 << int(np.ceil(np.log2(max(size * 4, 1)))))
 
 
 def _sums(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,8 +249,9 @@ def _pairs(second: bool):
     return run
 
 
-def _candidates(trees: DataFrame, second: bool) -> DataFrame:
-    """Distinct pairs that the trees leave. ``trees`` has tree, id, n, bits and component."""
+def _candidates(trees: DataFrame, bitmaps: DataFrame, second: bool) -> DataFrame:
+    """Distinct pairs that the trees leave. ``trees`` has tree, id and component; ``bitmaps`` id, n
+    and bits, which join last, so that they move once."""
     sizes = trees.groupBy("tree", "component").agg(F.count(F.lit(1)).alias("n"))
     facts = sizes.groupBy("tree").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "component")).alias("top"))
     large = facts.filter(F.col("rows") > TREE_ROWS).select("tree", F.ceil(F.col("rows") / TREE_ROWS).cast("int").alias("parts"), F.col("top.component").alias("main"))
@@ -257,11 +259,18 @@ def _candidates(trees: DataFrame, second: bool) -> DataFrame:
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     apart = F.col("parts").isNull() | (F.col("component") == F.col("main"))
     parts = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(apart, F.array(own)).otherwise(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    dealt = spread.select("tree", F.explode(parts).alias("part"), "id", "n", "bits", "component", (~apart).alias("everywhere"))
-    placed = dealt.repartition("tree", "part").sortWithinPartitions("tree", "part", "id")
+    dealt = spread.select("tree", F.explode(parts).alias("part"), "id", "component", (~apart).alias("everywhere"))
+    filled = dealt.join(bitmaps, "id").select("tree", "part", "id", "n", "bits", "component", "everywhere")
+    placed = filled.repartition("tree", "part").sortWithinPartitions("tree", "part", "id")
     return placed.mapInArrow(_pairs(second), "a long, b long").distinct()
 
 
+def _wide(record: bytes) -> np.ndarray:
+    own = np.zeros((len(record) // 6, 8), np.uint8)
+    own[:, :6] = np.frombuffer(record, np.uint8).reshape(-1, 6)
+    return own.view("<u8").ravel()
+
+
 def _checked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The pairs whose sets are similar enough, by their real intersection."""
     part, whole = similarity
@@ -270,8 +279,8 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = _wide(x.as_buffer()), _wide(y.as_buffer())
+                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 keep.append(whole * common >= part * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -286,7 +295,9 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.flatnonzero(sizes > 0)
         ends = np.cumsum(sizes)[some]
         one, two = _sums(sets, ends - sizes[some]) if len(some) else (ends, ends)
-        cells = [sets[e - n : e].tobytes() for e, n in zip(ends, sizes[some], strict=True)]
+        # Six bytes of a shingle tell the ones of two sets apart.
+        low = sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        cells = [low[e - n : e].tobytes() for e, n in zip(ends, sizes[some], strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(some)), pa.array(sizes[some]), pa.array(one), pa.array(two), pa.array(cells, pa.binary())],
             names=["id", "n_shingles", "one", "two", "set"],
@@ -309,13 +320,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = signed.filter("id IS NOT NULL")
     classes = members.groupBy("id").agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.min(F.struct("doc_id", "one", "least", "bits")).alias("x"))
     classes = written(classes.select("id", "label", "n", "x.least", "x.bits"), "classes")
-    routed = classes.select("id", "n", "bits", F.posexplode("least").alias("i", "shingle")).withColumn("tree", F.xxhash64("i", "shingle"))
-    # Most trees have one class; only the others' bitmaps are moved.
+    routed = classes.select("id", F.posexplode("least").alias("i", "shingle")).withColumn("tree", F.xxhash64("i", "shingle"))
+    # Most trees have one class and nothing to compare.
     several = routed.groupBy("tree").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("tree")
-    trees = written(routed.select("tree", "id", "n", "bits").join(several, "tree"), "trees")
+    trees = written(routed.select("tree", "id").join(several, "tree"), "trees")
 
-    single = trees.withColumn("component", F.col("id")).select("tree", "id", "n", "bits", "component")
-    first = written(_candidates(single, second=False), "pairs")
+    bitmaps = classes.select("id", "n", "bits")
+    first = written(_candidates(trees.withColumn("component", F.col("id")), bitmaps, second=False), "pairs")
     # Sets of the classes that any tree leaves a pair of, from one document of each.
     wanted = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()
     sources = members.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.coalesce(F.col("doc_id"), F.lit(-1))).alias("source")).select("id", "source")
@@ -326,8 +337,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = written(own.dropDuplicates(["id"]), "sets")
     close = written(_checked(first, sets, similarity), "links")
     label = connected_components(close.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    known = trees.join(label, "id", "left").select("tree", "id", "n", "bits", F.coalesce("component", "id").alias("component"))
-    rest = _candidates(known, second=True)
+    known = trees.join(label, "id", "left").select("tree", "id", F.coalesce("component", "id").alias("component"))
+    rest = _candidates(known, bitmaps, second=True)
     links = written(close.unionByName(_checked(rest, sets, similarity)), "links")
     reach = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     counted = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("links"))

@@ -73,7 +73,7 @@ class RuleStep:
     plugin_type: str | None = None
 
 
-# The judgement used when a category has no rules of its own.
+# The judgement used when a category has no rules of its own.
 BUILT_IN_STEPS = (
     RuleStep("Integrity"),
     RuleStep("Quality"),
@@ -84,6 +84,7 @@ BUILT_IN_STEPS = (
 # 100 ns ticks between year 1 and 1970.
 EPOCH_TICKS = 621355968000000000
 
+# Names of the fields as a user sees them.
 LABELS = {
     "Length": "Length", "Quality": "Quality", "Size": "Size", "Modified": "Date modified", "Integrity": "Integrity",
     "AlreadyFiled": "Already in the library", "NameLength": "Length of the name",
@@ -154,9 +155,9 @@ def choose_by_rules(
 
 def explain_step(step: RuleStep, label: str | None = None) -> str:
     """Caption of a step."""
-    direction = "the greater" if step.prefer == "greater" else "the lesser"
-    margin = f", when they differ by more than {step.tolerance:.2f}".rstrip("0").rstrip(".") if step.tolerance > 0 else ""
-    return f"Keep {direction} {(label or LABELS.get(step.field, step.field)).lower()}{margin}"
+    sign = "max" if step.prefer == "greater" else "min"
+    margin = f" ± {step.tolerance:g}" if step.tolerance > 0 else ""
+    return f"{sign} {label or LABELS.get(step.field, step.field)}{margin}"
 
 
 def show_value(step: RuleStep, value: Column) -> Column:
@@ -177,7 +178,7 @@ def show_value(step: RuleStep, value: Column) -> Column:
 
 def explain_pairs(pairs: DataFrame, steps: Sequence[RuleStep]) -> DataFrame:
     """For pairs with struct columns ``a`` and ``b`` holding v0.., the deciding step in words."""
-    why = F.lit("every step found them equal")
+    why = F.lit("all_equal")
     for i, step in reversed(list(enumerate(steps))):
         x, y = F.col(f"a.v{i}"), F.col(f"b.v{i}")
         text = F.concat(F.lit(f"{explain_step(step)} — "), show_value(step, x), F.lit(" against "), show_value(step, y))

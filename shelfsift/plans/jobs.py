@@ -20,13 +20,13 @@ def missing_information(library: Library) -> Column:
     """Why a file cannot be filed yet; null when it can. Needs ``category``."""
     category = F.col("category")
     return (
-        F.when(is_blank("category") | (category == "Unknown"), F.lit("no category — nothing says what this file is"))
-        .when(is_blank(library.folder(category)), F.concat(F.lit("no consolidation folder is set for '"), category, F.lit("'")))
-        .when(is_blank(effective_title()), F.lit("no title — a title is what decides the folder it goes in"))
+        F.when(is_blank("category") | (category == "Unknown"), F.lit("no_category"))
+        .when(is_blank(library.folder(category)), F.concat(F.lit("no_folder:"), category))
+        .when(is_blank(effective_title()), F.lit("no_title"))
         .when((category == "TvShow") & (F.col("season").isNull() | F.col("episode").isNull()),
-              F.lit("no season/episode — an episode with no number cannot be filed in a season"))
-        .when((category == "Movie") & F.col("year").isNull(), F.lit("no year — a film's folder is named \"Title (Year)\""))
-        .when(F.col("integrity") == "IncompleteDownload", F.lit("still downloading"))
+              F.lit("no_number"))
+        .when((category == "Movie") & F.col("year").isNull(), F.lit("no_year"))
+        .when(F.col("integrity") == "IncompleteDownload", F.lit("downloading"))
     )
 
 

@@ -36,14 +36,14 @@ def suggest_consolidation(files: DataFrame, library: Library, existing: DataFram
     linked = ~is_blank("linked_file_id")
     tv = category == "TvShow"
     against = [
-        F.when((F.col("_copies") > 1) & (F.col("id") != F.col("_best")), "lower quality than preferred copy"),
-        F.when(tv & ~title_verified(), "TV title not validated"),
-        F.when(tv & (F.col("season").isNull() | F.col("episode").isNull()), "missing season/episode"),
-        F.when(extra & ~linked, "extra with no linked film/show"),
-        F.when(F.col("collision") == "duplicate", "already in the consolidation location").when(F.col("collision") == "name taken", "name collision at destination"),
-        F.when(path_key("planned_path") == path_key("full_path"), "already in place"),
+        F.when((F.col("_copies") > 1) & (F.col("id") != F.col("_best")), "better_copy"),
+        F.when(tv & ~title_verified(), "title_unconfirmed"),
+        F.when(tv & (F.col("season").isNull() | F.col("episode").isNull()), "no_number"),
+        F.when(extra & ~linked, "extra_unlinked"),
+        F.when(F.col("collision") == "duplicate", "already_there").when(F.col("collision") == "name taken", "name_taken"),
+        F.when(path_key("planned_path") == path_key("full_path"), "in_place"),
     ]
-    travels = F.when(extra & linked, "extra — files with its film/show")
+    travels = F.when(extra & linked, "extra_travels")
     notes = F.array_compact(F.array(*against[:4], travels, *against[4:]))
     objections = F.array_compact(F.array(*against))
     return planned.select(

@@ -264,12 +264,12 @@ _SUGGEST = f"""ident AS (SELECT *, CASE category WHEN 'TvShow' THEN concat('tv|'
 best AS (SELECT ik, count(*) AS n, arg_min(id, (-{HEIGHT}, -size_bytes, ord, id)) AS best_id FROM ident GROUP BY ik),
 taken AS (SELECT upper(full_path) AS k, min(size_bytes) AS s FROM files GROUP BY 1),
 noted AS (SELECT i.id, i.full_path AS current_path, i.ppath AS proposed_path, i.category,
-   list_filter([CASE WHEN b.n > 1 AND b.best_id <> i.id THEN 'lower quality than preferred copy' END,
-     CASE WHEN category = 'TvShow' AND NOT {VERIFIED} THEN 'TV title not validated' END,
-     CASE WHEN category = 'TvShow' AND (season IS NULL OR episode IS NULL) THEN 'missing season/episode' END,
-     CASE WHEN category IN ('TvExtra','MovieExtra') THEN 'extra with no linked film/show' END,
-     CASE WHEN upper(ppath) <> upper(full_path) AND t.s = size_bytes THEN 'already in the consolidation location' WHEN upper(ppath) <> upper(full_path) AND t.s IS NOT NULL THEN 'name collision at destination' END,
-     CASE WHEN upper(ppath) = upper(full_path) THEN 'already in place' END], lambda x: x IS NOT NULL) AS notes
+   list_filter([CASE WHEN b.n > 1 AND b.best_id <> i.id THEN 'better_copy' END,
+     CASE WHEN category = 'TvShow' AND NOT {VERIFIED} THEN 'title_unconfirmed' END,
+     CASE WHEN category = 'TvShow' AND (season IS NULL OR episode IS NULL) THEN 'no_number' END,
+     CASE WHEN category IN ('TvExtra','MovieExtra') THEN 'extra_unlinked' END,
+     CASE WHEN upper(ppath) <> upper(full_path) AND t.s = size_bytes THEN 'already_there' WHEN upper(ppath) <> upper(full_path) AND t.s IS NOT NULL THEN 'name_taken' END,
+     CASE WHEN upper(ppath) = upper(full_path) THEN 'in_place' END], lambda x: x IS NOT NULL) AS notes
    FROM ident i JOIN best b ON b.ik = i.ik LEFT JOIN taken t ON t.k = upper(i.ppath) WHERE pdir IS NOT NULL)"""
 
 
@@ -280,9 +280,9 @@ def _(spark, sf):
 
 # --- jobs ------------------------------------------------------------------------------------------
 
-_REASON = """CASE WHEN category = 'Unknown' THEN 'no category — nothing says what this file is' WHEN category NOT IN ('TvShow','Movie','Audio') THEN concat('no consolidation folder is set for ''', category, '''')
-  WHEN trim(eff) = '' THEN 'no title — a title is what decides the folder it goes in' WHEN category = 'TvShow' AND (season IS NULL OR episode IS NULL) THEN 'no season/episode — an episode with no number cannot be filed in a season'
-  WHEN category = 'Movie' AND year IS NULL THEN 'no year — a film''s folder is named "Title (Year)"' WHEN integrity = 'IncompleteDownload' THEN 'still downloading' END"""
+_REASON = """CASE WHEN category = 'Unknown' THEN 'no_category' WHEN category NOT IN ('TvShow','Movie','Audio') THEN concat('no_folder:', category)
+  WHEN trim(eff) = '' THEN 'no_title' WHEN category = 'TvShow' AND (season IS NULL OR episode IS NULL) THEN 'no_number'
+  WHEN category = 'Movie' AND year IS NULL THEN 'no_year' WHEN integrity = 'IncompleteDownload' THEN 'downloading' END"""
 JOBS = f"""jf AS (SELECT *, {_REASON} AS reason, CASE WHEN sha256 <> '' THEN upper(sha256) ELSE concat('#', id) END AS content_key,
    upper(CASE WHEN category = 'Audio' THEN concat('name|', lower({STEM})) WHEN category = 'TvShow' THEN concat('tv|', {title_key('eff')}, printf('|S%03dE%03d', season, episode), CASE WHEN episode_end > episode THEN printf('-%03d', episode_end) ELSE '' END)
         ELSE concat(category, '|', {title_key('eff')}, '|', coalesce(CAST(year AS VARCHAR), '')) END) AS job_key

@@ -27,6 +27,8 @@ DISCOUNT = 0.75
 #: least hash, and at most so many characters of whole documents a language.
 SAMPLE_DOCS = 600
 SAMPLE_CHARS = 4_000_000
+#: And at most so many characters of all languages together.
+ALL_CHARS = 64_000_000
 MAX_LANGUAGES = 256
 #: Share of training documents that would be rejected under their own language.
 REJECT_SHARE = 0.001
@@ -168,7 +170,7 @@ def train(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str
     slices = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
     whole = Window.partitionBy("lang").orderBy("h")
     few = keyed.select("lang", "h", "n").distinct().withColumn("r", F.row_number().over(slices)).filter(F.col("r") <= SAMPLE_DOCS)
-    chosen = few.withColumn("r", F.row_number().over(whole)).withColumn("upto", F.sum("n").over(whole)).filter((F.col("r") <= SAMPLE_DOCS) & (F.col("upto") <= SAMPLE_CHARS))
+    chosen = few.withColumn("r", F.row_number().over(whole)).withColumn("upto", F.sum("n").over(whole)).filter((F.col("r") <= SAMPLE_DOCS) & (F.col("upto") <= min(SAMPLE_CHARS, ALL_CHARS // max(len(languages), 1))))
     rows = keyed.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "h", "text").collect()
     samples: dict[str, list[str]] = {x: [] for x in languages}
     for row in sorted(rows, key=lambda r: (r["lang"], r["h"])):

@@ -45,7 +45,22 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=1, keep=lambda ids: F.crc32(ids).alias("ids_crc32"))
 
 
-@query("op2_quality_rules")
+_RULES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+windows AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT r, sum(n) AS n FROM (SELECT r, least(3, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 3)) AS n FROM repeated) GROUP BY r),
+m AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+      length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+      CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS n_capitals
+      FROM w LEFT JOIN covered USING (r)),
+b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 4 * word_chars)::INT + 8 * (100 * n_dup_lines > 34 * n_lines)::INT
+      + 16 * (100 * n_letters < 60 * word_chars)::INT + 32 * (100 * n_capitals > 50 * n_letters)::INT + 64 * (word_chars > 14 * n_words)::INT AS BIGINT) AS failed_bits FROM m)
+SELECT *, failed_bits = 0 AS kept, failed_bits & 3 <> 0 AS base_failed FROM b"""
+
+
+@query("op2_quality_rules", _RULES_SQL)
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply_policy, ledger
 

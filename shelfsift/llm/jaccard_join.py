@@ -39,7 +39,7 @@ from .common import slices, written
 WORDS = 4
 SIMILARITY = (85, 100)
 ROUTES = 12
-TREE_ROWS = 4096
+TREE_ROWS = 1024
 LEAF, FAN = 16, 8
 #: Text bytes whose shingles a task holds at once.
 SLICE_BYTES = 2 << 20
@@ -271,22 +271,39 @@ def _wide(record: bytes) -> np.ndarray:
     return own.view("<u8").ravel()
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs whose sets are similar enough, by their real intersection."""
+def _most_common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many of two sorted lists of short hashes can be the same shingles: never less than are."""
+    x, y = (v.astype(np.uint64) << np.uint64(32) | (np.arange(len(v)) - np.searchsorted(v, v)).astype(np.uint64) for v in (x, y))
+    return len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    return len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+
+
+def _passing(pairs: DataFrame, sets: DataFrame, column: str, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs whose ``column`` of the sets leaves or shows enough in common."""
     part, whole = similarity
+    read, common = (lambda b: np.frombuffer(b, np.uint16), _most_common) if column == "short" else (_wide, _common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = _wide(x.as_buffer()), _wide(y.as_buffer())
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(whole * common >= part * (len(x) + len(y) - common))
+                x, y = read(x.as_buffer()), read(y.as_buffer())
+                n = common(x, y)
+                keep.append(whole * n >= part * (len(x) + len(y) - n))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col(column).alias("of_a")), "a")
+    both = with_a.join(sets.select(F.col("id").alias("b"), F.col(column).alias("of_b")), "b")
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs whose sets are similar enough, by their real intersection. Two bytes a shingle go
+    first, which leave out nearly all others; only what passes takes the sets along."""
+    return _passing(_passing(pairs, sets, "short", similarity), sets, "set", similarity)
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,18 +315,18 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Six bytes of a shingle tell the ones of two sets apart.
         low = sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         cells = [low[e - n : e].tobytes() for e, n in zip(ends, sizes[some], strict=True)]
+        short = [np.sort((sets[e - n : e] >> np.uint64(48)).astype(np.uint16)).tobytes() for e, n in zip(ends, sizes[some], strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(some)), pa.array(sizes[some]), pa.array(one), pa.array(two), pa.array(cells, pa.binary())],
-            names=["id", "n_shingles", "one", "two", "set"],
+            [batch.column(0).take(pa.array(some)), pa.array(sizes[some]), pa.array(one), pa.array(two), pa.array(short, pa.binary()), pa.array(cells, pa.binary())],
+            names=["id", "n_shingles", "one", "two", "short", "set"],
         )
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, n_shingles, links, component_id), a row a document.
+    """(doc_id, class_id, n_shingles, component_id), a row a document.
 
     Documents link if 100 * intersection >= 85 * union of their shingle sets. ``class_id`` is the
-    same for equal sets, ``links`` is the number of other classes that link with the document's
-    one, ``component_id`` the smallest document id reachable by links, itself included (null ids
+    same for equal sets, ``component_id`` the smallest document id reachable by links, itself included (null ids
     are passed over). Null text and texts without words have an empty set, no class and link with
     nothing. Repeated rows are in one class. An empty table gives an empty result.
     """
@@ -331,9 +348,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()
     sources = members.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.coalesce(F.col("doc_id"), F.lit(-1))).alias("source")).select("id", "source")
     texts = plain.withColumn("source", F.coalesce(F.col("doc_id"), F.lit(-1))).select("source", "bytes")
-    found = texts.join(sources, "source").select("id", "bytes").mapInArrow(_set_rows, "id long, n_shingles long, one long, two long, set binary")
+    found = texts.join(sources, "source").select("id", "bytes").mapInArrow(_set_rows, "id long, n_shingles long, one long, two long, short binary, set binary")
     # Rows with one document id may have different texts: only those of the class are its set.
-    own = found.filter(F.col("id") == F.xxhash64("n_shingles", "one", "two")).select("id", "set")
+    own = found.filter(F.col("id") == F.xxhash64("n_shingles", "one", "two")).select("id", "short", "set")
     sets = written(own.dropDuplicates(["id"]), "sets")
     close = written(_checked(first, sets, similarity), "links")
     label = connected_components(close.select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -341,11 +358,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rest = _candidates(known, bitmaps, second=True)
     links = written(close.unionByName(_checked(rest, sets, similarity)), "links")
     reach = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    counted = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     named = classes.select("id", "label").join(reach, "id", "left").select("id", "label", F.coalesce("component", "id").alias("component"))
     smallest = named.groupBy("component").agg(F.min("label").alias("component_id"))
-    facts = named.select("id", "component").join(smallest, "component").join(counted, "id", "left").select("id", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    facts = named.select("id", "component").join(smallest, "component").select("id", "component_id")
     return signed.join(facts, "id", "left").select(
-        "doc_id", F.col("id").alias("class_id"), "n_shingles", F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+        "doc_id", F.col("id").alias("class_id"), "n_shingles",
         F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )

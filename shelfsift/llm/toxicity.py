@@ -37,7 +37,7 @@ MAX_FEATURES = 512
 #: Lengths of word beginnings.
 STEMS = range(4, 10)
 #: Words whose features a worker remembers before it starts anew; never changes results.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Documents are toxic from this expected severity on.
 REJECT_FROM = 0.5
 

@@ -13,7 +13,7 @@ one in eighteen. The array is built twice over the same sampled splitters:
 
 Splitters are (leading bytes, document), so suffixes that a third of all documents share lie in
 many buckets. Only the first and the last range of a bucket can go on in another one: their
-strings are compared across boundaries by a grouped minimum, all others in place.
+strings are compared across boundaries, in buckets by their hash, all others in place.
 
 Strings are compared by 128 bits of two multilinear hashes in step 2; the chance that any
 two of 10^12 different strings are taken as equal is below 10^-13.
@@ -50,7 +50,6 @@ _WEIGHTS = np.random.default_rng(20240917).integers(1, 1 << 63, (2, _WIDTH), np.
 LAST_ID = (1 << 63) - 1
 
 CANDIDATES = "block long, blob binary"
-PENDING = "shift int, k1 long, k2 long, doc long, tag long, at long"
 
 
 def chosen_suffixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,6 +133,7 @@ def _read(blobs: list[bytes], *kinds: tuple) -> list[np.ndarray]:
 _SUFFIX = ((np.uint8, LEAD), ("<i8", None), ("<u4", None))
 _SEEN = ((np.uint8, _WIDTH), ("<i8", None), ("<u4", None), ("<u4", None), (np.uint8, None), (np.uint8, None))
 _FOUND = (("<i8", None), ("<u4", None))
+_EDGE = ((np.uint8, None), ("<i8", None), ("<i8", None), ("<i8", None), ("<u4", None), ("<u4", None))
 _SPANS = (("<i8", None), ("<u4", None), ("<u4", None), ("<u4", None))
 
 
@@ -343,26 +343,43 @@ def _settled(blocks: int):
     return run
 
 
-def _edge_strings(table: pa.Table) -> pa.Table:
+def _edge_strings(buckets: int):
     """The strings of a bucket's first and last range, where its first document holds them: only
-    there an earlier bucket matters, later documents of the bucket are settled already."""
-    (seen, doc, tag, at, near, far), bounds = _sorted_ranges(table)
-    parts = [pa.table({n: pa.array([], t) for n, t in (("shift", pa.int32()), *((c, pa.int64()) for c in ("k1", "k2", "doc", "tag", "at")))})]
-    edges = sorted({(int(bounds[0]), int(bounds[1])), (int(bounds[-2]), int(bounds[-1]))}) if len(doc) else []
-    for low, high in edges:
-        cut = slice(low, high)
-        for shift, rows, firsts, (k1, k2) in _strings(_sums(seen[cut]), doc[cut], near[cut], far[cut]):
-            open_ = doc[cut][rows] == firsts
-            own = rows[open_] + low
-            parts.append(pa.table([pa.array(np.full(len(own), shift, np.int32)), pa.array(k1[open_]), pa.array(k2[open_]), pa.array(doc[own]), pa.array(tag[own].astype(np.int64)), pa.array(at[own].astype(np.int64) - shift)], names=parts[0].column_names))
-    return pa.concat_tables(parts)
-
-
-def _spans_of(blocks: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, tag, at = (batch.column(i).to_numpy() for i in range(3))
-            yield from _by_block(doc, [doc.astype("<i8"), tag.astype("<u4"), at.astype("<u4"), (at + LENGTH).astype("<u4")], blocks).to_batches()
+    there an earlier bucket matters, later documents of the bucket are settled already. Dealt out
+    by hash, so a string meets itself with one record a bucket at most."""
+
+    def run(table: pa.Table) -> pa.Table:
+        (seen, doc, tag, at, near, far), bounds = _sorted_ranges(table)
+        parts = []
+        for low, high in sorted({(int(bounds[0]), int(bounds[1])), (int(bounds[-2]), int(bounds[-1]))}) if len(doc) else []:
+            for begin in range(low, high, AT_ONCE):
+                cut = slice(begin, min(begin + AT_ONCE, high))
+                for shift, rows, firsts, (k1, k2) in _strings(_sums(seen[cut]), doc[cut], near[cut], far[cut]):
+                    open_ = doc[cut][rows] == firsts
+                    own = rows[open_] + begin
+                    parts.append((np.full(len(own), shift, np.uint8), k1[open_], k2[open_], doc[own].astype("<i8"), tag[own].astype("<u4"), (at[own] - shift).astype("<u4")))
+        rows = []
+        if parts:
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            to = ((columns[1].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) != 0, [True]]))
+            rows = [(int(to[order[x]]), _write(*[c[order[x:y]] for c in columns])) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
+
+    return run
+
+
+def _compared(blocks: int):
+    """Spans of edge strings that an earlier document of another bucket holds."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shift, k1, k2, doc, tag, at = _read(table.column("blob").to_pylist(), *_EDGE)
+        order = np.lexsort((doc, k2, k1, shift))
+        new = np.concatenate([[True], (np.diff(shift[order]) != 0) | (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)])
+        first = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        late = order[doc[order] > first]
+        return _by_block(doc[late], [doc[late], tag[late], at[late], (at[late] + LENGTH).astype("<u4")], blocks)
 
     return run
 
@@ -423,11 +440,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     around = blocked.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_surroundings(splitters, text), "bucket long, blob binary")
     spread = around.repartition(buckets, "bucket")
     settled = spread.groupBy("bucket").applyInArrow(_settled(blocks), CANDIDATES)
-    strings = spread.groupBy("bucket").applyInArrow(_edge_strings, PENDING)
-    key = ["shift", "k1", "k2"]
-    first = strings.groupBy(*key).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
-    late = strings.join(first, key).filter(F.col("doc") > F.col("first")).select("doc", "tag", "at")
-    spans = settled.unionByName(late.mapInArrow(_spans_of(blocks), CANDIDATES))
+    edges = spread.groupBy("bucket").applyInArrow(_edge_strings(buckets), "bucket long, blob binary")
+    spans = settled.unionByName(edges.groupBy("bucket").applyInArrow(_compared(blocks), CANDIDATES))
     kind = docs.schema.simpleString()
     return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(
         _cut_out(text), f"doc {kind}, n_bytes long, kept binary, removed_starts array<long>, removed_ends array<long>"

@@ -9,6 +9,8 @@ fewer hashes than W, the least of all is chosen.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,31 +50,33 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1.0D ELSE size(array_intersect({a}, {b})) / size(array_union({a}, {b})) END")
 
 
-def with_next(df: DataFrame, doc_id: str, columns: list[str], prefix: str = "next_") -> DataFrame:
-    """Adds the columns of the document that follows in descending id (null id last), the first
-    one after the last.
+def with_next(
+    df: DataFrame, doc_id: str, columns: list[str], enrich: Callable[[DataFrame], DataFrame] = lambda d: d, derived: list[str] | None = None, prefix: str = "next_",
+) -> DataFrame:
+    """``enrich(df)`` with ``columns`` and ``derived`` (columns that ``enrich`` adds) of the document
+    that follows in descending id (null id last), the first one after the last.
 
     Ids are cut into ranges at approximate quantiles. A window looks inside a range; the last
     document of a range takes the first one of the next range from a table of one row a range.
+    Rows are moved before ``enrich`` works on them, and the window needs no further move.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = df.select(F.col(doc_id).cast("double").alias("x")).filter("x IS NOT NULL")
     cuts = sorted({int(x) for x in ids.approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
     at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(doc_id))), F.lit(0)) if cuts else F.lit(0)
     ranged = df.withColumn("_range", F.when(F.col(doc_id).isNull(), F.lit(-1)).otherwise(at))
+    whole = F.struct(*columns, *(derived or []))
     order = [F.col(doc_id).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in columns]]
     inside = Window.partitionBy("_range").orderBy(*order)
-    follow = F.lead(F.struct(*columns)).over(inside)
     # One row a range: its first document, found by its id alone and then by its columns.
     tops = ranged.groupBy("_range").agg(F.max(doc_id).alias("_top"))
     around = Window.orderBy(F.col("_range").desc())
     ring = tops.withColumn("_from", F.coalesce(F.lag("_range").over(around), F.min("_range").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    first = ranged.join(F.broadcast(ring), ranged["_range"].eqNullSafe(ring["_range"]) & ranged[doc_id].eqNullSafe(ring["_top"])).select("_from", F.struct(*columns).alias("_first"))
-    heads = first.groupBy("_from").agg(F.max("_first").alias("_first"))
-    joined = ranged.withColumn("_next", follow).join(heads, F.col("_range") == F.col("_from"), "left")
+    first = ranged.join(F.broadcast(ring), ranged["_range"].eqNullSafe(ring["_range"]) & ranged[doc_id].eqNullSafe(ring["_top"]))
+    heads = enrich(first.groupBy("_from").agg(F.max(F.struct(*columns)).alias("_head")).select("_from", "_head.*")).select("_from", whole.alias("_first"))
+    joined = enrich(ranged.repartition("_range")).withColumn("_next", F.lead(whole).over(inside)).join(heads, F.col("_range") == F.col("_from"), "left")
     chosen = F.coalesce("_next", "_first")
-    return joined.withColumns({prefix + c: chosen[c] for c in columns}).drop("_range", "_next", "_from", "_first")
+    return joined.withColumns({prefix + c: chosen[c] for c in [*columns, *(derived or [])]}).drop("_range", "_next", "_from", "_first")
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, w: int = W) -> DataFrame:
@@ -82,8 +86,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     by text. A lone document is its own next one. Other columns are not read.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = with_fingerprint(base, "text", "own", k, w)
-    return with_next(own, "doc_id", ["text", "own_hashes"])
+    return with_next(base, "doc_id", ["text"], lambda d: with_fingerprint(d, "text", "own", k, w), ["own_hashes"])
 
 
 def edited(docs: DataFrame, share: int = 3, k: int = K, w: int = W) -> DataFrame:

@@ -16,21 +16,21 @@ and the shingle that is least under hash function i. Two sets of similarity s me
 function i with chance s; that a linked pair (s >= 0.85) meets in none of ROUTES trees has a chance
 below 0.15^12 = 2e-10.
 
-Large groups are linked in two rounds. The first gives each tree pivots: a class that no earlier
-pivot reaches is one, and every class is paired with the pivots in its reach. Checked links give
-components. The second pairs classes of different components only, so a group of near copies that
-hangs together already is not paired within. A tree with more than TREE_ROWS classes is cut into
-parts: classes of its largest component go to one part each, all others to every part.
+A tree's task gives a spanning forest of the pairs that its bounds leave, never the pairs. The forests
+of all trees make loose groups: no link leads out of one. A group with more than TREE_ROWS classes or
+GROUP_SHINGLES shingles is cut into slices, and every two slices meet in one cell. A cell has the sets
+of its classes, counts the shingles that every two have in common, and gives each class's links there
+and a spanning forest of them. So each pair of classes is checked exactly, once, and is never a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.fingerprints import connected_components
@@ -41,6 +41,9 @@ SIMILARITY = (85, 100)
 ROUTES = 12
 TREE_ROWS = 1024
 LEAF, FAN = 16, 8
+#: Shingles of a slice of a loose group, about; and columns of its matrix that are held at once.
+GROUP_SHINGLES = 1 << 20
+COLUMNS = 2048
 #: Text bytes whose shingles a task holds at once.
 SLICE_BYTES = 2 << 20
 #: A class's bitmap has at least four bits a shingle, and a power of two: most shingles that one of two
@@ -189,144 +192,146 @@ def _open(level: tuple, a: np.ndarray, b: np.ndarray, part: int, whole: int) ->
     return a[keep], b[keep]
 
 
-def _pairs(second: bool):
-    """Rows of trees, each tree's rows together, to pairs of classes (smaller id first)."""
-
-    def pairs(rows: dict[str, list]) -> pa.RecordBatch:
-        ids, sizes = np.array(rows["id"], np.int64), np.array(rows["n"], np.int64)
-        a_all, b_all = [], []
-        reached = np.zeros(len(ids), bool)
-        groups = np.array(rows["component"], np.int64)
-        whole = np.array(rows["everywhere"], bool)
-        for i, j in tree_pairs(sizes, rows["bits"]):
-            if second:
-                # Two rows that are in every part are paired in part 0 alone.
-                keep = (groups[i] != groups[j]) & (~(whole[i] & whole[j]) | (rows["part"][0] == 0))
-                a_all.append(i[keep])
-                b_all.append(j[keep])
-            else:
-                a_all.append(i)
-                b_all.append(j)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_all, b_all))
-        if not second and len(a):
-            # Pivots by size: a class not reached by an earlier pivot is one, and keeps all its pairs.
-            rank = np.argsort(np.argsort(sizes, kind="stable"))
-            sides = np.concatenate([a, b]), np.concatenate([b, a])
-            by = np.argsort(rank[sides[0]], kind="stable")
-            left, right = sides[0][by], sides[1][by]
-            edges = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1], [True]]))
-            chosen = []
-            for low, high in zip(edges[:-1], edges[1:], strict=True):
-                if not reached[left[low]]:
-                    reached[left[low]] = True
-                    reached[right[low:high]] = True
-                    chosen.append((left[low:high], right[low:high]))
-            a, b = np.concatenate([c[0] for c in chosen]), np.concatenate([c[1] for c in chosen])
-        first, last = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-        return pa.RecordBatch.from_arrays([pa.array(first), pa.array(last)], names=["a", "b"])
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The pairs that join two groups; ``label`` has the group of each index and is brought up to date."""
+    for at in range(0, len(i), 1 << 12):
+        x, y = i[at : at + (1 << 12)], j[at : at + (1 << 12)]
+        differ = label[x] != label[y]
+        for k, m in zip(x[differ].tolist(), y[differ].tolist(), strict=True):
+            if label[k] != label[m]:
+                label[label == label[m]] = label[k]
+                yield k, m
+
+
+def _grouped(names: list[str], key: list[str], work) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on the rows of each key, which follow each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["tree", "part", "id", "n", "bits", "component", "everywhere"]
         held: dict[str, list] = {c: [] for c in names}
+        last = None
         for batch in batches:
             columns = batch.to_pydict()
-            keys = list(zip(columns["tree"], columns["part"], strict=True))
+            keys = list(zip(*(columns[k] for k in key), strict=True))
             at = 0
             while at < len(keys):
-                if held["tree"] and keys[at] != (held["tree"][0], held["part"][0]):
-                    if len(held["tree"]) > 1:
-                        yield pairs(held)
-                    held = {c: [] for c in names}
+                if keys[at] != last:
+                    if len(held["id"]) > 1:
+                        yield from work(held)
+                    held, last = {c: [] for c in names}, keys[at]
                 end = at + 1
-                while end < len(keys) and keys[end] == keys[at]:
+                while end < len(keys) and keys[end] == last:
                     end += 1
                 for c in names:
                     held[c] += columns[c][at:end]
                 at = end
-        if len(held["tree"]) > 1:
-            yield pairs(held)
+        if len(held["id"]) > 1:
+            yield from work(held)
 
     return run
 
 
-def _candidates(trees: DataFrame, bitmaps: DataFrame, second: bool) -> DataFrame:
-    """Distinct pairs that the trees leave. ``trees`` has tree, id and component; ``bitmaps`` id, n
-    and bits, which join last, so that they move once."""
-    sizes = trees.groupBy("tree", "component").agg(F.count(F.lit(1)).alias("n"))
-    facts = sizes.groupBy("tree").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "component")).alias("top"))
-    large = facts.filter(F.col("rows") > TREE_ROWS).select("tree", F.ceil(F.col("rows") / TREE_ROWS).cast("int").alias("parts"), F.col("top.component").alias("main"))
-    spread = trees.join(large, "tree", "left")
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    apart = F.col("parts").isNull() | (F.col("component") == F.col("main"))
-    parts = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(apart, F.array(own)).otherwise(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    dealt = spread.select("tree", F.explode(parts).alias("part"), "id", "component", (~apart).alias("everywhere"))
-    filled = dealt.join(bitmaps, "id").select("tree", "part", "id", "n", "bits", "component", "everywhere")
-    placed = filled.repartition("tree", "part").sortWithinPartitions("tree", "part", "id")
-    return placed.mapInArrow(_pairs(second), "a long, b long").distinct()
+def _forest(similarity: tuple[int, int]):
+    """Rows of a tree to the pairs of classes that span what its bounds leave."""
 
+    def forest(rows: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        ids = np.array(rows["id"], np.int64)
+        label = np.arange(len(ids))
+        edges = [e for i, j in tree_pairs(np.array(rows["n"], np.int64), rows["bits"], similarity) for e in _joined(label, i, j)]
+        if edges:
+            ends = ids[np.array(edges)]
+            yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], names=["a", "b"])
 
-def _wide(record: bytes) -> np.ndarray:
-    own = np.zeros((len(record) // 6, 8), np.uint8)
-    own[:, :6] = np.frombuffer(record, np.uint8).reshape(-1, 6)
-    return own.view("<u8").ravel()
+    return forest
 
 
-def _most_common(x: np.ndarray, y: np.ndarray) -> int:
-    """How many of two sorted lists of short hashes can be the same shingles: never less than are."""
-    x, y = (v.astype(np.uint64) << np.uint64(32) | (np.arange(len(v)) - np.searchsorted(v, v)).astype(np.uint64) for v in (x, y))
-    return len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+def _candidates(trees: DataFrame, bitmaps: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs that span what the trees leave. ``trees`` has tree and id; ``bitmaps`` id, n and bits,
+    which join last, so that they move once."""
+    filled = trees.join(bitmaps, "id").select("tree", "id", "n", "bits")
+    placed = filled.repartition("tree").sortWithinPartitions("tree", "id")
+    return placed.mapInArrow(_grouped(["tree", "id", "n", "bits"], ["tree"], _forest(similarity)), "a long, b long").distinct()
 
 
-def _common(x: np.ndarray, y: np.ndarray) -> int:
-    return len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+def _wide(record: bytes) -> np.ndarray:
+    own = np.zeros((len(record) // 6, 8), np.uint8)
+    own[:, :6] = np.frombuffer(record, np.uint8).reshape(-1, 6)
+    return own.view("<u8").ravel()
 
 
-def _passing(pairs: DataFrame, sets: DataFrame, column: str, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs whose ``column`` of the sets leaves or shows enough in common."""
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each of the ``left`` sets has in common with each of the ``right`` ones."""
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    several = counts[place] > 1
+    column, row = (np.cumsum(counts > 1) - 1)[place[several]], row[several]
+    by = np.argsort(column, kind="stable")
+    column, row = column[by], row[by]
+    out = np.zeros((len(left), len(right)))
+    starts = np.arange(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS)
+    for start, low, high in zip(starts, np.searchsorted(column, starts), np.searchsorted(column, starts + COLUMNS), strict=True):
+        has = np.zeros((len(sets), int(column[high - 1]) + 1 - start), np.float32)
+        has[row[low:high], column[low:high] - start] = 1
+        out += has[left] @ has[right].T
+    return out
+
+
+def _cell(similarity: tuple[int, int]):
+    """Rows of two slices of a loose group, or of one, to (id, a class it hangs together with, links)."""
     part, whole = similarity
-    read, common = (lambda b: np.frombuffer(b, np.uint16), _most_common) if column == "short" else (_wide, _common)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = read(x.as_buffer()), read(y.as_buffer())
-                n = common(x, y)
-                keep.append(whole * n >= part * (len(x) + len(y) - n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col(column).alias("of_a")), "a")
-    both = with_a.join(sets.select(F.col("id").alias("b"), F.col(column).alias("of_b")), "b")
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
-
-
-def _checked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs whose sets are similar enough, by their real intersection. Two bytes a shingle go
-    first, which leave out nearly all others; only what passes takes the sets along."""
-    return _passing(_passing(pairs, sets, "short", similarity), sets, "set", similarity)
+    def cell(rows: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        # A class may come from several documents.
+        ids, first = np.unique(np.array(rows["id"], np.int64), return_index=True)
+        own = np.array(rows["own"])[first]
+        alone = rows["low"][0] == rows["high"][0]
+        left, right = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(own == rows[k][0]) for k in ("low", "high"))
+        sets = [_wide(rows["set"][i]) for i in first]
+        n = np.array([len(x) for x in sets])
+        common = _common(sets, left, right)
+        linked = whole * common >= part * (n[left][:, None] + n[right] - common)
+        if alone:
+            np.fill_diagonal(linked, False)
+        links = np.zeros(len(ids), np.int64)
+        links[left] = linked.sum(axis=1)
+        links[right] = linked.sum(axis=0)
+        label = np.arange(len(ids))
+        i, j = np.nonzero(linked)
+        for _ in _joined(label, left[i], right[j]):
+            pass
+        some = links > 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]]), pa.array(links[some])], names=["id", "root", "links"])
+
+    return cell
+
+
+def _sliced(rows: DataFrame, key: str, parts: Column) -> DataFrame:
+    """Rows with own (a slice), low and high (the slices of a cell), once for each cell of ``key`` with the slice."""
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id", key), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)))
+    return own.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _in_slices(batches):
-        sets, sizes = shingle_sets([x.as_py() for x in batch.column(1)])
-        some = np.flatnonzero(sizes > 0)
-        ends = np.cumsum(sizes)[some]
-        one, two = _sums(sets, ends - sizes[some]) if len(some) else (ends, ends)
-        # Six bytes of a shingle tell the ones of two sets apart.
-        low = sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        cells = [low[e - n : e].tobytes() for e, n in zip(ends, sizes[some], strict=True)]
-        short = [np.sort((sets[e - n : e] >> np.uint64(48)).astype(np.uint16)).tobytes() for e, n in zip(ends, sizes[some], strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(some)), pa.array(sizes[some]), pa.array(one), pa.array(two), pa.array(short, pa.binary()), pa.array(cells, pa.binary())],
-            names=["id", "n_shingles", "one", "two", "short", "set"],
-        )
+    """(id, bytes, wanted columns) to (id, set, wanted columns), where the text has the class's set."""
+    for batch in batches:
+        for low, high in slices([len(x.as_buffer() or b"") for x in batch.column("bytes")], SLICE_BYTES):
+            some = batch.slice(low, high - low)
+            sets, sizes = shingle_sets([x.as_py() for x in some.column("bytes")])
+            ends = np.cumsum(sizes)
+            # Six bytes of a shingle tell the ones of two sets apart.
+            six = sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            one, two = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+            if len(sets):
+                one[sizes > 0], two[sizes > 0] = _sums(sets, (ends - sizes)[sizes > 0])
+            kept = {"n_shingles": pa.array(sizes), "one": pa.array(one), "two": pa.array(two), "set": pa.array([six[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())}
+            yield pa.RecordBatch.from_pydict(kept | {c: some.column(c) for c in ("id", "component", "parts")})
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, n_shingles, component_id), a row a document.
+    """(doc_id, class_id, n_shingles, links, component_id), a row a document.
 
     Documents link if 100 * intersection >= 85 * union of their shingle sets. ``class_id`` is the
-    same for equal sets, ``component_id`` the smallest document id reachable by links, itself included (null ids
+    same for equal sets, ``links`` is the number of other classes that link with the document's
+    one, ``component_id`` the smallest document id reachable by links, itself included (null ids
     are passed over). Null text and texts without words have an empty set, no class and link with
     nothing. Repeated rows are in one class. An empty table gives an empty result.
     """
@@ -343,25 +348,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     trees = written(routed.select("tree", "id").join(several, "tree"), "trees")
 
     bitmaps = classes.select("id", "n", "bits")
-    first = written(_candidates(trees.withColumn("component", F.col("id")), bitmaps, second=False), "pairs")
+    forest = written(_candidates(trees, bitmaps, similarity), "forest")
+    loose = connected_components(forest.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    loose = written(loose.join(classes.select("id", "n"), "id"), "loose")
     # Sets of the classes that any tree leaves a pair of, from one document of each.
-    wanted = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()
-    sources = members.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.coalesce(F.col("doc_id"), F.lit(-1))).alias("source")).select("id", "source")
+    parts = F.least(F.count(F.lit(1)), F.greatest(F.ceil(F.count(F.lit(1)) / TREE_ROWS), F.ceil(F.sum("n") / GROUP_SHINGLES)))
+    wanted = loose.join(loose.groupBy("component").agg(parts.alias("parts")), "component").select("id", "component", "parts")
+    sources = members.groupBy("id").agg(F.min(F.coalesce(F.col("doc_id"), F.lit(-1))).alias("source")).join(wanted, "id")
     texts = plain.withColumn("source", F.coalesce(F.col("doc_id"), F.lit(-1))).select("source", "bytes")
-    found = texts.join(sources, "source").select("id", "bytes").mapInArrow(_set_rows, "id long, n_shingles long, one long, two long, short binary, set binary")
+    found = texts.join(sources, "source").select("id", "bytes", "component", "parts")
+    found = found.mapInArrow(_set_rows, "n_shingles long, one long, two long, set binary, id long, component long, parts long")
     # Rows with one document id may have different texts: only those of the class are its set.
-    own = found.filter(F.col("id") == F.xxhash64("n_shingles", "one", "two")).select("id", "short", "set")
-    sets = written(own.dropDuplicates(["id"]), "sets")
-    close = written(_checked(first, sets, similarity), "links")
-    label = connected_components(close.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    known = trees.join(label, "id", "left").select("tree", "id", F.coalesce("component", "id").alias("component"))
-    rest = _candidates(known, bitmaps, second=True)
-    links = written(close.unionByName(_checked(rest, sets, similarity)), "links")
-    reach = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    sets = found.filter(F.col("id") == F.xxhash64("n_shingles", "one", "two")).select("id", "component", "parts", "set")
+    cell = ["component", "low", "high"]
+    dealt = _sliced(sets, "component", F.col("parts")).select(*cell, "own", "id", "set").repartition(*cell).sortWithinPartitions(*cell, "id")
+    linked = written(dealt.mapInArrow(_grouped([*cell, "own", "id", "set"], cell, _cell(similarity)), "id long, root long, links long"), "links")
+    reach = connected_components(linked.select(F.col("id").alias("src"), F.col("root").alias("dst")))
+    counted = linked.groupBy("id").agg(F.sum("links").alias("links"))
     named = classes.select("id", "label").join(reach, "id", "left").select("id", "label", F.coalesce("component", "id").alias("component"))
     smallest = named.groupBy("component").agg(F.min("label").alias("component_id"))
-    facts = named.select("id", "component").join(smallest, "component").select("id", "component_id")
+    facts = named.select("id", "component").join(smallest, "component").join(counted, "id", "left").select("id", "component_id", "links")
     return signed.join(facts, "id", "left").select(
-        "doc_id", F.col("id").alias("class_id"), "n_shingles",
+        "doc_id", F.col("id").alias("class_id"), "n_shingles", F.coalesce("links", F.lit(0)).cast("long").alias("links"),
         F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )

@@ -137,6 +137,24 @@ def test_join_of_nothing(empty):
     assert joined(empty) == []
 
 
+def counted(rows):
+    """(id, size, links) of each row: the other sets that are similar enough."""
+    sets = [frozenset(shingles(r[1])) for r in rows]
+    kinds = {s for s in sets if s}
+    count = {s: sum(s != t and 100 * len(s & t) >= 85 * len(s | t) for t in kinds) for s in kinds}
+    return sorted(((r[0], len(s), count.get(s, 0)) for r, s in zip(rows, sets, strict=True)), key=repr)
+
+
+@pytest.mark.parametrize(("tree_rows", "shingles_each"), [(4096, 1 << 20), (8, 1 << 20), (4096, 700)])
+def test_links_inside_a_group_are_counted(make, edge_rows, monkeypatch, tree_rows, shingles_each):
+    monkeypatch.setattr(jaccard_join, "TREE_ROWS", tree_rows)
+    monkeypatch.setattr(jaccard_join, "GROUP_SHINGLES", shingles_each, raising=False)
+    rows = chain_rows() + [(1000 + (r[0] or 0), *r[1:]) for r in edge_rows]
+    found = near_duplicates(make(rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.links) for r in found), key=repr) == counted(rows)
+    assert max(r.links for r in found) > 25
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 90), min_size=1, max_size=60), min_size=2, max_size=60))
 def test_trees_leave_every_linked_pair(sets):

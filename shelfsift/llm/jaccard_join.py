@@ -16,7 +16,8 @@ and the shingle that is least under hash function i. Two sets of similarity s me
 function i with chance s; that a linked pair (s >= 0.85) meets in none of ROUTES trees has a chance
 below 0.15^12 = 2e-10.
 
-A tree's task gives a spanning forest of the pairs that its bounds leave, never the pairs. The forests
+A tree with more than TREE_ROWS classes is cut into slices, and every two slices meet in one cell, so a
+task holds two slices. It gives a spanning forest of the pairs that the bounds leave, never the pairs. The forests
 of all trees make loose groups: no link leads out of one. A group with more than TREE_ROWS classes or
 GROUP_SHINGLES shingles is cut into slices, and every two slices meet in one cell. A cell has the sets
 of its classes, counts the shingles that every two have in common, and gives each class's links there
@@ -44,6 +45,8 @@ LEAF, FAN = 16, 8
 #: Shingles of a slice of a loose group, about; and columns of its matrix that are held at once.
 GROUP_SHINGLES = 1 << 20
 COLUMNS = 2048
+#: Pairs of a tree's nodes that are opened at once.
+HELD = 1 << 16
 #: Text bytes whose shingles a task holds at once.
 SLICE_BYTES = 2 << 20
 #: A class's bitmap has at least four bits a shingle, and a power of two: most shingles that one of two
@@ -133,19 +136,23 @@ def _fold(bitmap: np.ndarray, width: int) -> np.ndarray:
 
 
 def tree_pairs(sizes: np.ndarray, bitmaps: list[bytes], similarity: tuple[int, int] = SIMILARITY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j in order of size) that the bounds of a signature tree leave. Bitmaps are
-    folded to the narrowest of a run of sizes that can meet, which keeps every bound valid."""
+    """Index pairs (the smaller set first) that the bounds of a signature tree leave. The sets of one
+    width of bitmap are taken with the wider ones that they can meet, folded to that width, which
+    keeps every bound valid."""
     part, whole = similarity
     order = np.argsort(sizes, kind="stable")
-    ranked = sizes[order]
-    breaks = np.flatnonzero(whole * ranked[:-1] < part * ranked[1:]) + 1
-    for low, high in zip([0, *breaks], [*breaks, len(order)], strict=True):
+    ranked = sizes[order].astype(np.int64)
+    widths = np.fromiter((len(bitmaps[i]) for i in order), np.int64, len(order))
+    for width in np.unique(widths):
+        low, wider = np.searchsorted(widths, width), np.searchsorted(widths, width, "right")
+        high = np.searchsorted(part * ranked, whole * ranked[wider - 1], "right")
         if high - low < 2:
             continue
-        own, n = order[low:high], ranked[low:high].astype(np.int64)
-        width = min(len(bitmaps[i]) for i in own)
+        own, n = order[low:high], ranked[low:high]
         bits = np.stack([_fold(np.frombuffer(bitmaps[i], np.uint8), width) for i in own]).view(np.uint64)
-        yield from ((own[a], own[b]) for a, b in _traverse(n, bits, part, whole))
+        for a, b in _traverse(n, bits, part, whole):
+            new = a < wider - low
+            yield own[a[new]], own[b[new]]
 
 
 def _traverse(n: np.ndarray, bits: np.ndarray, part: int, whole: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -157,25 +164,30 @@ def _traverse(n: np.ndarray, bits: np.ndarray, part: int, whole: int) -> Iterato
         cut = np.arange(0, len(least), fan)
         levels.append((np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut), np.maximum.reduceat(shared, cut), np.bitwise_or.reduceat(held, cut, axis=0)))
         fan = FAN
-    a = b = np.zeros(1, np.int64)
-    for depth in range(len(levels) - 1, 0, -1):
+    # A stack of node pairs, deepest first, so that few of them are held at once.
+    stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while stack:
+        depth, a, b = stack.pop()
+        if depth == 0:
+            differ = a < b
+            i, j = a[differ], b[differ]
+            meet = whole * n[i] >= part * n[j]
+            i, j = i[meet], j[meet]
+            common = np.bitwise_count(bits[i] & bits[j]).sum(axis=1).astype(np.int64)
+            most = np.minimum(n[i] - ones[i] + common, n[j] - ones[j] + common)
+            fits = (whole + part) * most >= part * (n[i] + n[j])
+            yield i[fits], j[fits]
+            continue
         a, b = _open(levels[depth], a, b, part, whole)
         fan = LEAF if depth == 1 else FAN
         below = len(levels[depth - 1][0])
         child = np.arange(fan)
-        x, y = np.repeat(a * fan, fan * fan) + np.tile(np.repeat(child, fan), len(a)), np.repeat(b * fan, fan * fan) + np.tile(np.tile(child, fan), len(b))
-        keep = (x < below) & (y < below) & (x <= y)
-        a, b = x[keep], y[keep]
-    differ = a < b
-    a, b = a[differ], b[differ]
-    for at in range(0, len(a), 1 << 16):
-        i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-        meet = whole * n[i] >= part * n[j]
-        i, j = i[meet], j[meet]
-        common = np.bitwise_count(bits[i] & bits[j]).sum(axis=1).astype(np.int64)
-        most = np.minimum(n[i] - ones[i] + common, n[j] - ones[j] + common)
-        fits = (whole + part) * most >= part * (n[i] + n[j])
-        yield i[fits], j[fits]
+        some = max(1, HELD // fan**2)
+        for at in range(0, len(a), some):
+            p, q = a[at : at + some], b[at : at + some]
+            x, y = np.repeat(p * fan, fan * fan) + np.tile(np.repeat(child, fan), len(p)), np.repeat(q * fan, fan * fan) + np.tile(np.tile(child, fan), len(q))
+            keep = (x < below) & (y < below) & (x <= y)
+            stack.append((depth - 1, x[keep], y[keep]))
 
 
 def _open(level: tuple, a: np.ndarray, b: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,10 +258,13 @@ def _forest(similarity: tuple[int, int]):
 
 def _candidates(trees: DataFrame, bitmaps: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Pairs that span what the trees leave. ``trees`` has tree and id; ``bitmaps`` id, n and bits,
-    which join last, so that they move once."""
-    filled = trees.join(bitmaps, "id").select("tree", "id", "n", "bits")
-    placed = filled.repartition("tree").sortWithinPartitions("tree", "id")
-    return placed.mapInArrow(_grouped(["tree", "id", "n", "bits"], ["tree"], _forest(similarity)), "a long, b long").distinct()
+    which join last, so that they move once to each cell of their tree."""
+    large = trees.groupBy("tree").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > TREE_ROWS)
+    parts = trees.join(large.select("tree", F.ceil(F.col("rows") / TREE_ROWS).alias("parts")), "tree", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cell = ["tree", "low", "high"]
+    filled = _sliced(parts, "tree", F.col("parts")).join(bitmaps, "id").select(*cell, "id", "n", "bits")
+    placed = filled.repartition(*cell).sortWithinPartitions(*cell, "id")
+    return placed.mapInArrow(_grouped([*cell, "id", "n", "bits"], cell, _forest(similarity)), "a long, b long").distinct()
 
 
 def _wide(record: bytes) -> np.ndarray:

@@ -166,3 +166,41 @@ def test_trees_leave_every_linked_pair(sets):
     left = {frozenset(p) for i, j in jaccard_join.tree_pairs(sizes, maps) for p in zip(i.tolist(), j.tolist(), strict=True)}
     linked = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
     assert linked <= left
+
+
+def test_a_hot_tree_is_dealt_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TREE_ROWS", 16)
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(7, i, 40, bytes([i % 256, 255]) + bytes(30)) for i in range(100)]
+    cells = jaccard_join._grouped
+
+    def watched(names, key, work):
+        def held(rows):
+            seen.add(len(rows["id"]) > 60)
+            return work(rows)
+
+        return cells(names, key, held)
+
+    monkeypatch.setattr(jaccard_join, "_grouped", watched)
+    trees = spark.createDataFrame([r[:2] for r in rows], "tree long, id long")
+    bitmaps = spark.createDataFrame([r[1:] for r in rows], "id long, n long, bits binary")
+    found = jaccard_join._candidates(trees, bitmaps, (85, 100)).collect()
+    # All are in reach of each other, and still no task has the tree and the result is no list of all pairs.
+    assert seen.value == 0 and len(found) < 1000
+    near = {i: {i} for i in range(100)}
+    for a, b in found:
+        whole = near[a] | near[b]
+        for k in whole:
+            near[k] = whole
+    assert len(near[0]) == 100
+
+
+def test_a_short_set_does_not_blunt_the_bitmaps_of_long_ones():
+    rng = np.random.default_rng(3)
+    sizes = np.array([4 * 1.1**k for k in range(60)], np.int64)
+    maps = []
+    for n in sizes:
+        bits = np.zeros(jaccard_join.bitmap_bits(n), bool)
+        bits[rng.integers(0, len(bits), n)] = True
+        maps.append(np.packbits(bits, bitorder="little").tobytes())
+    assert sum(len(i) for i, _ in jaccard_join.tree_pairs(sizes, maps)) < 10

@@ -24,12 +24,17 @@ from .common import slices
 ORDER = 4
 DISCOUNT = 0.75
 #: The models are fitted on the driver from at most so many documents a language, those with the
-#: least hash, and at most so many characters of whole documents a language.
+#: least hash, and at most so many characters a language. A document gives at most the first
+#: DOC_SHARE-th of those, so one that is longer ends no sample.
 SAMPLE_DOCS = 600
 SAMPLE_CHARS = 4_000_000
+DOC_SHARE = 8
 #: And at most so many characters of all languages together.
 ALL_CHARS = 64_000_000
-MAX_LANGUAGES = 256
+#: The arrays have a row for an n-gram of any language and a column for each language, so from
+#: FEW_LANGUAGES on characters times languages squared are bounded as well. No language is left out.
+FEW_LANGUAGES = 16
+CELLS = 1 << 28
 #: Share of training documents that would be rejected under their own language.
 REJECT_SHARE = 0.001
 UNDETERMINED = "und"
@@ -159,19 +164,28 @@ def entropy(models: CharModels, text: str) -> np.ndarray | None:
     return bits[which].sum(axis=0) / len(which)
 
 
+def sample_chars(languages: int) -> int:
+    """Characters a language of the training sample."""
+    most = min(SAMPLE_CHARS, ALL_CHARS // max(languages, 1))
+    return max(DOC_SHARE, most if languages <= FEW_LANGUAGES else min(most, CELLS // languages**2))
+
+
 def train(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text") -> CharModels:
-    """Fit on ``docs`` with a non-null language and text. At most SAMPLE_DOCS documents a language
+    """Fit on ``docs`` with a non-null language and a text with a letter. Every such language has a
+    sample; long documents give their beginning, from the first letter on. At most SAMPLE_DOCS documents a language
     reach the driver; they are chosen per (language, slice of the hash) first, so that a language
     with most of the rows is never sorted in one task."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     keyed = known.select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h"), F.length(text).alias("n"), F.col(text).alias("text"))
-    languages = [r[0] for r in keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "lang").limit(MAX_LANGUAGES).collect()]
+    languages = [r[0] for r in keyed.select("lang").distinct().collect()]
+    most = sample_chars(len(languages))
     # A slice keeps SAMPLE_DOCS at most and holds a 64th of a language; only hashes are sorted.
     slices = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
     whole = Window.partitionBy("lang").orderBy("h")
     few = keyed.select("lang", "h", "n").distinct().withColumn("r", F.row_number().over(slices)).filter(F.col("r") <= SAMPLE_DOCS)
-    chosen = few.withColumn("r", F.row_number().over(whole)).withColumn("upto", F.sum("n").over(whole)).filter((F.col("r") <= SAMPLE_DOCS) & (F.col("upto") <= min(SAMPLE_CHARS, ALL_CHARS // max(len(languages), 1))))
-    rows = keyed.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "h", "text").collect()
+    chosen = few.withColumn("r", F.row_number().over(whole)).withColumn("upto", F.sum(F.least("n", F.lit(most // DOC_SHARE))).over(whole)).filter((F.col("r") <= SAMPLE_DOCS) & (F.col("upto") <= most))
+    beginning = F.when(F.col("n") > most // DOC_SHARE, F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, most // DOC_SHARE)).otherwise(F.col("text"))
+    rows = keyed.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "h", beginning.alias("text")).collect()
     samples: dict[str, list[str]] = {x: [] for x in languages}
     for row in sorted(rows, key=lambda r: (r["lang"], r["h"])):
         if row["lang"] in samples:

@@ -116,6 +116,20 @@ def test_training_takes_only_known_rows(make, empty):
     assert language.train(empty).languages == []
 
 
+def test_long_documents_and_many_languages_leave_no_language_out(make, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_CHARS", 1600)
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2, raising=False)
+    words = {"l1": "aba caba dab ", "l2": "ono pomo rop ", "l3": "ulu tuku sul ", "l4": "ivi kiri zif "}
+    # l1: all longer than the bound; l2: one of them, which also begins without a letter.
+    rows = [(k, words["l1"] * 400, "l1", "a") for k in range(3)] + [(10, "1 2 3 - " * 400 + words["l2"] * 400, "l2", "a")]
+    rows += [(20 + k, words["l3"] * 5 + str(k), "l3", "a") for k in range(4)] + [(30, words["l4"], "l4", "a")]
+    models = language.train(make(rows))
+    assert models.languages == ["l1", "l2", "l3", "l4"]
+    texts = make([(k, words[x] * 3, None, None) for k, x in enumerate(words)])
+    assert {r.doc.doc_id: r.lang_pred for r in identify(texts, models).collect()} == dict(enumerate(words))
+    assert [language.sample_chars(k) * k**2 <= language.CELLS for k in (17, 256, 1000)] == [True] * 3
+
+
 def test_models_are_distributions(models):
     """After any context the symbols seen in training leave the rest of one to unseen ones."""
     alphabet = np.unique(np.concatenate([language.symbols(x) for x in LETTERS.values()]))

@@ -15,6 +15,8 @@ from shelfsift.llm.toxicity import grade, train
 
 #: A source of few tokens comes at most so often; the largest one comes once, so none is cut.
 MAX_REPEATS = 1.25
+#: Near duplicates of the stage: words a shingle, and the least similarity.
+WORDS, SIMILARITY = 5, (80, 100)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +26,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once. Documents
-    without words stay."""
+    """Of each group of near duplicates (0.8 or more of their five-word shingles in common) the
+    document with the smallest id stays, once. Documents without words stay."""
     key = F.coalesce(F.col("doc_id"), F.lit(LAST_ID))
-    groups = near_duplicates(docs)
+    groups = near_duplicates(docs, similarity=SIMILARITY, words=WORDS)
     stay = groups.filter("n_shingles = 0 OR component_id IS NULL OR doc_id = component_id").select(key.alias("_key")).distinct()
     rows = docs.withColumns({"_key": key, "_text": F.xxhash64("text", "lang", "source")}).join(stay, "_key", "left_semi")
     # The join has already brought the rows of an id together.

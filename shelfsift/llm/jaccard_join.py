@@ -13,8 +13,8 @@ uses the bits that one side has and the other lacks. What is left is checked exa
 
 One tree over all classes would put them in one task. So classes are routed to trees first: tree i
 and the shingle that is least under hash function i. Two sets of similarity s meet in a tree of
-function i with chance s; that a linked pair (s >= 0.85) meets in none of ROUTES trees has a chance
-below 0.15^12 = 2e-10.
+function i with chance s; there are so many functions that a linked pair meets in none of its trees
+with a chance below MISS at most: 12 for s >= 0.85, 14 for s >= 0.8.
 
 A tree with more than TREE_ROWS classes is cut into slices, and every two slices meet in one cell, so a
 task holds two slices. It gives a spanning forest of the pairs that the bounds leave, never the pairs. The forests
@@ -39,7 +39,7 @@ from .common import slices, written
 
 WORDS = 4
 SIMILARITY = (85, 100)
-ROUTES = 12
+MISS = 2e-10
 TREE_ROWS = 1024
 LEAF, FAN = 16, 8
 #: Shingles of a slice of a loose group, about; and columns of its matrix that are held at once.
@@ -54,7 +54,13 @@ SLICE_BYTES = 2 << 20
 LEAST_BITS = 64
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SEEDS = np.random.default_rng(4242).integers(1, 1 << 63, ROUTES, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _seeds(similarity: tuple[int, int]) -> np.ndarray:
+    """One for each hash function that routes classes to trees."""
+    part, whole = similarity
+    routes = int(np.ceil(np.log(MISS) / np.log1p(-part / whole))) if part < whole else 1
+    return np.random.default_rng(4242).integers(1, 1 << 63, routes, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -106,27 +112,30 @@ def _in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(low, high - low)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _in_slices(batches):
-        sets, sizes = shingle_sets([x.as_py() for x in batch.column(1)])
-        starts = np.cumsum(sizes) - sizes
-        some = sizes > 0
-        at = starts[some]
-        one, two = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        least: list = [None] * len(sizes)
-        maps: list = [None] * len(sizes)
-        if len(at):
-            one[some], two[some] = _sums(sets, at)
-            routes = np.stack([np.minimum.reduceat(_stir(sets * seed), at) for seed in _SEEDS]).view(np.int64)
-            for k, i in enumerate(np.flatnonzero(some)):
-                own = sets[starts[i] : starts[i] + sizes[i]]
-                bits = np.zeros(bitmap_bits(sizes[i]), bool)
-                bits[(own & np.uint64(len(bits) - 1)).astype(np.int64)] = True
-                least[i], maps[i] = routes[:, k].tolist(), np.packbits(bits, bitorder="little").tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes), pa.array(one), pa.array(two), pa.array(least, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
-            names=["doc_id", "n_shingles", "one", "two", "least", "bits"],
-        )
+def _signatures(words: int, seeds: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _in_slices(batches):
+            sets, sizes = shingle_sets([x.as_py() for x in batch.column(1)], words)
+            starts = np.cumsum(sizes) - sizes
+            some = sizes > 0
+            at = starts[some]
+            one, two = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+            least: list = [None] * len(sizes)
+            maps: list = [None] * len(sizes)
+            if len(at):
+                one[some], two[some] = _sums(sets, at)
+                routes = np.stack([np.minimum.reduceat(_stir(sets * seed), at) for seed in seeds]).view(np.int64)
+                for k, i in enumerate(np.flatnonzero(some)):
+                    own = sets[starts[i] : starts[i] + sizes[i]]
+                    bits = np.zeros(bitmap_bits(sizes[i]), bool)
+                    bits[(own & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+                    least[i], maps[i] = routes[:, k].tolist(), np.packbits(bits, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes), pa.array(one), pa.array(two), pa.array(least, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
+                names=["doc_id", "n_shingles", "one", "two", "least", "bits"],
+            )
+
+    return run
 
 
 def _fold(bitmap: np.ndarray, width: int) -> np.ndarray:
@@ -325,26 +334,30 @@ def _sliced(rows: DataFrame, key: str, parts: Column) -> DataFrame:
     return own.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_rows(words: int):
     """(id, bytes, wanted columns) to (id, set, wanted columns), where the text has the class's set."""
-    for batch in batches:
-        for low, high in slices([len(x.as_buffer() or b"") for x in batch.column("bytes")], SLICE_BYTES):
-            some = batch.slice(low, high - low)
-            sets, sizes = shingle_sets([x.as_py() for x in some.column("bytes")])
-            ends = np.cumsum(sizes)
-            # Six bytes of a shingle tell the ones of two sets apart.
-            six = sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            one, two = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-            if len(sets):
-                one[sizes > 0], two[sizes > 0] = _sums(sets, (ends - sizes)[sizes > 0])
-            kept = {"n_shingles": pa.array(sizes), "one": pa.array(one), "two": pa.array(two), "set": pa.array([six[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())}
-            yield pa.RecordBatch.from_pydict(kept | {c: some.column(c) for c in ("id", "component", "parts")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in slices([len(x.as_buffer() or b"") for x in batch.column("bytes")], SLICE_BYTES):
+                some = batch.slice(low, high - low)
+                sets, sizes = shingle_sets([x.as_py() for x in some.column("bytes")], words)
+                ends = np.cumsum(sizes)
+                # Six bytes of a shingle tell the ones of two sets apart.
+                six = sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                one, two = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+                if len(sets):
+                    one[sizes > 0], two[sizes > 0] = _sums(sets, (ends - sizes)[sizes > 0])
+                kept = {"n_shingles": pa.array(sizes), "one": pa.array(one), "two": pa.array(two), "set": pa.array([six[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())}
+                yield pa.RecordBatch.from_pydict(kept | {c: some.column(c) for c in ("id", "component", "parts")})
+
+    return run
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY, words: int = WORDS) -> DataFrame:
     """(doc_id, class_id, n_shingles, links, component_id), a row a document.
 
-    Documents link if 100 * intersection >= 85 * union of their shingle sets. ``class_id`` is the
+    Documents link if 100 * intersection >= 85 * union of their sets of shingles of ``words`` words. ``class_id`` is the
     same for equal sets, ``links`` is the number of other classes that link with the document's
     one, ``component_id`` the smallest document id reachable by links, itself included (null ids
     are passed over). Null text and texts without words have an empty set, no class and link with
@@ -352,7 +365,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"))
     signed = written(
-        plain.mapInArrow(_signatures, "doc_id long, n_shingles long, one long, two long, least array<long>, bits binary"), "shingles"
+        plain.mapInArrow(_signatures(words, _seeds(similarity)), "doc_id long, n_shingles long, one long, two long, least array<long>, bits binary"), "shingles"
     ).withColumn("id", F.when(F.col("n_shingles") > 0, F.xxhash64("n_shingles", "one", "two")))
     members = signed.filter("id IS NOT NULL")
     classes = members.groupBy("id").agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.min(F.struct("doc_id", "one", "least", "bits")).alias("x"))
@@ -372,7 +385,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sources = members.groupBy("id").agg(F.min(F.coalesce(F.col("doc_id"), F.lit(-1))).alias("source")).join(wanted, "id")
     texts = plain.withColumn("source", F.coalesce(F.col("doc_id"), F.lit(-1))).select("source", "bytes")
     found = texts.join(sources, "source").select("id", "bytes", "component", "parts")
-    found = found.mapInArrow(_set_rows, "n_shingles long, one long, two long, set binary, id long, component long, parts long")
+    found = found.mapInArrow(_set_rows(words), "n_shingles long, one long, two long, set binary, id long, component long, parts long")
     # Rows with one document id may have different texts: only those of the class are its set.
     sets = found.filter(F.col("id") == F.xxhash64("n_shingles", "one", "two")).select("id", "component", "parts", "set")
     cell = ["component", "low", "high"]

@@ -228,3 +228,16 @@ def test_pipeline_stages(spark, edge, empty, edge_rows, judged, tmp_path, monkey
     for _, stage in corpus_pipeline.STAGES:
         rows = stage(spark, rows, str(tmp_path))
     assert rows.count() == 0
+
+
+def test_pipeline_removes_copies_of_four_fifths(spark, make):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(200)]
+    # 17 words in a row are others: 175 of 217 five-word shingles are common (0.806), 177 of 217 four-word ones (0.816).
+    copy = words[:90] + [f"x{k}" for k in range(17)] + words[107:]
+    # With 19 words: 173 of 219 (0.79).
+    other = [f"v{k}" for k in range(200)]
+    apart = other[:90] + [f"y{k}" for k in range(19)] + other[109:]
+    docs = make([(k, " ".join(w), "en", "a") for k, w in enumerate((words, copy, other, apart))])
+    assert {r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()} == {0, 2, 3}

@@ -133,3 +133,52 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir))
+
+
+_RESAMPLING_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+own AS (SELECT r, f, count(*) AS n FROM (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM d) GROUP BY r, f),
+aim AS (SELECT f, count(*) AS n FROM (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM q) GROUP BY f),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM own UNION SELECT f FROM aim)),
+bytes AS (SELECT f, list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ((instr('0123456789ABCDEF', substr(x, i, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(x, i + 1, 1)) - 1)::BIGINT)) AS b FROM h),
+-- A nibble at a time, low one first: the table of four shifts of the reflected polynomial.
+t AS (SELECT [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::BIGINT[] AS t),
+sums AS (SELECT f, xor(list_reduce(b, lambda c, v: xor(t[((xor(xor(t[(xor(c, v) & 15) + 1], c >> 4), v >> 4)) & 15) + 1], xor(t[(xor(c, v) & 15) + 1], c >> 4) >> 4)), 4294967295) % 10000 AS bucket FROM bytes, t),
+s AS (SELECT bucket, sum(n) AS s FROM own JOIN sums USING (f) GROUP BY bucket),
+g AS (SELECT bucket, sum(n) AS t FROM aim JOIN sums USING (f) GROUP BY bucket),
+every AS (SELECT unnest(range(0, 10000)) AS bucket),
+totals AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS a, coalesce((SELECT sum(t) FROM g), 0)::DOUBLE AS b),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (a + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (b + 10000))))::BIGINT AS gain FROM every LEFT JOIN s USING (bucket) LEFT JOIN g USING (bucket), totals),
+weights AS (SELECT r, sum(n) AS n_features, sum(n * gain) AS weight FROM own JOIN sums USING (f) JOIN gain USING (bucket) GROUP BY r),
+z AS (SELECT r, doc_id, len(w) >= 20 AS fits, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+      list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda i: (instr('0123456789abcdef', substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), i, 1)) - 1)::BIGINT)), lambda c, v: c * 16 + v) AS h
+      FROM d LEFT JOIN weights USING (r)),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM z),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY fits ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place, count(*) OVER (PARTITION BY fits) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fits AND place <= n * 5 // 100 THEN place END AS rank FROM ranks"""
+
+
+@query("op11_importance_resampling", _RESAMPLING_SQL)
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    found = resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["doc_id"])
+    return found.select("doc.doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import cross_align
+
+    found = cross_align(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), carry=["doc_id"])
+    return found.select("doc.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op13_quality_ranking")
+def quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_ranking import rank_quality, train
+
+    docs = documents(spark, sf_dir)
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(remainder(F.col("doc_id"), 3) != 1))
+    return rank_quality(docs, model, carry=["doc_id"]).select("doc.doc_id", (remainder(F.col("doc.doc_id"), 3) == 1).alias("held_out"), "score", "predicted")

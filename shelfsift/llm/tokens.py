@@ -29,11 +29,12 @@ GROUP_CHARS = 1_500_000
 class PieceEncoder:
     """``encode(texts)`` gives all ids in one array and the number of ids of each text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pool_pieces: int = POOL_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.pool_pieces = pool_pieces
         # A vocabulary that drops white space gives one space no id.
         self.keeps_space = bool(self._ids([" "])[0])
         self._reset()
@@ -99,7 +100,7 @@ class PieceEncoder:
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > POOL_PIECES:
+        if len(self.known) > self.pool_pieces:
             self._reset()
         pieces: list[str] = []
         counts = np.zeros(len(texts), np.int64)

@@ -1,8 +1,8 @@
-"""Partition layout of inputs."""
+"""Partition layout of inputs, and the store a path lies in."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -14,3 +14,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of Spark's own file layer, for folders on any store it knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where

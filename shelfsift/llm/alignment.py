@@ -13,6 +13,9 @@ many documents hold it, and gets the pair's count back.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
@@ -26,15 +29,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, written
-from .tokens import PieceEncoder
-
 #: Bytes of texts in a block (one longer text is a block of its own) and in what is aligned at once.
 BLOCK_BYTES = 8_000_000
 SLICE_BYTES = 1_000_000
 #: What a row costs besides its text.
 ROW_BYTES = 64
-#: Pieces of text that a worker's encoder remembers; never changes ids.
-POOL_PIECES = 200_000
+#: Fixed value: how byte-level files with use_regex cut texts before merging.
+BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Letters beyond these may be classed differently by two versions of Unicode.
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 #: Pairs in a row of a block's list of them.
 CHUNK = 8192
 
@@ -114,18 +117,21 @@ class Vocabularies:
     library, B a sentencepiece model with byte fallback that puts a space in front."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        from tokenizers import Tokenizer
 
-        self.a = PieceEncoder(path_a, pool_pieces=POOL_PIECES)
-        self.a.tokenizer.encode_special_tokens = True
+        self.a = Tokenizer.from_file(path_a)
+        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-        words = self.a.tokenizer.get_vocab(with_added_tokens=True)
+        words = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(words.values()) + 1)
         for word, i in words.items():
             self.bytes_a[i] = bytes(byte_of.get(c, 63) for c in word)
+        self.fast_a = self._as_ranks(path_a)
         self.bytes_b = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -136,6 +142,28 @@ class Vocabularies:
         # Decimal ids with what follows them: another id of the group, the other side, another group.
         self.spelt = [f"{i}{mark}" for n, mark in ((len(self.bytes_a), ","), (len(self.bytes_a), "|"), (len(self.bytes_b), ","), (len(self.bytes_b), ";")) for i in range(n)]
 
+    def _as_ranks(self, path: str):
+        """The merges of the file as ranks, several times as fast on Latin texts; None if its ids do
+        not grow with its merges or it does more than cutting and merging bytes."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        model, cut = told["model"], told["pre_tokenizer"] or {}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        made = [model["vocab"].get(x + y, -1) for x, y in pairs]
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not told["normalizer"]
+        if not plain or made != sorted(set(made)) or len(model["vocab"]) != 256 + len(made) + sum(t["content"] in model["vocab"] for t in told["added_tokens"]):
+            return None
+        added = {t["content"] for t in told["added_tokens"]}
+        ranks = {self.bytes_a[i]: i for word, i in model["vocab"].items() if word not in added}
+        return tiktoken.Encoding("merges", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode_a(self, text: str) -> list[int]:
+        if self.fast_a is not None and not _BEYOND_LATIN.search(text):
+            return self.fast_a.encode_ordinary(text)
+        return self.a.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids of A, ids of B) of each text; none where their bytes are not a space and the text."""
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -143,13 +171,11 @@ class Vocabularies:
         out = [none] * len(texts)
         if not own:
             return out
-        ids, counts = self.a.encode([" " + texts[k] for k in own])
-        upto = np.concatenate([[0], np.cumsum(counts)])
-        for n, (k, b) in enumerate(zip(own, self.b.encode([texts[k] for k in own], num_threads=1), strict=True)):
-            a = ids[upto[n] : upto[n + 1]]
+        for k, b in zip(own, self.b.encode([texts[k] for k in own], num_threads=1), strict=True):
+            a = self.encode_a(" " + texts[k])
             whole = b" " + texts[k].encode()
-            if b"".join(map(self.bytes_a.__getitem__, a.tolist())) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole:
-                out[k] = (a.astype(np.int64), np.array(b, np.int64))
+            if b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole:
+                out[k] = (np.array(a, np.int64), np.array(b, np.int64))
         return out
 
 

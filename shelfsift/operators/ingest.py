@@ -20,45 +20,63 @@ def under_any(roots: Sequence[str], path="full_path") -> Column:
     return any_of(is_under(path, F.lit(root), or_equal=False) for root in roots if root.rstrip("\\/"))
 
 
+def _listed_once(listing: DataFrame) -> DataFrame:
+    """The listing by path key. Where a path is listed more than once, its first row stands."""
+    rows = listing.select(
+        path_key("full_path").alias("_k"), F.col("full_path").alias("_full"), F.col("size_bytes").alias("_size"), F.col("last_modified_utc").alias("_time"), F.col("pos").alias("_pos")
+    )
+    return first_by(rows, ["_k"], ["_pos", "_full"])
+
+
+def _moves(apart: DataFrame) -> DataFrame:
+    """(_size_key, _time_key, _moved, _adopted): of each size and time the one hashed file that vanished
+    and the first path that appeared. ``apart`` has the rows that met nothing: files without a
+    listing (``_full`` null) and listed paths without a file (``id`` null)."""
+    vanished, appeared = F.col("_full").isNull() & has_hash(), F.col("id").isNull()
+    found = apart.groupBy(*_content()).agg(
+        F.count_if(vanished).alias("_n"),
+        F.min(F.when(vanished, F.struct("id", "full_path"))).alias("_moved"),
+        F.min_by(F.when(appeared, F.struct("_k", "_full", "_size", "_time")), F.when(appeared, F.struct("_pos", "_full"))).alias("_adopted"),
+    )
+    return found.filter("_n = 1 AND _adopted IS NOT NULL AND _size_key IS NOT NULL AND _time_key IS NOT NULL").drop("_n")
+
+
+def _content() -> list[Column]:
+    return [F.coalesce("_size", "size_bytes").alias("_size_key"), F.coalesce("_time", "last_modified_utc").alias("_time_key")]
+
+
 def detect_moves(files: DataFrame, listing: DataFrame) -> DataFrame:
     """(id, old_path, new_path): a vanished hashed file continues under a new path with its size and time.
 
     Only when exactly one vanished file has that size and time; the first new path by ``pos`` adopts it.
+    One outer join by path tells what vanished from what appeared, on the few columns that matter.
     """
-    old = files.withColumn("_k", path_key("full_path"))
-    new = listing.withColumn("_k", path_key("full_path"))
-    vanished = old.filter(has_hash()).join(new.select("_k"), "_k", "left_anti")
-    known = old.select("_k")
-    appeared = new.join(known, "_k", "left_anti")
-    keys = ["size_bytes", "last_modified_utc"]
-    single = vanished.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("id").alias("id"), F.min("full_path").alias("old_path")
-    ).filter("_n = 1").drop("_n")
-    first = appeared.groupBy(*keys).agg(F.min_by("full_path", F.struct("pos", "full_path")).alias("new_path"))
-    return single.join(first, keys).select("id", "old_path", "new_path")
+    held = files.select("id", "full_path", "size_bytes", "last_modified_utc", "sha256", path_key("full_path").alias("_k"))
+    apart = held.join(_listed_once(listing), "_k", "full_outer").filter("id IS NULL OR _full IS NULL")
+    return _moves(apart).select("_moved.id", F.col("_moved.full_path").alias("old_path"), F.col("_adopted._full").alias("new_path"))
 
 
 def merge_listing(files: DataFrame, listing: DataFrame) -> DataFrame:
     """Upsert a listing by path, ignoring case, after moves. ``status`` is kept, changed, moved, added or unlisted.
 
     A changed size or time clears the hash, the hash failure and the plugin fields; all other columns stay.
+
+    The tables meet once, in a full outer join by path. Rows that met nothing are joined with the moves
+    found among them, by size and time; the others are done. Several catalogue rows may claim one
+    path, and each takes what the listing says of it.
     """
-    moves = detect_moves(files, listing).select("id", "new_path")
-    current = files.join(moves, "id", "left").withColumn("_path", F.coalesce("new_path", "full_path")).withColumn("_k", path_key("_path"))
-    # Several catalogue rows may claim one path; the first in catalogue order is the one a path finds.
-    incoming = first_by(
-        listing.withColumn("_k", path_key("full_path")).select(
-            "_k", F.col("full_path").alias("_full"), F.col("size_bytes").alias("_size"), F.col("last_modified_utc").alias("_time"), "pos"
-        ),
-        ["_k"], ["pos", "_full"],
-    )
-    joined = current.join(incoming, "_k", "full_outer")
+    joined = files.withColumn("_k", path_key("full_path")).join(_listed_once(listing), "_k", "full_outer")
+    met = joined.filter("id IS NOT NULL AND _full IS NOT NULL").withColumn("_was_moved", F.lit(False))
+    apart = joined.filter("id IS NULL OR _full IS NULL")
+    keyed = apart.withColumns(dict(zip(("_size_key", "_time_key"), _content(), strict=True))).join(_moves(apart), ["_size_key", "_time_key"], "left")
+    was_moved = F.coalesce(F.col("id") == F.col("_moved.id"), F.lit(False))
+    taken = F.coalesce(F.col("id").isNull() & (F.col("_k") == F.col("_adopted._k")), F.lit(False))
+    other = keyed.filter(~taken).withColumns({"_was_moved": was_moved, **{c: F.when(was_moved, F.col("_adopted")[c]).otherwise(F.col(c)) for c in ("_full", "_size", "_time")}})
+    rows = met.unionByName(other.select(*met.columns))
     listed = F.col("_full").isNotNull()
     added = F.col("id").isNull()
     changed = listed & ~added & ~(F.col("size_bytes").eqNullSafe(F.col("_size")) & F.col("last_modified_utc").eqNullSafe(F.col("_time")))
-    status = (
-        F.when(added, "added").when(~listed, "unlisted").when(F.col("new_path").isNotNull(), "moved").when(changed, "changed").otherwise("kept")
-    )
+    status = F.when(added, "added").when(~listed, "unlisted").when(F.col("_was_moved"), "moved").when(changed, "changed").otherwise("kept")
     path = F.when(listed, F.col("_full")).otherwise(F.col("full_path"))
     fresh = changed | added
     new = {
@@ -72,7 +90,7 @@ def merge_listing(files: DataFrame, listing: DataFrame) -> DataFrame:
         "plugin_fields": F.when(fresh, F.create_map().cast("map<string,string>")).otherwise(F.col("plugin_fields")) if "plugin_fields" in files.columns else None,
     }
     # Every other column of the row stays as it is; an added row has nulls there until it is analysed.
-    return joined.withColumn("status", status).select(*[new[c].alias(c) if new.get(c) is not None else F.col(c) for c in files.columns], "status")
+    return rows.withColumn("status", status).select(*[new[c].alias(c) if new.get(c) is not None else F.col(c) for c in files.columns], "status")
 
 
 def prune_missing(files: DataFrame, listing: DataFrame, walked: Sequence[str], mode: str = "all") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import folder_names
+from ..functions.paths import folder_names, slashed
 from ..functions.text import effective_title, is_blank, lookup_key, not_blank, strip, title_id_value, title_verified
 from .skew import first_by, ranked
 from .reports import one_row
@@ -129,23 +131,25 @@ def known_genres(titles: DataFrame) -> DataFrame:
     return titles.select(F.explode("genres").alias("genre")).filter(not_blank("genre")).distinct()
 
 
-def candidate_names() -> Column:
-    """Names to try for a file, best first: its title, then its folders, each with and without bracket and year."""
+def name_variants(name: Column) -> Column:
+    """A name to try, best first: as it is, without a bracket at its end, and without a year there."""
 
-    def cleaned(name: Column) -> Column:
-        return F.trim(F.regexp_replace(name, r"[._]", " "))
+    whole = F.trim(F.regexp_replace(name, r"[._]", " "))
+    stripped = F.trim(F.regexp_replace(whole, r"[(\[{][^)\]}]*[)\]}]\s*$", ""))
+    undated = F.trim(F.regexp_replace(F.when(F.length(stripped) > 0, stripped).otherwise(whole), r"[\s._-]+(?:19|20)\d{2}\s*$", ""))
+    return F.filter(F.array(whole, stripped, undated), lambda n: F.length(n) > 0)
 
-    def variants(name: Column) -> Column:
-        whole = cleaned(name)
-        stripped = F.trim(F.regexp_replace(whole, r"[(\[{][^)\]}]*[)\]}]\s*$", ""))
-        undated = F.trim(F.regexp_replace(F.when(F.length(stripped) > 0, stripped).otherwise(whole), r"[\s._-]+(?:19|20)\d{2}\s*$", ""))
-        return F.array(whole, stripped, undated)
 
-    folders = folder_names("full_path")
+def names_by_rank(names: Column) -> Column:
+    """Folder names in the order they are tried: short names and season folders come last."""
     late = lambda n: (F.length(n) <= 1) | n.rlike(r"(?iu)^(season|series)\s*\d+$")
-    ordered = F.concat(F.array("parsed_title"), F.filter(folders, lambda n: ~late(n)), F.filter(folders, late))
-    names = F.flatten(F.transform(ordered, variants))
-    return F.filter(names, lambda n: F.length(n) > 0)
+    return F.concat(F.filter(names, lambda n: ~late(n)), F.filter(names, late))
+
+
+def candidate_names() -> Column:
+    """Names to try for a file, best first: its title, then its folders, each with and without bracket and year."""
+    ordered = F.concat(F.array("parsed_title"), names_by_rank(folder_names("full_path")))
+    return F.flatten(F.transform(F.filter(ordered, lambda n: n.isNotNull()), name_variants))
 
 
 def title_candidates(files: DataFrame, limit: int | None = None) -> DataFrame:
@@ -178,25 +182,79 @@ def _ask(files: DataFrame, question: Column, titles: DataFrame) -> DataFrame:
     return keyed.join(index, "_key", "left").drop("_key")
 
 
-def verify_titles(files: DataFrame, titles: DataFrame, cache: DataFrame | None = None) -> DataFrame:
-    """Confirm titles: the first candidate the dataset knows, else the first one an earlier online check found.
+def store_title_index(titles: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """The index as a table bucketed and sorted by its key: what joins it by that key moves only the
+    other side. Written once for each version of the dataset and passed to ``verify_titles``."""
+    writer = title_index(titles).write.bucketBy(buckets, "lookup_key").sortBy("lookup_key").mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return titles.sparkSession.table(table)
+
+
+def _first_known(names: DataFrame, answers: DataFrame, key: Sequence[str], answer: str) -> DataFrame:
+    """(kind, name, answer): of each name the answer to its best variant that has one."""
+    tried = names.select("kind", "name", F.posexplode(name_variants(F.col("name"))).alias("at", "query"))
+    tried = tried.withColumn("lookup_key", lookup_key("query")).filter("lookup_key <> ''") if "lookup_key" in key else tried
+    return tried.join(answers, list(key)).groupBy("kind", "name").agg(F.min_by(answer, "at").alias(answer))
+
 
-    ``outcome`` is dataset, online, unresolved, or null for rows that needed nothing.
+def _verification_answers(targets: DataFrame, titles: DataFrame | None, cache: DataFrame | None, index: DataFrame | None) -> DataFrame:
+    """(title, folder, kind, _dataset, _online) for each distinct title, folder and kind of the targets.
+
+    Names are asked once, however many files and folders bear them; what a folder is worth is found
+    once for all its files.
     """
     from .ingest import lookup_cache
 
-    targets = files.filter(needs_verification())
-    candidates = title_candidates(targets)
-    answered = _ask(candidates, F.col("candidate"), titles).filter("_hit IS NOT NULL")
-    best = answered.groupBy("id").agg(F.min_by("_hit", "rank").alias("_dataset"))
-    joined = files.join(best, "id", "left")
+    places = targets.select(*_place()).distinct()
+    folders = places.select("folder", "kind").distinct()
+    ordered = names_by_rank(F.filter(F.reverse(F.split("folder", "/")), lambda n: (F.length(n) > 0) & ~n.rlike(r"^[A-Za-z]:$")))
+    listed = folders.select("folder", "kind", F.posexplode(ordered).alias("rank", "name"))
+    names = places.select("kind", F.col("title").alias("name")).union(listed.select("kind", "name")).distinct()
+
+    def spread_out(known: DataFrame, answer: str) -> DataFrame:
+        """A name's answer to the places that bear it: by title first, then by the best folder name."""
+        by_title = known.select("kind", F.col("name").alias("title"), F.col(answer).alias("_own"))
+        by_folder = listed.join(known, ["kind", "name"]).groupBy("folder", "kind").agg(F.min_by(answer, "rank").alias("_above"))
+        joined = places.join(by_title, ["kind", "title"], "left").join(by_folder, ["folder", "kind"], "left")
+        return joined.select("title", "folder", "kind", F.coalesce("_own", "_above").alias(answer)).filter(F.col(answer).isNotNull())
+
+    any_kind = names.select(F.lit("").alias("kind"), "name").distinct()
+    if index is None:
+        asked = any_kind.select(F.explode(name_variants(F.col("name"))).alias("q")).select(lookup_key("q").alias("lookup_key")).filter("lookup_key <> ''").distinct()
+        relevant = titles.withColumn("lookup_key", lookup_key("title")).join(asked, "lookup_key", "left_semi").drop("lookup_key")
+        index = title_index(relevant)
+    hits = index.select("lookup_key", F.struct("title", "year", "earliest_year", "ambiguous", "genres").alias("_dataset"))
+    known = _first_known(any_kind, hits, ["lookup_key"], "_dataset").drop("kind")
+    answered = spread_out(names.join(known, "name"), "_dataset")
     if cache is None:
-        joined = joined.withColumn("_online", F.lit(None).cast("string"))
-    else:
-        kinds = targets.select("id", F.when(F.col("video_category").isin("Movie", "MovieExtra"), "movie").otherwise("tv").alias("kind"))
-        open_questions = candidates.join(best.select("id"), "id", "left_anti").join(kinds, "id").withColumnRenamed("candidate", "query")
-        found = lookup_cache(open_questions, cache).filter("found")
-        joined = joined.join(found.groupBy("id").agg(F.min_by("canonical_name", "rank").alias("_online")), "id", "left")
+        return answered.withColumn("_online", F.lit(None).cast("string"))
+    questions = names.select("kind", F.explode(name_variants(F.col("name"))).alias("query")).distinct()
+    found = lookup_cache(questions, cache).filter("found").select("kind", "query", F.col("canonical_name").alias("_online"))
+    online = spread_out(_first_known(names, found, ["kind", "query"], "_online"), "_online")
+    return answered.join(online, ["title", "folder", "kind"], "full_outer")
+
+
+def _place() -> list[Column]:
+    """What a file's candidates depend on: its title, its folder, and the kind of the online question."""
+    parts = F.split(slashed("full_path"), "/")
+    return [
+        F.coalesce("parsed_title", F.lit("")).alias("title"),
+        F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/").alias("folder"),
+        F.when(F.col("video_category").isin("Movie", "MovieExtra"), "movie").otherwise("tv").alias("kind"),
+    ]
+
+
+def verify_titles(files: DataFrame, titles: DataFrame | None, cache: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Confirm titles: the first candidate the dataset knows, else the first one an earlier online check found.
+
+    ``outcome`` is dataset, online, unresolved, or null for rows that needed nothing. An ``index``
+    kept by ``store_title_index`` takes the place of ``titles``.
+    """
+    targets = files.filter(needs_verification())
+    title, folder, kind = _place()
+    keyed = files.withColumns({"_title": title, "_folder": folder, "_kind": kind})
+    answers = _verification_answers(targets, titles, cache, index).toDF("_title", "_folder", "_kind", "_dataset", "_online")
+    joined = keyed.join(answers, ["_title", "_folder", "_kind"], "left").drop("_title", "_folder", "_kind")
     asked = needs_verification()
     by_dataset = asked & F.col("_dataset").isNotNull()
     by_online = asked & ~by_dataset & F.col("_online").isNotNull()

@@ -4,9 +4,10 @@
   map side instead of being sorted in one task.
 * ``ranked`` numbers the rows of each key. Ordinary keys go through a window; a hot key is range
   partitioned on (key, order), which spreads it over tasks, and numbered by offsets.
-* ``fold`` runs a left fold over the rows of each key in order. Ordinary keys are folded in one
-  array; a hot key is cut into numbered chunks and folded chunk by chunk, only where the state
-  can change.
+* ``fold`` runs a left fold over the rows of each key in order. The input runs once, into a
+  checkpoint of the few columns a fold needs. Ordinary keys are folded in one array; a hot key is cut
+  into segments that are folded side by side, each from its own first row, and the state is handed
+  on from segment to segment over these summaries.
 """
 
 from __future__ import annotations
@@ -85,7 +86,8 @@ def fold(
     1 keeps f1, 2 takes f2, anything else leaves the key undecided for good. Gives the keys,
     ``winner`` (a struct of ``payload``), ``undecided`` and ``copies``.
     """
-    rows = df.select(*keys, F.struct(*order).alias("_order"), F.struct(*payload).alias("_item"))
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.select(*keys, F.struct(*order).alias("_order"), F.struct(*payload).alias("_item")).checkpoint()
     usual, hot = split_hot(rows, keys, limit or chunk)
     grouped = usual.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("_order", "_item"))).alias("_all"), F.count(F.lit(1)).alias("copies")
@@ -94,7 +96,7 @@ def fold(
     folded = grouped.withColumn("_state", state).select(
         *keys, F.col("_state.best").alias("winner"), F.col("_state.undecided").alias("undecided"), "copies"
     )
-    return folded if hot is None else folded.unionByName(_fold_hot(hot, keys, verdict, chunk))
+    return folded if hot is None else folded.unionByName(_fold_hot(hot, keys, verdict, chunk)[0])
 
 
 def _fold_sql(items: str, best: str, verdict: str) -> str:
@@ -111,44 +113,68 @@ def _fold_sql(items: str, best: str, verdict: str) -> str:
     )
 
 
-def _fold_hot(df: DataFrame, keys: Sequence[str], verdict: str, chunk: int) -> DataFrame:
+def _fold_hot(df: DataFrame, keys: Sequence[str], verdict: str, chunk: int) -> tuple[DataFrame, int]:
+    """(folded keys, passes over their rows).
+
+    A fold only ever stands at one of its rows, so what a segment makes of a state is known in
+    advance from the point on where one of its rows takes over. If its first row does, the result is
+    that of folding the segment from there, which is in its summary: a rising key is settled by the
+    summaries alone. If the state outlasts the first row, one pass over the rows ahead finds the first
+    that the state does not outlast, and only that row's segment is folded again, from this state.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     keys = list(keys)
     numbered = ranked(df, keys, ["_order"], "_rank", limit=1)
-    rows = numbered.withColumn("_chunk", F.floor((F.col("_rank") - 1) / chunk)).checkpoint()
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
-    state = rows.filter(F.col("_rank") == 1).select(
-        *keys, F.col("_item").alias("f1"), F.lit(1).cast("bigint").alias("at"), F.lit(False).alias("undecided")
-    ).checkpoint()
+    rows = numbered.withColumn("_segment", F.floor((F.col("_rank") - 1) / chunk)).checkpoint()
+    gathered = rows.groupBy(*keys, "_segment").agg(F.array_sort(F.collect_list(F.struct("_order", "_item"))).alias("_all"), F.count(F.lit(1)).alias("_n"))
+    alone = F.expr(_fold_sql("slice(_all, 2, size(_all))", "_all[0]._item", verdict))
+    summaries = gathered.withColumn("_state", alone).select(
+        *keys, "_n", F.struct("_segment", F.col("_all")[0]["_item"].alias("first"), F.col("_state.best").alias("best"), F.col("_state.undecided").alias("undecided")).alias("_s")
+    )
+    # A row a key: its segments' summaries in order, one for each ``chunk`` rows.
+    chains = summaries.groupBy(*keys).agg(F.array_sort(F.collect_list("_s")).alias("_chain"), F.sum("_n").alias("copies")).checkpoint()
+    state = chains.select(*keys, F.col("_chain")[0]["best"].alias("f1"), F.lit(1).cast("bigint").alias("next"), F.col("_chain")[0]["undecided"].alias("undecided"))
+    passes = 1
     while True:
-        # The first chunk in which the standing winner does not beat everything; the chunks before
-        # it are passed over without being gathered, and one chunk is all a task ever holds.
-        ahead = rows.withColumnRenamed("_item", "f2").join(state.filter(~F.col("undecided")), keys).filter(F.col("_rank") > F.col("at"))
-        beaten = F.coalesce(F.expr(verdict), F.lit(0)) != 1
-        turns = ahead.filter(beaten).groupBy(*keys).agg(F.min("_chunk").alias("_chunk"))
-        stretch = (
-            ahead.join(turns, [*keys, "_chunk"])
+        handed = chains.join(state, keys).withColumn("_state", F.expr(_hand_on_sql(verdict)))
+        state = handed.select(
+            *keys, F.col("_state.best").alias("f1"), F.col("_state.next").alias("next"), F.col("_state.undecided").alias("undecided"),
+            (~F.col("_state.undecided") & (F.col("_state.next") < F.size("_chain"))).alias("waits"),
+        ).checkpoint()
+        waiting = state.filter("waits")
+        if waiting.isEmpty():
+            break
+        passes += 1
+        ahead = rows.withColumnRenamed("_item", "f2").join(waiting.select(*keys, "f1", "next"), keys).filter(F.col("_segment") >= F.col("next"))
+        outlasted = F.coalesce(F.expr(verdict), F.lit(0)) == 1
+        turns = ahead.filter(~outlasted).groupBy(*keys).agg(F.min("_rank").alias("_turn"))
+        found = (
+            ahead.join(turns.withColumn("_at", F.floor((F.col("_turn") - 1) / chunk)), keys)
+            .filter((F.col("_segment") == F.col("_at")) & (F.col("_rank") >= F.col("_turn")))
             .groupBy(*keys)
-            .agg(
-                F.array_sort(F.collect_list(F.struct("_order", F.col("f2").alias("_item")))).alias("_all"),
-                F.min_by("f1", "_rank").alias("_best"),
-                F.max("_rank").alias("_end"),
-            )
+            .agg(F.array_sort(F.collect_list(F.struct("_order", F.col("f2").alias("_item")))).alias("_all"), F.first("f1").alias("_best"), F.first("_at").alias("_at"))
             .withColumn("_state", F.expr(_fold_sql("_all", "_best", verdict)))
-            .select(*keys, F.col("_state.best").alias("_next"), F.col("_state.undecided").alias("_und"), "_end")
-            .checkpoint()
+            .select(*keys, F.struct("_state.best", "_state.undecided", (F.col("_at") + 1).alias("next")).alias("_new"))
         )
-        if stretch.isEmpty():
-            break
-        moved = F.col("_end").isNotNull()
-        state = (
-            state.join(stretch, keys, "left")
-            .select(
-                *keys,
-                F.when(moved, F.col("_next")).otherwise(F.col("f1")).alias("f1"),
-                F.when(moved, F.col("_end")).otherwise(F.col("at")).alias("at"),
-                F.when(moved, F.col("_und")).otherwise(F.col("undecided")).alias("undecided"),
-            )
-            .checkpoint()
+        last = chains.select(*keys, F.size("_chain").cast("bigint").alias("_end"))
+        # Without such a row the state outlasts everything and is the winner.
+        stands = F.when(F.col("waits"), F.struct(F.col("f1").alias("best"), F.col("undecided"), F.col("_end").alias("next"))).otherwise(
+            F.struct(F.col("f1").alias("best"), F.col("undecided"), F.col("next"))
         )
-    return state.join(sizes, keys).select(*keys, F.col("f1").alias("winner"), "undecided", "copies")
+        merged = state.join(last, keys).join(found, keys, "left").withColumn("_to", F.coalesce(F.when(F.col("waits"), F.col("_new")), stands))
+        state = merged.select(*keys, F.col("_to.best").alias("f1"), F.col("_to.next").alias("next"), F.col("_to.undecided").alias("undecided")).checkpoint()
+    return state.join(chains.select(*keys, "copies"), keys).select(*keys, F.col("f1").alias("winner"), "undecided", "copies"), passes
+
+
+def _hand_on_sql(verdict: str) -> str:
+    """The state after the summaries from ``next`` on, up to the first whose first row it outlasts."""
+    step = (
+        f"CASE ({verdict}) WHEN 1 THEN named_struct('best', f1, 'undecided', false, 'next', acc.next, 'stands', true) "
+        "WHEN 2 THEN named_struct('best', entry.best, 'undecided', entry.undecided, 'next', acc.next + 1L, 'stands', false) "
+        "ELSE named_struct('best', f1, 'undecided', true, 'next', acc.next, 'stands', true) END"
+    )
+    bound = f"transform(array(acc.best), f1 -> transform(array(entry.first), f2 -> {step})[0])[0]"
+    return (
+        "aggregate(slice(_chain, CAST(next AS INT) + 1, size(_chain)), named_struct('best', f1, 'undecided', undecided, 'next', next, 'stands', false), "
+        f"(acc, entry) -> CASE WHEN acc.undecided OR acc.stands THEN acc ELSE {bound} END)"
+    )

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from shelfsift.operators.duplicates import exact_duplicates
-from shelfsift.operators.skew import first_by, fold, ranked
+from shelfsift.operators.skew import _fold_hot, first_by, fold, ranked
 from shelfsift.operators.survivorship import RuleStep, choose_by_rules
 
 VERDICT = "CASE WHEN f1.v - f2.v > 2 THEN 1 WHEN f2.v - f1.v > 2 THEN 2 WHEN f1.w > f2.w THEN 1 WHEN f2.w > f1.w THEN 2 ELSE 0 END"
@@ -58,6 +58,25 @@ def test_fold_of_a_rising_hot_key(spark):
     assert (row.winner.id, row.undecided, row.copies) == ("299", False, 300)
 
 
+def _one_key(spark, values):
+    rows = spark.createDataFrame([("hot", i, v, 0) for i, v in enumerate(values)], "k string, at int, v bigint, w int")
+    return rows.select("k", F.struct("at").alias("_order"), F.struct(F.col("at").cast("string").alias("id"), "v", "w").alias("_item"))
+
+
+def test_passes_over_a_hot_key_do_not_grow_with_it(spark):
+    """Rising: every segment hands on by its summary. Falling: one pass finds that the first row stands.
+    One peak in the middle of a segment: found, folded from there, and it stands."""
+    for n in (400, 4000):
+        rising = [10 * i for i in range(n)]
+        falling = rising[::-1]
+        peak = [0] + [10 + 3 * (i % 2) for i in range(n - 1)]
+        peak[n // 2 + 3] = 10 ** 6
+        for values, winner, passes in ((rising, n - 1, 1), (falling, 0, 2), (peak, n // 2 + 3, 3)):
+            folded, done = _fold_hot(_one_key(spark, values), ["k"], "CASE WHEN f1.v - f2.v > 2 THEN 1 WHEN f2.v - f1.v > 2 THEN 2 ELSE 1 END", 40)
+            row = folded.first()
+            assert (row.winner.id, row.undecided, row.copies) == (str(winner), False, n) and done <= passes, (n, done)
+
+
 def test_first_by_keeps_whole_rows(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 1, None)], "k string, n int, t string")
     assert {r.k: (r.n, r.t) for r in first_by(df, ["k"], ["n"]).collect()} == {"a": (1, "y"), "b": (1, None)}

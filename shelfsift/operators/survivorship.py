@@ -124,18 +124,19 @@ def typed_plugin_value(field: str, kind: str, missing_is_null: bool = False) ->
     return value if missing_is_null else F.coalesce(value, F.lit(0.0))
 
 
-def steps_verdict(steps: Sequence[RuleStep]) -> str:
-    """The SQL verdict of a list of steps over payload columns v0, v1, ..."""
+def steps_verdict(steps: Sequence[RuleStep], prefix: str = "v") -> str:
+    """The SQL verdict of a list of steps over payload columns v0, v1, ... (or another ``prefix``)."""
     branches = []
     for i, step in enumerate(steps):
         first, second = ("1", "2") if step.prefer == "greater" else ("2", "1")
+        a, b = f"f1.{prefix}{i}", f"f2.{prefix}{i}"
         if step.plugin_type == "text":
             branches.append(
-                f"WHEN upper(f1.v{i}) <> upper(f2.v{i}) THEN IF(upper(f1.v{i}) > upper(f2.v{i}), {first}, {second})"
+                f"WHEN upper({a}) <> upper({b}) THEN IF(upper({a}) > upper({b}), {first}, {second})"
             )
         else:
             margin = max(0.0, step.tolerance)
-            branches.append(f"WHEN abs(f1.v{i} - f2.v{i}) > {margin}D THEN IF(f1.v{i} > f2.v{i}, {first}, {second})")
+            branches.append(f"WHEN abs({a} - {b}) > {margin}D THEN IF({a} > {b}, {first}, {second})")
     return f"CASE {' '.join(branches)} ELSE 0 END" if branches else "0"
 
 
@@ -253,6 +254,41 @@ def choose_by_pair_rules(
     return result.select(*keys, "copies", F.when(kept, F.col("winner.id")).alias("winner_id"), (~kept).alias("undecided"))
 
 
+#: What pair rules may ask of a copy, besides its id, full_path, file_name, kind and frames.
+PAIR_MEASURES = {
+    "length": lambda: F.col("duration_seconds"),
+    "quality": lambda: F.col("quality"),
+    "size": lambda: F.col("size_bytes"),
+    "sound": lambda: F.col("integrity") != "Corrupt",
+    "filed": lambda: F.col("consolidated"),
+}
+
+
+def choose_by_policies(files: DataFrame, keys: Sequence[str], policies: dict[str, tuple[Sequence[PairRule], Sequence[RuleStep]]], order: Sequence[str], **fold_options) -> DataFrame:
+    """Fold the copies of each key by the rules of its category: pair rules where there are some, else steps.
+
+    ``files`` carries ``rule_category``, one of the names of ``policies``. All categories are folded
+    together: the verdict of a pair is that of its category, over the values that any of them needs.
+    """
+    values, branches = {}, []
+    for n, (name, (rules, steps)) in enumerate(policies.items()):
+        if rules:
+            verdict = pair_verdict(rules)
+        else:
+            own = F.col("rule_category") == name
+            values |= {f"v{n}_{i}": F.when(own, rule_value(step)) for i, step in enumerate(steps)}
+            verdict = steps_verdict(steps, f"v{n}_")
+        branches.append(f"WHEN {n} THEN {verdict}")
+    number = F.lit(None).cast("int")
+    for n, name in enumerate(policies):
+        number = F.when(F.col("rule_category") == name, n).otherwise(number)
+    rows = files.withColumns({"rule_number": number, **values, **{c: make() for c, make in PAIR_MEASURES.items()}})
+    names = ["id", "full_path", "file_name", "kind", "frames", "rule_number", *values, *PAIR_MEASURES]
+    result = fold(rows, keys, order, names, f"CASE f1.rule_number {' '.join(branches)} ELSE 0 END", **fold_options)
+    kept = ~F.col("undecided") | (F.col("copies") == 1)
+    return result.select(*keys, "copies", F.when(kept, F.col("winner.id")).alias("winner_id"), (~kept).alias("undecided"))
+
+
 def library_preference(filed: Column, under_root: Column, destination: Column) -> Column:
     """0 correctly filed, 1 under a library root, 2 on the destination's volume, 3 neither."""
     return (

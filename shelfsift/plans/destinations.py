@@ -25,7 +25,8 @@ MAIN_OF = {"TvExtra": "TvShow", "MovieExtra": "Movie"}
 
 @dataclass(frozen=True)
 class Category:
-    """Filing policy of one category."""
+    """Filing policy of one category. Rivals are settled by its ``pair_rules`` if it has some, else by
+    its ``steps``, else by the built-in judgement."""
 
     name: str
     folder: str = ""
@@ -34,6 +35,7 @@ class Category:
     match: str = "content_or_title"
     tolerance: int = 0
     steps: tuple = ()
+    pair_rules: tuple = ()
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,7 @@ from ..functions.paths import path_key, stem_of
 from ..functions.staging import staged
 from ..functions.text import effective_title, has_hash, is_blank, is_extra, strip, title_key
 from ..operators.skew import first_by
-from ..operators.survivorship import choose_by_rules, length_rank, library_preference, quality_of, rank_order
+from ..operators.survivorship import choose_by_policies, library_preference, rank_order
 from ..session import ensure_checkpoint_dir
 from .destinations import Library
 
@@ -135,7 +135,7 @@ def settle_jobs(files: DataFrame, library: Library, same_content: Column | None
     """Decision per job: (job_key, job_kind, keeper_id, reason).
 
     Needs category, frames, correctly_filed, under_root and planned_dir. Single files and identical copies
-    settle themselves; rivals go through the category's rule steps where it has some, else the built-in judgement.
+    settle themselves; rivals go through the category's pair rules, else its rule steps, else the built-in judgement.
     """
     rows = job_files(files, library).filter("reason IS NULL")
     rows = rows.withColumn("library_rank", library_preference(F.col("correctly_filed"), F.col("under_root"), F.col("planned_dir")))
@@ -146,18 +146,16 @@ def settle_jobs(files: DataFrame, library: Library, same_content: Column | None
     candidates = job_candidates(rows).join(jobs.select("job_key", "job_kind", F.col("category").alias("job_category")), "job_key")
     plain = candidates.filter("job_kind <> 'Rivals'").select("job_key", "job_kind", F.col("id").alias("keeper_id"), F.lit(None).cast("string").alias("reason"))
     rivals = candidates.filter("job_kind = 'Rivals'")
-    ruled = [c for c in library.categories if c.steps]
-    by_rules = [rivals.filter(F.upper("job_category") == c.name.upper()) for c in ruled]
-    rest = rivals.filter(~F.upper("job_category").isin(*[c.name.upper() for c in ruled])) if ruled else rivals
-    judged = settle(rest, library.tolerance(F.col("job_category")), video_match() if same_content is None else same_content)
-    decided = judged.select("job_key", F.lit("Rivals").alias("job_kind"), "keeper_id", "reason")
-    for policy, part in zip(ruled, by_rules):
-        chosen = choose_by_rules(part.withColumn("at", F.col("set_at")), ["job_key"], policy.steps, order=("at",))
-        decided = decided.unionByName(chosen.select(
-            "job_key", F.lit("Rivals").alias("job_kind"), F.col("winner_id").alias("keeper_id"),
-            F.when(F.col("undecided"), "the rules cannot tell these copies apart").alias("reason"),
-        ))
-    return plain.unionByName(decided)
+    ruled = {c.name.upper(): (c.pair_rules, c.steps) for c in library.categories if c.pair_rules or c.steps}
+    by_rules = F.upper("job_category").isin(*ruled) if ruled else F.lit(False)
+    judged = settle(rivals.filter(~by_rules), library.tolerance(F.col("job_category")), video_match() if same_content is None else same_content)
+    decided = plain.unionByName(judged.select("job_key", F.lit("Rivals").alias("job_kind"), "keeper_id", "reason"))
+    if not ruled:
+        return decided
+    chosen = choose_by_policies(rivals.filter(by_rules).withColumns({"at": F.col("set_at"), "rule_category": F.upper("job_category")}), ["job_key"], ruled, order=("at",))
+    return decided.unionByName(chosen.select(
+        "job_key", F.lit("Rivals").alias("job_kind"), F.col("winner_id").alias("keeper_id"), F.when(F.col("undecided"), "undecided_by_rules").alias("reason"),
+    ))
 
 
 def doomed_files(files: DataFrame, library: Library, decisions: DataFrame) -> DataFrame:
@@ -195,25 +193,38 @@ def same_episode_in_library(files: DataFrame) -> DataFrame:
     return joined.select("id", twin.alias("twin_id")).filter("twin_id IS NOT NULL")
 
 
+def rival_fields() -> Column:
+    """What the settlement of two rivals reads of a file, as a struct."""
+    rank = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank_order())]).alias("rank")
+    return F.struct("id", "size_bytes", "sha256", "duration_seconds", "category", "kind", "frames", rank)
+
+
+def settle_episode_rivals(pairs: DataFrame, library: Library, same_content: Column | None = None) -> DataFrame:
+    """Attach ``choice`` to pairs of an incoming file ``f1`` and the library's ``f2`` (``rival_fields``).
+
+    Two copies of the same content whose lengths agree go to the better one: incoming or existing. It is null
+    where they do not look alike or differ too much in length, which is for the user to settle.
+    """
+    measured = (F.col("f1.duration_seconds") > 0) & (F.col("f2.duration_seconds") > 0)
+    gap = F.when(measured, F.abs(F.col("f1.duration_seconds") - F.col("f2.duration_seconds")))
+    agree = gap.isNull() | (gap <= library.tolerance(F.col("f1.category")))
+    same = video_match() if same_content is None else same_content
+    better = F.when(F.col("f1.rank") <= F.col("f2.rank"), "incoming").otherwise("existing")
+    return pairs.withColumn("choice", F.when(same & agree, better))
+
+
 def resolve_episode_conflicts(files: DataFrame, to_file: DataFrame, library: Library, same_content: Column | None = None) -> DataFrame:
     """(id, twin_id, outcome) for files to be filed that have a twin in the library.
 
-    Identical content is settled at once; otherwise two copies of the same content and agreeing length go to
-    the better one, and the rest is asked.
+    Identical content is settled at once; otherwise the rivals are settled, and what that leaves open is asked.
     """
     pairs = same_episode_in_library(files).join(to_file.select("id"), "id", "left_semi")
-    fields = ["size_bytes", "sha256", "duration_seconds", "category", "kind", "frames"]
-    rank = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank_order())]).alias("rank")
-    measured = files.select("id", F.struct("id", *fields, rank).alias("f"))
+    measured = files.select("id", rival_fields().alias("f"))
     both = pairs.join(measured.withColumnRenamed("f", "f1"), "id").join(measured.select(F.col("id").alias("twin_id"), F.col("f").alias("f2")), "twin_id")
     identical = (F.col("f1.size_bytes") == F.col("f2.size_bytes")) & (F.length("f1.sha256") > 0) & (F.upper("f1.sha256") == F.upper("f2.sha256"))
-    measured_lengths = (F.col("f1.duration_seconds") > 0) & (F.col("f2.duration_seconds") > 0)
-    gap = F.when(measured_lengths, F.abs(F.col("f1.duration_seconds") - F.col("f2.duration_seconds")))
-    agree = gap.isNull() | (gap <= library.tolerance(F.col("f1.category")))
-    same = video_match() if same_content is None else same_content
-    better = F.when(F.col("f1.rank") <= F.col("f2.rank"), "keep incoming").otherwise("keep library copy")
-    outcome = F.when(identical, "identical").when(same & agree, better).otherwise("ask")
-    return both.select("id", "twin_id", outcome.alias("outcome"))
+    settled = settle_episode_rivals(both, library, same_content)
+    choice = F.when(F.col("choice") == "incoming", "keep incoming").when(F.col("choice") == "existing", "keep library copy")
+    return settled.select("id", "twin_id", F.when(identical, "identical").otherwise(F.coalesce(choice, F.lit("ask"))).alias("outcome"))
 
 
 # --- pair predicates -----------------------------------------------------------------------------------

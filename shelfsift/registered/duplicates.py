@@ -230,3 +230,68 @@ def _(spark, sf):
         content = F.when((F.col("extension") == ".AVI") & (F.col("size_bytes") % 7 == 0), 1).otherwise(0)
         rows, columns = rows.join(files(spark, sf).select("id", content.alias("content_key")), "id"), [*columns, "content_key"]
     return S.choose_by_pair_rules(rows, ["title_group"], PAIR_RULES, columns)
+
+
+@register(
+    "choose_by_builtin_steps",
+    _fold_oracle(
+        "WHEN f1.i <> f2.i THEN CASE WHEN f1.i > f2.i THEN 1 ELSE 2 END WHEN f1.q <> f2.q THEN CASE WHEN f1.q > f2.q THEN 1 ELSE 2 END "
+        "WHEN abs(f1.l - f2.l) > 0.5 THEN CASE WHEN f1.l > f2.l THEN 1 ELSE 2 END WHEN f1.s <> f2.s THEN CASE WHEN f1.s > f2.s THEN 2 ELSE 1 END",
+        "'i': CASE integrity WHEN 'Ok' THEN 2 WHEN 'NotChecked' THEN 1 ELSE 0 END, 'q': nullif(quality, 0), 'l': CASE WHEN duration_seconds > 0 THEN duration_seconds END, 's': size_bytes",
+    ),
+)
+def _(spark, sf):
+    rows = files(spark, sf).withColumn("title_group", D.claimed_identity(effective_category())).filter("title_group IS NOT NULL")
+    return S.choose_by_rules(rows, ["title_group"], S.BUILT_IN_STEPS)
+
+
+EXPLAINED = (S.RuleStep("Integrity"), S.RuleStep("Quality", tolerance=400), S.RuleStep("Length", tolerance=10), S.RuleStep("NameLength", "lesser"), S.RuleStep("AlreadyFiled"))
+
+
+@register(
+    "explain_rule",
+    f"""WITH v AS (SELECT {IDENTITY} AS title_group, id, ord, CASE integrity WHEN 'Ok' THEN 2 WHEN 'NotChecked' THEN 1 ELSE 0 END AS i, nullif(quality, 0) AS q,
+        CASE WHEN duration_seconds > 0 THEN duration_seconds END AS l, length(file_name) AS n, consolidated::INT AS c FROM files),
+    h AS (SELECT title_group, arg_min(v, (ord, id)) AS a FROM v WHERE title_group IS NOT NULL GROUP BY 1),
+    p AS (SELECT h.a, v AS b FROM v JOIN h USING (title_group) WHERE v.id <> h.a.id),
+    t AS (SELECT a.id AS a_id, b.id AS b_id, a, b, ['corrupt', 'not checked', 'sound'] AS words, ['not filed', 'in the library'] AS filed FROM p)
+    SELECT a_id, b_id, CASE WHEN a.i <> b.i THEN concat('max Integrity — ', words[a.i + 1], ' against ', words[b.i + 1])
+      WHEN abs(a.q - b.q) > 400 THEN concat('max Quality ± 400 — ', a.q, ' against ', b.q)
+      WHEN abs(a.l - b.l) > 10 THEN concat('max Length ± 10 — ', {{len_a}}, ' against ', {{len_b}})
+      WHEN a.n <> b.n THEN concat('min Length of the name — ', a.n, ' against ', b.n)
+      WHEN a.c <> b.c THEN concat('max Already in the library — ', filed[a.c + 1], ' against ', filed[b.c + 1]) ELSE 'all_equal' END AS why FROM t""".replace(
+        "{len_a}", "printf('%d:%02d:%02d', CAST(floor(a.l / 3600) AS BIGINT), CAST(floor(a.l % 3600 / 60) AS BIGINT), CAST(floor(a.l % 60) AS BIGINT))").replace(
+        "{len_b}", "printf('%d:%02d:%02d', CAST(floor(b.l / 3600) AS BIGINT), CAST(floor(b.l % 3600 / 60) AS BIGINT), CAST(floor(b.l % 60) AS BIGINT))"),
+)
+def _(spark, sf):
+    """The first copy of each claimed identity against every other one."""
+    values = F.struct("id", *[S.rule_value(step).alias(f"v{i}") for i, step in enumerate(EXPLAINED)])
+    rows = files(spark, sf).withColumn("title_group", D.claimed_identity(effective_category())).filter("title_group IS NOT NULL")
+    rows = rows.select("title_group", "ord", "id", values.alias("b"))
+    firsts = rows.groupBy("title_group").agg(F.min_by("b", F.struct("ord", "id")).alias("a"))
+    pairs = rows.join(firsts, "title_group").filter(F.col("a.id") != F.col("b.id"))
+    return S.explain_pairs(pairs, EXPLAINED).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "why")
+
+
+# Plugin fields of the test catalogue: numbers, texts that are none, truths in several spellings, dates, and absences.
+_PLUGIN = {
+    "pages": "CASE ord % 5 WHEN 0 THEN NULL WHEN 1 THEN 'many' WHEN 2 THEN concat(' ', CAST(ord % 90 AS STRING), '.5 ') ELSE CAST(ord % 700 AS STRING) END",
+    "owned": "CASE ord % 6 WHEN 0 THEN 'Yes' WHEN 1 THEN ' TRUE' WHEN 2 THEN '1' WHEN 3 THEN 'no' WHEN 4 THEN '' END",
+    "bought": "CASE ord % 4 WHEN 0 THEN concat(CAST(2000 + ord % 25 AS STRING), '-03-0', CAST(ord % 9 + 1 AS STRING)) WHEN 1 THEN 'last week' WHEN 2 THEN '' END",
+    "note": "CASE ord % 3 WHEN 0 THEN parsed_title WHEN 1 THEN '' END",
+}
+
+
+@register(
+    "typed_plugin_value",
+    f"""WITH p AS (SELECT id, {_PLUGIN['pages']} AS pages, {_PLUGIN['owned']} AS owned, {_PLUGIN['bought']} AS bought, {_PLUGIN['note']} AS note FROM files),
+    v AS (SELECT id, TRY_CAST(trim(pages) AS DOUBLE) AS n, CASE WHEN lower(trim(owned)) IN ('true', 'yes', '1') THEN 1.0 WHEN owned <> '' THEN 0.0 END::DOUBLE AS t,
+      (epoch(TRY_CAST(bought AS DATE)) - 946684800)::DOUBLE AS d, nullif(note, '') AS x FROM p)
+    SELECT id, n AS number_step, coalesce(n, 0) AS number_filter, t AS truth_step, coalesce(t, 0) AS truth_filter, d AS date_step, coalesce(d, 0) AS date_filter, x AS text_step, coalesce(x, '') AS text_filter FROM v""",
+)
+def _(spark, sf):
+    fields = F.create_map(*[part for name, text in _PLUGIN.items() for part in (F.lit(name), F.expr(text))])
+    rows = files(spark, sf).withColumn("plugin_fields", fields)
+    kinds = (("number", "Pages"), ("truth", "owned"), ("date", "bought"), ("text", "note"))
+    columns = [S.typed_plugin_value(name, kind, step).alias(f"{kind}_{'step' if step else 'filter'}") for kind, name in kinds for step in (True, False)]
+    return rows.select("id", *columns)

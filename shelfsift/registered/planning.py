@@ -10,7 +10,8 @@ from ..functions.text import has_hash
 from ..operators.categories import effective_category
 from ..operators.classify import classify_files, detect_extra, renumber_diff
 from ..operators.duplicates import claimed_identity
-from ..operators.survivorship import RuleStep, best_by_name_quality, library_preference
+from ..operators.skew import ranked
+from ..operators.survivorship import PairRule, RuleStep, best_by_name_quality, library_preference
 from ..plans import destinations as P
 from ..plans import jobs as J
 from ..plans.refresh import count_stale, count_unverified, refresh_report
@@ -334,6 +335,37 @@ def _(spark, sf):
     return J.settle_jobs(_filed(spark, sf), LIBRARY)
 
 
+# Series by steps, films by pair rules, and music by the built-in judgement.
+TIERED = P.Library((
+    P.Category("TvShow", "/lib", steps=(RuleStep("Quality"), RuleStep("Length", tolerance=10), RuleStep("Size", "lesser"))),
+    P.Category("Movie", "/lib/films/", template="{title} {year} {quality}", steps=(RuleStep("Size"),), pair_rules=(
+        PairRule("f1.sound AND NOT f2.sound", "keep1"), PairRule("f2.sound AND NOT f1.sound", "keep2"),
+        PairRule("abs(f1.length - f2.length) > 60", "undecided"),
+        PairRule("f1.quality > f2.quality", "keep1"), PairRule("f2.quality > f1.quality", "keep2"), PairRule("f1.size <= f2.size", "keep1"), PairRule("", "keep2"),
+    )),
+    P.Category("Audio", "/music", letter_folders=True, match="name"),
+))
+_TIERS = """CASE WHEN cat = 'TvShow' THEN CASE WHEN abs(f1.q - f2.q) > 0 THEN CASE WHEN f1.q > f2.q THEN 1 ELSE 2 END WHEN abs(f1.l - f2.l) > 10 THEN CASE WHEN f1.l > f2.l THEN 1 ELSE 2 END
+      WHEN abs(f1.s - f2.s) > 0 THEN CASE WHEN f1.s > f2.s THEN 2 ELSE 1 END ELSE 0 END
+    ELSE CASE WHEN f1.sound AND NOT f2.sound THEN 1 WHEN f2.sound AND NOT f1.sound THEN 2 WHEN abs(f1.len - f2.len) > 60 THEN 0
+      WHEN f1.qual > f2.qual THEN 1 WHEN f2.qual > f1.qual THEN 2 WHEN f1.s <= f2.s THEN 1 ELSE 2 END END"""
+
+
+@register(
+    "settle_jobs_three_tiers",
+    f"""WITH {PLANNED}, {_STATE}, {JOBS}, {CANDS}, ruled AS (SELECT c.job_key, c.nth, jobs.head.c AS cat, {{'id': c.id, 'q': nullif(quality, 0), 'l': CASE WHEN duration_seconds > 0 THEN duration_seconds END, 's': size_bytes,
+        'len': duration_seconds, 'qual': quality, 'sound': integrity <> 'Corrupt'}} AS item FROM cand c JOIN jobs USING (job_key) WHERE job_kind = 'Rivals' AND jobs.head.c IN ('TvShow', 'Movie')),
+    folded AS (SELECT job_key, nth, cat, item AS best, false AS undecided FROM ruled WHERE nth = 1 UNION ALL
+      SELECT job_key, nth, cat, CASE WHEN v = 2 AND NOT undecided THEN f2 ELSE f1 END, undecided OR v NOT IN (1, 2) FROM (
+        SELECT p.job_key, r.nth, p.cat, p.undecided, p.best AS f1, r.item AS f2, {_TIERS.replace('f1.', 'p.best.').replace('f2.', 'r.item.').replace('cat =', 'p.cat =')} AS v FROM folded p JOIN ruled r ON r.job_key = p.job_key AND r.nth = p.nth + 1)),
+    ends AS (SELECT job_key, arg_max(best.id, nth) AS id, arg_max(undecided, nth) AS undecided FROM folded GROUP BY job_key)
+    SELECT d.job_key, d.job_kind, CASE WHEN e.job_key IS NULL THEN d.keeper_id WHEN NOT e.undecided THEN e.id END AS keeper_id,
+      CASE WHEN e.job_key IS NULL THEN d.reason WHEN e.undecided THEN 'undecided_by_rules' END AS reason FROM decided d LEFT JOIN ends e ON e.job_key = d.job_key""",
+)
+def _(spark, sf):
+    return J.settle_jobs(_filed(spark, sf), TIERED)
+
+
 @register("doomed_files", f"WITH {PLANNED}, {_STATE}, {JOBS}, {CANDS} SELECT j.job_key, j.id, j.full_path, d.keeper_id FROM jf2 j JOIN decided d ON d.job_key = j.job_key WHERE d.keeper_id IS NOT NULL AND d.keeper_id <> j.id")
 def _(spark, sf):
     rows = _filed(spark, sf)
@@ -373,11 +405,24 @@ def _(spark, sf):
     rk AS (SELECT *, row_number() OVER (ORDER BY {RANK}) AS rk, {_WORD} AS w FROM files)
     SELECT a.id, b.id AS twin_id, CASE WHEN a.size_bytes = b.size_bytes AND a.sha256 <> '' AND upper(a.sha256) = upper(b.sha256) THEN 'identical'
       WHEN a.w = b.w AND (a.duration_seconds <= 0 OR b.duration_seconds <= 0 OR abs(a.duration_seconds - b.duration_seconds) <= 50) THEN CASE WHEN a.rk <= b.rk THEN 'keep incoming' ELSE 'keep library copy' END ELSE 'ask' END AS outcome
-    FROM pr JOIN rk a ON a.id = pr.id JOIN rk b ON b.id = pr.twin_id WHERE a.ord % 3 = 0""",
+    FROM pr JOIN rk a ON a.id = pr.id JOIN rk b ON b.id = pr.twin_id""",
+)
+def _(spark, sf):
+    rows = _filed(spark, sf)
+    return J.resolve_episode_conflicts(rows, rows, LIBRARY)
+
+
+@register(
+    "settle_episode_rivals",
+    f"""WITH {PLANNED}, {_STATE}, {_TWINS}, rk AS (SELECT *, row_number() OVER (ORDER BY {RANK}) AS rk, {_WORD} AS w FROM files)
+    SELECT a.id, b.id AS twin_id, CASE WHEN a.w = b.w AND (a.duration_seconds <= 0 OR b.duration_seconds <= 0 OR abs(a.duration_seconds - b.duration_seconds) <= 12) THEN CASE WHEN a.rk <= b.rk THEN 'incoming' ELSE 'existing' END END AS choice
+    FROM twins t JOIN rk a ON a.id = t.id JOIN rk b ON b.id = struct_extract_at(t.at0, 2)""",
 )
 def _(spark, sf):
     rows = _filed(spark, sf)
-    return J.resolve_episode_conflicts(rows, rows.filter("ord % 3 = 0"), LIBRARY)
+    fields = rows.select("id", J.rival_fields().alias("f"))
+    pairs = J.same_episode_in_library(rows).join(fields.withColumnRenamed("f", "f1"), "id").join(fields.select(F.col("id").alias("twin_id"), F.col("f").alias("f2")), "twin_id")
+    return J.settle_episode_rivals(pairs, P.Library((P.Category("TvShow", "/lib", tolerance=12),))).select("id", "twin_id", "choice")
 
 
 @register(
@@ -390,6 +435,25 @@ def _(spark, sf):
     return J.copy_links(files(spark, sf))
 
 
+_COPY_PAIRS = f"""keyed AS (SELECT *, CASE WHEN sha256 <> '' THEN upper(sha256) END AS c, CASE WHEN trim({EFF}) <> '' THEN concat_ws('|', upper({EFF}), coalesce(CAST(year AS VARCHAR), '-'), coalesce(CAST(season AS VARCHAR), '-'), coalesce(CAST(episode AS VARCHAR), '-')) END AS t FROM files),
+p AS (SELECT a, lead(a) OVER (ORDER BY a.parsed_title, a.ord, a.id) AS b FROM (SELECT keyed AS a FROM keyed))"""
+
+
+@register(
+    "are_copies_by_mode",
+    f"""WITH {_COPY_PAIRS}, m AS (SELECT a.id AS a_id, b.id AS b_id, coalesce(a.c = b.c, false) AS content, coalesce(upper(a.file_name) = upper(b.file_name), false) AS name, coalesce(a.t = b.t, false) AS title FROM p WHERE b IS NOT NULL)
+    SELECT *, content OR title AS content_or_title FROM m""",
+)
+def _(spark, sf):
+    """Neighbours in the order of titles, by each of the four modes."""
+    rows = files(spark, sf).withColumn("_row", F.struct("*"))
+    near = ranked(rows.select(F.lit(0).alias("_all"), "parsed_title", "ord", "id", "_row"), ["_all"], ["parsed_title", "ord", "id"], "_nr", limit=1)
+    pairs = near.select(F.col("_nr"), F.col("_row").alias("a")).join(near.select((F.col("_nr") - 1).alias("_nr"), F.col("_row").alias("b")), "_nr").drop("_nr")
+    for mode in ("content", "name", "title", "content_or_title"):
+        pairs = J.are_copies(pairs, mode=mode).withColumnRenamed("copies", mode)
+    return pairs.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "content", "name", "title", "content_or_title")
+
+
 @register(
     "length_gap",
     """WITH p AS (SELECT f.id, f.duration_seconds AS a, g.d AS b FROM files f JOIN (SELECT upper(sha256) AS h, arg_min(duration_seconds, (ord, id)) AS d FROM files WHERE sha256 <> '' GROUP BY 1) g ON upper(f.sha256) = g.h WHERE f.sha256 <> ''),

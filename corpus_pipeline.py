@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsift.llm.common import documents, written
@@ -10,7 +10,7 @@ from shelfsift.llm.jaccard_join import near_duplicates
 from shelfsift.llm.mixing import Target, mix, word_count
 from shelfsift.llm.packing import pack
 from shelfsift.llm.queries import vocabulary
-from shelfsift.llm.suffix_dedup import LAST_ID, remove_repeats
+from shelfsift.llm.suffix_dedup import remove_repeats
 from shelfsift.llm.toxicity import grade, train
 
 #: A source of few tokens comes at most so often; the largest one comes once, so none is cut.
@@ -26,26 +26,44 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (0.8 or more of their five-word shingles in common) the
-    document with the smallest id stays, once. Documents without words stay."""
-    key = F.coalesce(F.col("doc_id"), F.lit(LAST_ID))
-    groups = near_duplicates(docs, similarity=SIMILARITY, words=WORDS)
-    stay = groups.filter("n_shingles = 0 OR component_id IS NULL OR doc_id = component_id").select(key.alias("_key")).distinct()
-    rows = docs.withColumns({"_key": key, "_text": F.xxhash64("text", "lang", "source")}).join(stay, "_key", "left_semi")
-    # The join has already brought the rows of an id together.
-    once = Window.partitionBy("_key", "_text").orderBy(F.lit(0))
-    return rows.withColumn("_nr", F.row_number().over(once)).filter("_nr = 1").select(*docs.columns)
+    """Of each group of near duplicates (0.8 or more of their five-word shingles in common) one row
+    stays: the one with the smallest id, null ids last, and of several such rows the first. Documents
+    without words stay. Rows are judged by themselves, also where they share an id or have none."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    groups = near_duplicates(rows.select("_row", "text"), doc_id="_row", similarity=SIMILARITY, words=WORDS)
+    known = rows.select("_row", F.col("doc_id").alias("_id")).join(groups.select(F.col("doc_id").alias("_row"), "n_shingles", "component_id"), "_row")
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_row"))
+    stay = known.groupBy(own.alias("_group")).agg(F.min(F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_row").alias("row"))).alias("_first"))
+    return rows.join(stay.select(F.col("_first.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+
+
+#: Ends of a piece of UTF-8, a byte as a character: the rest of a character cut in front, the beginning of one cut behind.
+CUT_IN_FRONT = r"^[\u0080-\u00bf]{1,3}"
+CUT_BEHIND = r"(?:[\u00c0-\u00ff]|[\u00e0-\u00ff][\u0080-\u00bf]|[\u00f0-\u00ff][\u0080-\u00bf]{2})$"
+
+
+def kept_text(text: Column, starts: Column, ends: Column) -> Column:
+    """What stays of a text without the bytes from each start to its end. A character of which only
+    a part would stay goes too; all others stay as they are."""
+    data = text.cast("binary")
+    pieces = F.arrays_zip(F.concat(F.array(F.lit(0).cast("bigint")), ends).alias("a"), F.concat(starts, F.array(F.octet_length(data).cast("bigint"))).alias("b"))
+
+    def piece(span: Column) -> Column:
+        own = F.decode(F.substring(data, (span["a"] + 1).cast("int"), (span["b"] - span["a"]).cast("int")), "ISO-8859-1")
+        whole = F.regexp_replace(F.regexp_replace(own, CUT_IN_FRONT, ""), CUT_BEHIND, "")
+        return F.encode(whole, "ISO-8859-1").cast("string")
+
+    return F.array_join(F.transform(pieces, piece), "")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds are cut out; a document they make up wholly goes.
-    A character of which only a part would stay goes with the passage."""
+    """Passages that an earlier document holds are cut out; a document they make up wholly goes."""
     cut = F.size("removed_starts") > 0
-    left = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
-    found = remove_repeats(docs).filter(~cut | (F.length("kept") > 0))
-    text = F.when(cut, left).otherwise(F.col("doc.text"))
-    columns = {"text": text, "n_chars": F.when(cut, F.length(left).cast("long")).otherwise(F.col("doc.n_chars"))}
-    return found.select(*[columns[c].alias(c) if c in columns else F.col("doc")[c].alias(c) for c in docs.columns])
+    found = remove_repeats(docs)
+    text = F.when(cut, kept_text(F.col("doc.text"), F.col("removed_starts"), F.col("removed_ends"))).otherwise(F.col("doc.text"))
+    left = found.withColumn("_text", text).filter(~cut | (F.length("_text") > 0))
+    columns = {"text": F.col("_text"), "n_chars": F.when(cut, F.length("_text").cast("long")).otherwise(F.col("doc.n_chars"))}
+    return left.select(*[columns[c].alias(c) if c in columns else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import uuid
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +65,29 @@ def split_long(df: DataFrame, *columns: Column) -> DataFrame:
     """``columns`` as a row of their own behind a generator, so the optimizer does not inline
     them into lambdas that would evaluate them once an element."""
     return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system. Spark keeps workers from stage to
+    stage, and both allocators would hold on to the most that any stage has used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(function):
+    """A function of one or two Arrow groups that gives its memory back when it has made its table."""
+
+    def one(table):
+        made = function(table)
+        give_back()
+        return made
+
+    def two(left, right):
+        made = function(left, right)
+        give_back()
+        return made
+
+    return two if len(inspect.signature(function).parameters) == 2 else one

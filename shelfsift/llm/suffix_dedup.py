@@ -31,12 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, lean
+
 LENGTH = 50
 LEAD = 16
 REACH = LENGTH - LEAD  # the farthest a chosen suffix starts behind its string's start
 #: Suffixes of a bucket, and text bytes of a block of documents, on average.
 BUCKET_SUFFIXES = 1 << 19
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Suffixes that are dealt, compared or looked around at once; bounds a task's memory.
 AT_ONCE = 1 << 15
 #: Sampled suffixes for each bucket that the splitters are taken from.
@@ -227,6 +229,7 @@ def _spread(splitters: np.ndarray):
                     held, doc = [], ids[row]
                     rows = list(_dealt(splitters, lead, [lead, doc.astype("<i8"), at], doc))
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
+        give_back()
 
     return run
 
@@ -436,15 +439,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     blocked = own.select("doc", "id", F.crc32("bytes").alias("tag"), _block_column(F.col("id"), blocks).alias("block")).repartition(blocks, "block")
     suffixes = own.select("id", "bytes").mapInArrow(_spread(splitters), "bucket long, blob binary")
-    shared = suffixes.groupBy("bucket").applyInArrow(_shared(blocks), CANDIDATES)
-    around = blocked.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_surroundings(splitters, text), "bucket long, blob binary")
+    shared = suffixes.groupBy("bucket").applyInArrow(lean(_shared(blocks)), CANDIDATES)
+    around = blocked.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lean(_surroundings(splitters, text)), "bucket long, blob binary")
     spread = around.repartition(buckets, "bucket")
-    settled = spread.groupBy("bucket").applyInArrow(_settled(blocks), CANDIDATES)
-    edges = spread.groupBy("bucket").applyInArrow(_edge_strings(buckets), "bucket long, blob binary")
-    spans = settled.unionByName(edges.groupBy("bucket").applyInArrow(_compared(blocks), CANDIDATES))
+    settled = spread.groupBy("bucket").applyInArrow(lean(_settled(blocks)), CANDIDATES)
+    edges = spread.groupBy("bucket").applyInArrow(lean(_edge_strings(buckets)), "bucket long, blob binary")
+    spans = settled.unionByName(edges.groupBy("bucket").applyInArrow(lean(_compared(blocks)), CANDIDATES))
     kind = docs.schema.simpleString()
     return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(
-        _cut_out(text), f"doc {kind}, n_bytes long, kept binary, removed_starts array<long>, removed_ends array<long>"
+        lean(_cut_out(text)), f"doc {kind}, n_bytes long, kept binary, removed_starts array<long>, removed_ends array<long>"
     )
 
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: The classifier is fitted on the driver from at most so many labelled documents, those with the
 #: least hash, of at most so many characters in all: bounded whatever the table's size.
 SAMPLE_DOCS = 6_000
@@ -187,6 +189,7 @@ def grade(docs: DataFrame, model: OrdinalModel, text: str = "text", reject_from:
                 [batch.column(0), pa.array(severity), pa.array(likeliest.astype(np.int32)), pa.array(severity >= reject_from)],
                 names=["doc", name, "grade", "toxic"],
             )
+        give_back()
 
     rows = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc {docs.schema.simpleString()}, {name} double, grade int, toxic boolean")

@@ -241,3 +241,34 @@ def test_pipeline_removes_copies_of_four_fifths(spark, make):
     apart = other[:90] + [f"y{k}" for k in range(19)] + other[109:]
     docs = make([(k, " ".join(w), "en", "a") for k, w in enumerate((words, copy, other, apart))])
     assert {r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()} == {0, 2, 3}
+
+
+def test_pipeline_decides_row_by_row(spark, make):
+    """Rows with one id, or with none, are judged by their own texts; of equal rows one stays."""
+    import corpus_pipeline
+
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base.replace("w59", "zz")
+    docs = make([
+        (1, base, "en", "a"), (7, near, "en", "a"), (7, "another text with the same id", "en", "a"), (None, near, "en", "b"), (None, "no id and no twin at all", "en", "b"),
+        (None, None, None, None), (3, "", "en", "b"), (1, base, "en", "a"), (None, "two rows without ids that are alike", "en", "b"), (None, "two rows without ids that are alike", "en", "b"),
+    ])
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()), key=repr)
+    assert kept == sorted([(1, base), (7, "another text with the same id"), (None, "no id and no twin at all"), (None, None), (3, ""), (None, "two rows without ids that are alike")], key=repr)
+
+
+def test_pipeline_cuts_between_characters(spark, make):
+    """Characters that a cut would split go, genuine replacement characters stay."""
+    import corpus_pipeline
+
+    cases = [("broken \ufffd sign é日本 tail \ufffd end", [(9, 10)]), ("aé b日c", [(2, 3), (6, 7)]), ("é", [(0, 1)]), ("éè", [(1, 3)]), ("plain text", [(0, 3), (5, 10)]), ("😀x😀", [(2, 6)]), ("untouched é", [])]
+    for text, spans in cases:
+        raw = text.encode()
+        pieces = zip([0] + [e for _, e in spans], [s for s, _ in spans] + [len(raw)], strict=True)
+        row = spark.createDataFrame([(text, [s for s, _ in spans], [e for _, e in spans])], "text string, a array<bigint>, b array<bigint>")
+        assert row.select(corpus_pipeline.kept_text(F.col("text"), F.col("a"), F.col("b"))).first()[0] == "".join(raw[s:e].decode("utf-8", "ignore") for s, e in pieces)
+    passage = "ein Satz, der mit ö endet und über fünfzig Bytes lang ist: jä"
+    docs = make([(1, passage + "é", "de", "a"), (2, "\ufffd vorn " + passage + "è hinten \ufffd", "de", "a")])
+    texts = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, docs, "").collect()}
+    # The two letters behind the passage share their first byte, so half of the second one is repeated and its other half goes with it.
+    assert texts == {1: passage + "é", 2: "\ufffd vorn  hinten \ufffd"}

@@ -197,8 +197,8 @@ def _number(value: Column, format_: str | None) -> Column:
     return F.when(value.isNotNull(), text).otherwise("")
 
 
-def name_template(template: str) -> Column:
-    """A template such as ``{title} - {season:00}x{episode:00}`` as one expression, tidied."""
+def filled_template(template: str) -> Column:
+    """A template such as ``{title} - {season:00}x{episode:00}`` with its fields filled in, not yet tidied."""
     fields = {
         "title": lambda f: strip(effective_title()),
         "secondarytitle": lambda f: strip(F.coalesce("secondary_title", F.lit(""))),
@@ -217,35 +217,50 @@ def name_template(template: str) -> Column:
         parts.append(known(found.group(2)) if known else F.lit(found.group(0).replace(found.group(1), found.group(1).lower(), 1)))
         at = found.end()
     parts.append(F.lit(template[at:]))
-    stem = F.regexp_replace(F.concat(*parts), INVALID_NAME_CHARS, " ")
+    return F.concat(*parts)
+
+
+def tidied(name: Column) -> Column:
+    """A filled template without what empty fields leave behind, as a file's stem."""
+    stem = F.regexp_replace(name, INVALID_NAME_CHARS, " ")
     stem = F.regexp_replace(stem, r"[(\[{]\s*[)\]}]", " ")
     stem = F.trim(F.regexp_replace(stem, r"\s+", " "))
     stem = F.regexp_replace(stem, r"[-–—]\s*(?:[-–—]\s*)+", "- ")
-    stem = F.regexp_replace(F.trim(F.regexp_replace(stem, r"\s+", " ")), r"^[-–—_. ]+|[-–—_. ]+$", "")
-    return F.when(stem == "", "").otherwise(F.concat(stem, F.lower("extension")))
+    return F.regexp_replace(F.trim(F.regexp_replace(stem, r"\s+", " ")), r"^[-–—_. ]+|[-–—_. ]+$", "")
+
+
+def name_template(files: DataFrame, template: Column, name: str = "templated") -> DataFrame:
+    """Attach the name a filled ``template`` gives; empty if nothing is left of it, null without one.
+
+    The steps are columns of their own: each is computed once, and no generated method holds them all.
+    """
+    df = staged(files, {"_filled": template})
+    df = staged(df, {"_stem": tidied(F.col("_filled"))})
+    whole = F.when(F.col("_stem") == "", "").otherwise(F.concat("_stem", F.lower("extension")))
+    return staged(df, {name: whole}).drop("_filled", "_stem")
 
 
-def plan_file_name(library: Library) -> Column:
-    """Name a file is filed under. Needs ``category``."""
+def plan_file_name(files: DataFrame, library: Library) -> DataFrame:
+    """Attach ``planned_name``, the name a file is filed under. Needs ``category``."""
     category, episode, last = F.col("category"), F.col("episode"), F.col("episode_end")
+    filled = F.lit(None).cast("string")
+    for name in library.names():
+        template = library.template_of(name)
+        if template.strip():
+            filled = F.when(F.upper(category) == name.upper(), filled_template(template)).otherwise(filled)
+    df = name_template(files, filled, "_templated")
     pad = lambda n: F.when(n < 100, F.format_string("%02d", n)).otherwise(n.cast("string"))
     prefix = F.concat(pad(episode), F.when(last > episode, F.concat(F.lit("-"), pad(last))).otherwise(""))
     numbered = F.col("file_name").rlike(EPISODE_PREFIX) | starts_with_episode("file_name", episode)
     plain = F.when((category != "TvShow") | episode.isNull() | (episode < 0) | numbered, F.col("file_name")).otherwise(
         F.concat(prefix, F.lit(" - "), "file_name")
     )
-    result = plain
-    for name in library.names():
-        template = library.template_of(name)
-        if template.strip():
-            text = name_template(template)
-            result = F.when((F.upper(category) == name.upper()) & (text != ""), collapse_prefixes(text)).otherwise(result)
-    return result
+    return staged(df, {"planned_name": F.when(F.col("_templated") != "", collapse_prefixes("_templated")).otherwise(plain)}).drop("_templated")
 
 
 def plan_paths(files: DataFrame, library: Library, existing_dirs: DataFrame | None = None) -> DataFrame:
     """Attach planned_dir, planned_name and planned_path."""
-    placed = staged(plan_directory(files, library, existing_dirs), {"planned_name": plan_file_name(library)})
+    placed = plan_file_name(plan_directory(files, library, existing_dirs), library)
     path = F.when(F.col("planned_dir").isNotNull(), F.concat_ws("/", "planned_dir", "planned_name"))
     return placed.withColumn("planned_path", path)
 

@@ -84,12 +84,36 @@ def descent_block(files: DataFrame, rules: Sequence[Exclusion]) -> DataFrame:
     return keyed.join(blocked, "_dir", "left_anti").drop("_dir")
 
 
+def literal_part(pattern: Column) -> Column:
+    """What every path that matches a wildcard pattern (or begins with it) has in common with it: its
+    longest folder name without wildcards, else three letters of its longest literal run, else one
+    letter, else nothing. The first letter tells the four kinds apart."""
+    plain = F.filter(F.split(pattern, "/"), lambda n: (F.length(n) > 0) & ~n.rlike("[*?]"))
+    runs = F.filter(F.split(pattern, "[*?]+"), lambda r: F.length(r) > 0)
+    longest = lambda texts: F.array_max(F.transform(texts, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    run = longest(runs)
+    return (
+        F.when(F.size(plain) > 0, F.concat(F.lit("f"), longest(plain)))
+        .when(F.length(run) >= 3, F.concat(F.lit("t"), F.right(run, F.lit(3))))
+        .when(F.length(run) >= 1, F.concat(F.lit("l"), F.right(run, F.lit(1))))
+        .otherwise("n")
+    )
+
+
+def literal_parts(path) -> Column:
+    """All parts of a path that ``literal_part`` of a matching pattern may be."""
+    text = F.col(path) if isinstance(path, str) else path
+    names = F.transform(F.split(text, "/"), lambda n: F.concat(F.lit("f"), n))
+    grams = lambda n, kind: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.concat(F.lit(kind), F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(names, grams(3, "t"), grams(1, "l"), F.array(F.lit("n"))))
+
+
 def rule_supersedes(rules: DataFrame) -> DataFrame:
     """Pairs (outer_path, inner_path) where the outer exclusion makes the inner one redundant.
 
     A recursive plain rule covers rules below it, found by joining on the inner rule's ancestors; a
-    recursive wildcard rule covers the plain rules its pattern matches. Only rules are compared here,
-    never files, so the theta part stays as small as the settings.
+    recursive wildcard rule covers the plain rules its pattern matches. A path that a pattern matches
+    holds the pattern's literal parts, so the two are joined on one of these and only then compared.
     """
     clean = rules.filter(~is_blank("path")).select(
         "path", "include_subdirectories", path_key(F.regexp_replace("path", r"[\\/]+$", "")).alias("key"),
@@ -108,7 +132,8 @@ def rule_supersedes(rules: DataFrame) -> DataFrame:
         lambda x, y: x | y,
         [F.regexp_like("inner_key", wildcard_column_regex(p)) for p in (F.col("outer_key"), F.concat("outer_key", F.lit("/*")), bare, F.concat(bare, F.lit("/*")))],
     )
-    wild = outer.filter(F.col("outer_include_subdirectories") & F.col("outer_wild")).join(plain_inner, covered)
+    patterns = outer.filter(F.col("outer_include_subdirectories") & F.col("outer_wild")).withColumn("part", literal_part(bare))
+    wild = patterns.join(plain_inner.withColumn("part", F.explode(literal_parts("inner_key"))), "part").filter(covered)
     columns = ["outer_path", "inner_path"]
     return same.select(*columns).unionByName(below.select(*columns)).unionByName(wild.select(*columns)).distinct()
 

@@ -276,11 +276,35 @@ def classify_files(files: DataFrame, as_of_year: int, capitalise: bool = True, p
     ).select(*kept)
 
 
-def renumber_diff(files: DataFrame, as_of_year: int) -> DataFrame:
-    """(id, was, now) of rows the current rules read differently; a verified title keeps its year."""
+def rederive_numbering(files: DataFrame, as_of_year: int) -> DataFrame:
+    """``files`` read again by the current rules, with ``was``, ``now`` and ``was_category``.
+
+    A year that a verified title has is kept where the name gives none.
+    """
     from ..functions.display import numbering_display
+    from ..functions.text import title_verified
+
+    before = files.withColumns({"was": numbering_display(), "was_category": F.col("video_category"), "known_year": F.when(title_verified(), F.col("year"))})
+    after = classify_files(before, as_of_year).withColumn("year", F.coalesce("year", "known_year"))
+    return after.withColumn("now", numbering_display()).drop("known_year")
+
+
+def renumber(files: DataFrame, as_of_year: int, version: int) -> tuple[DataFrame, DataFrame]:
+    """(catalogue, changes): the rows read again, then numbers stripped off what is no programme and extras linked.
 
-    before = files.select("id", numbering_display().alias("was"), F.col("video_category").alias("was_category"))
-    after = classify_files(files, as_of_year).select("id", numbering_display().alias("now"), F.col("video_category").alias("now_category"))
-    both = before.join(after, "id")
-    return both.filter((F.col("was") != F.col("now")) | (F.col("was_category") != F.col("now_category")))
+    ``changes`` (id, was, now, was_category, now_category) has the rows that the rules read differently,
+    as they were read and before anything was stripped.
+    """
+    from .categories import effective_category, strip_numbering
+    from .folders import link_extras
+
+    read = rederive_numbering(files, as_of_year).withColumn("feature_version", F.lit(version))
+    differs = (F.col("was") != F.col("now")) | (F.col("was_category") != F.col("video_category"))
+    changes = read.filter(differs).select("id", "was", "now", "was_category", F.col("video_category").alias("now_category"))
+    stripped = strip_numbering(read.select(*files.columns), effective_category()).drop("unnumbered")
+    return link_extras(stripped), changes
+
+
+def renumber_diff(files: DataFrame, as_of_year: int) -> DataFrame:
+    """(id, was, now) of rows the current rules read differently."""
+    return renumber(files, as_of_year, 0)[1]

@@ -8,13 +8,13 @@ from ..functions.display import describe_seconds
 from ..functions.paths import base_name, extension_of, parent_dir
 from ..functions.text import has_hash
 from ..operators.categories import effective_category
-from ..operators.classify import classify_files, detect_extra, renumber_diff
+from ..operators.classify import classify_files, detect_extra, renumber, renumber_diff
 from ..operators.duplicates import claimed_identity
 from ..operators.skew import ranked
 from ..operators.survivorship import PairRule, RuleStep, best_by_name_quality, library_preference
 from ..plans import destinations as P
 from ..plans import jobs as J
-from ..plans.refresh import count_stale, count_unverified, refresh_report
+from ..plans.refresh import FEATURE_VERSION, count_stale, count_unverified, refresh_report
 from ..plans.suggestions import suggest_consolidation
 from ..testtables import files, table
 from .common import AUTO, CAT, DIR, EFF, IDENTITY, NUMBERING, VERIFIED, register, title_key
@@ -113,6 +113,22 @@ def _(spark, sf):
     return renumber_diff(files(spark, sf), YEAR)
 
 
+@register(
+    "renumber_catalogue",
+    f"""WITH {_READ}, a AS (SELECT f.* EXCLUDE (year, season, episode, episode_end, video_category), d.category AS video_category, coalesce(d.year, CASE WHEN {VERIFIED} THEN f.year END) AS year,
+        CASE WHEN numbering_manual THEN f.season ELSE d.season END AS season, CASE WHEN numbering_manual THEN f.episode ELSE d.episode END AS episode, CASE WHEN numbering_manual THEN f.episode_end END AS episode_end
+      FROM files f JOIN derived d ON d.id = f.id),
+    s AS (SELECT *, {CAT} IN ('TvShow', 'TvExtra') OR numbering_manual AS keeps FROM a)
+    SELECT id, CASE WHEN keeps THEN season END AS season, CASE WHEN keeps THEN episode END AS episode, CASE WHEN keeps THEN episode_end END AS episode_end, 6 AS feature_version, video_category IN ('TvExtra', 'MovieExtra') AS is_extra,
+      CASE WHEN video_category NOT IN ('TvExtra', 'MovieExtra') THEN year END AS year FROM s""",
+)
+def _(spark, sf):
+    done = renumber(files(spark, sf), YEAR, FEATURE_VERSION)[0]
+    extra = F.col("video_category").isin("TvExtra", "MovieExtra")
+    # An extra may take its owner's year; that is what link_extras is compared by.
+    return done.select("id", "season", "episode", "episode_end", "feature_version", extra.alias("is_extra"), F.when(~extra, F.col("year")).alias("year"))
+
+
 def _planned(spark, sf):
     return P.plan_paths(files(spark, sf).withColumn("category", effective_category()), LIBRARY)
 

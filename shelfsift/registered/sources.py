@@ -61,7 +61,7 @@ def _(spark, sf):
 
 @register(
     "read_document_fields",
-    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('Inner ', doc_id) WHEN doc_id % 3 = 1 THEN concat('Book ', lang, ' - Part') ELSE concat('Plain ', lang) END AS book,
+    """SELECT doc_id, doc_id % 7 = 2 AND doc_id % 3 = 0 AS failed, CASE WHEN doc_id % 7 = 2 AND doc_id % 3 = 0 THEN concat('Book ', lang, ' - Part') WHEN doc_id % 3 = 0 THEN concat('Inner ', doc_id) WHEN doc_id % 3 = 1 THEN concat('Book ', lang, ' - Part') ELSE concat('Plain ', lang) END AS book,
        CASE WHEN doc_id % 3 = 2 THEN NULL ELSE concat('Writer ', source) END AS author, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE CAST(1900 + doc_id % 100 AS VARCHAR) END AS year FROM documents""",
 )
 def _(spark, sf):
@@ -69,16 +69,22 @@ def _(spark, sf):
     year = (F.lit(1900) + F.col("doc_id") % 100).cast("string")
     named = F.concat(F.lit("/books/Writer "), "source", F.lit(" - Book "), "lang", F.lit(" - Part ("), year, F.lit(")"))
     path = F.when(F.col("doc_id") % 3 == 2, F.concat(F.lit("/books/Plain_"), "lang", F.lit(".djvu"))).otherwise(F.concat(named, F.when(F.col("doc_id") % 3 == 0, ".pdf").otherwise(".mobi")))
+    # Some books say they are EPUB packages and are none: their reader fails, and their names still count.
+    path = F.when((F.col("doc_id") % 7 == 2) & (F.col("doc_id") % 3 == 0), F.concat(named, F.lit(".epub"))).otherwise(path)
     content = F.concat(F.lit("%PDF /Title (Inner "), F.col("doc_id").cast("string"), F.lit(") /Type /Page "), F.col("text")).cast("binary")
     rows = docs.select(F.concat(F.col("doc_id").cast("string"), path).alias("full_path"), content.alias("content"))
     read = S.read_document_fields(rows)
     return read.select(
         F.regexp_extract("full_path", r"^(\d+)", 1).cast("bigint").alias("doc_id"), F.col("plugin_fields.bookname").alias("book"),
-        F.col("plugin_fields.author").alias("author"), F.col("plugin_fields.yearpublished").alias("year"),
+        F.col("plugin_fields.author").alias("author"), F.col("plugin_fields.yearpublished").alias("year"), F.col("failure").isNotNull().alias("failed"),
     )
 
 
-@register("read_page_fields")
+@register(
+    "read_page_fields",
+    r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+       regexp_extract(html, '(?is)<html[^>]*\slang\s*=\s*"([^"]*)"', 1) AS language, CAST(len(regexp_extract_all(html, '(?i)(<a\s)')) AS INT) AS links FROM pages""",
+)
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", S.html_fields("html").alias("f")).select("page_id", "f.*")
 
@@ -118,6 +124,14 @@ def _(spark, sf):
     return X.read_title_extract(spark, folder)[0].select("id", "type", "title", "start_year")
 
 
+def _write_with_headers(rows, header, folder, parts=8):
+    """Lines in several files, as a large dataset is kept: each file has its header, then its lines in order."""
+    numbered = rows.withColumn("_part", F.pmod(F.xxhash64("at"), F.lit(parts)).cast("int"))
+    headers = rows.sparkSession.range(parts).select(F.lit(header).alias("value"), F.lit(-1).cast("bigint").alias("at"), F.col("id").cast("int").alias("_part"))
+    lines = numbered.select("value", "at", "_part").unionByName(headers)
+    lines.repartition(parts, "_part").sortWithinPartitions("_part", "at").select("value", "_part").write.partitionBy("_part").text(folder)
+
+
 @register(
     "read_title_basics",
     "SELECT tconst, title_type, primary_title, CASE WHEN start_year > 1800 THEN start_year END AS start_year, genres FROM title_rows WHERE pos % 9 <> 4",
@@ -130,8 +144,7 @@ def _(spark, sf):
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\\N"))
     whole = F.concat_ws("\t", "tconst", text("title_type"), "primary_title", F.lit("o"), F.lit("0"), text("start_year"), text("end_year"), F.lit("30"), text("genres"))
     rows = title_rows(spark, sf).select(F.when(F.col("pos") % 9 == 4, "short\tline").otherwise(whole).alias("value"), (F.col("pos") + 1).alias("at"))
-    header = spark.createDataFrame([("tconst\ttitleType\tprimaryTitle\toriginalTitle\tisAdult\tstartYear\tendYear\truntimeMinutes\tgenres", 0)], "value string, at bigint")
-    rows.unionByName(header).orderBy("at").select("value").coalesce(1).write.text(folder)
+    _write_with_headers(rows, "tconst\ttitleType\tprimaryTitle\toriginalTitle\tisAdult\tstartYear\tendYear\truntimeMinutes\tgenres", folder)
     return X.read_title_basics(spark, folder).select("tconst", "title_type", "primary_title", "start_year", "genres")
 
 
@@ -144,8 +157,7 @@ def _(spark, sf):
     raw = spark.sql("WITH " + RAW_EPISODES.format(part=f"parquet.`{sf}/part.parquet`").replace("'\\N'", "'\\\\N'") + " SELECT * FROM raw_episodes")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\\N"))
     rows = raw.select(F.concat_ws("\t", text("season"), "tconst", "parent_tconst", text("episode")).alias("value"), (F.col("pos") + 1).alias("at"))
-    header = spark.createDataFrame([("seasonNumber\tTCONST\tparentTconst\tepisodeNumber", 0)], "value string, at bigint")
-    rows.unionByName(header).orderBy("at").select("value").coalesce(1).write.text(folder)
+    _write_with_headers(rows, "seasonNumber\tTCONST\tparentTconst\tepisodeNumber", folder)
     return X.read_title_episodes(spark, folder).drop("pos")
 
 

@@ -129,9 +129,10 @@ def field_registry(sources: Sequence[FieldSource]) -> dict[str, str]:
 
 
 def read_fields(contents: DataFrame, sources: Sequence[FieldSource]) -> DataFrame:
-    """(full_path, plugin_fields) from rows of (full_path, content), each file read by the owner of its extension.
+    """(full_path, plugin_fields, failure) from rows of (full_path, content), each file read by the owner of its extension.
 
-    A reader that fails gives no fields; undeclared fields are left out.
+    A reader that fails gives no fields, and ``failure`` says what it raised; one bad file does not end the
+    job. Undeclared fields are left out.
     """
     owner: dict[str, FieldSource] = {}
     for source in sources:
@@ -140,20 +141,22 @@ def read_fields(contents: DataFrame, sources: Sequence[FieldSource]) -> DataFram
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = []
+            values, failures = [], []
             for path, content in zip(batch["full_path"], batch["content"]):
                 source = owner.get("." + path.rsplit(".", 1)[-1].lower())
+                found, failure = {}, None
                 try:
                     found = source.read(path, content) if source else {}
-                except Exception:  # noqa: BLE001 - one bad file must not end the job
-                    found = {}
+                except Exception as error:  # noqa: BLE001 - reported in the row
+                    failure = f"{type(error).__name__}: {error}"
+                failures.append(failure)
                 declared = {n.lower() for n in source.fields} if source else set()
                 values.append([(k.lower(), v) for k, v in found.items() if k.lower() in declared and v])
-            yield pd.DataFrame({"full_path": batch["full_path"], "entries": values})
+            yield pd.DataFrame({"full_path": batch["full_path"], "entries": values, "failure": failures})
 
     entries = "array<struct<name:string,value:string>>"
-    rows = contents.select("full_path", "content").mapInPandas(read, f"full_path string, entries {entries}")
-    return rows.select("full_path", F.map_from_entries("entries").alias("plugin_fields"))
+    rows = contents.select("full_path", "content").mapInPandas(read, f"full_path string, entries {entries}, failure string")
+    return rows.select("full_path", F.map_from_entries("entries").alias("plugin_fields"), "failure")
 
 
 # --- documents ---------------------------------------------------------------------------------------
@@ -162,6 +165,7 @@ def read_fields(contents: DataFrame, sources: Sequence[FieldSource]) -> DataFram
 DOCUMENT_FIELDS = {"BookName": "text", "Author": "text", "Publisher": "text", "Language": "text", "BookGenre": "text",
                    "YearPublished": "number", "Chapters": "number", "Pages": "number"}
 DOCUMENT_EXTENSIONS = (".epub", ".mobi", ".azw", ".azw3", ".fb2", ".djvu", ".pdf")
+# Fixed value: years a book may be from.
 YEAR = r"\b(1[5-9]\d{2}|20\d{2})\b"
 
 # Name spaces of the EPUB formats, and where a container names its package.
@@ -259,10 +263,10 @@ def name_fields(path) -> Column:
 
 
 def read_document_fields(contents: DataFrame) -> DataFrame:
-    """(full_path, plugin_fields) of documents: what the content says first, then the file name, field by field."""
+    """(full_path, plugin_fields, failure) of documents: what the content says first, then the file name, field by field."""
     inside = read_fields(contents, [DOCUMENTS]).withColumn("_name", name_fields("full_path"))
     missing = F.map_filter("_name", lambda k, v: ~F.map_contains_key("plugin_fields", k))
-    return inside.select("full_path", F.map_concat("plugin_fields", missing).alias("plugin_fields"))
+    return inside.select("full_path", F.map_concat("plugin_fields", missing).alias("plugin_fields"), "failure")
 
 
 def html_fields(html) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("duplicates", "filters", "folders", "titles", "planning", "fingerprints", "streaming", "sources")
+TOPICS = ("duplicates", "filters", "folders", "titles", "planning", "fingerprints", "streaming", "sources", "refreshing")
 
 
 def load_all():

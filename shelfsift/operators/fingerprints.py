@@ -1,11 +1,13 @@
 """Near duplicates by fingerprint, and connected components.
 
 Candidates come from a lossless filter instead of pairing everything. Two signatures above the
-threshold have, at their best alignment, a frame pair with no more differing bits than the average
-allows (7 of 64 for video, 3 of 32 for audio). Cut into 16-bit parts, such a pair has a part with at
-most one differing bit, so it shares a (part, value) key once one side lists the 17 values within one
-bit. Copies of one signature and length band are one node from the start, so their number never
-multiplies.
+threshold have, at their best alignment, frame pairs with few differing bits (up to 7 of 64 for video,
+3 of 32 for audio). Cut into 16-bit parts, such a pair has a part with at most one differing bit, so it
+shares a (part, value) key once one side lists the 17 values within one bit. Keys know their place:
+they only meet within the shifts that are tried, and are counted by shift. If all but m of n aligned
+frames had more differing bits than that, their sum alone would pass the threshold, so at least n/25
+frames (video) or n/5 (audio) have to agree at one shift. Copies of one signature and length band are
+one node from the start, so their number never multiplies.
 """
 
 from __future__ import annotations
@@ -67,28 +69,38 @@ def _parts(word: Column, kind: str) -> Column:
     ])
 
 
+#: The most bits in which a frame pair still shares a key.
+CLOSE = {"Video": 7, "Audio": 3}
+
+
 def _keys(nodes: DataFrame, kind: str, spread: bool) -> DataFrame:
-    """Distinct (part, value) keys of each node; ``spread`` adds the values one bit away."""
-    parts = F.array_distinct(F.flatten(F.transform("frames", lambda w: _parts(w, kind))))
-    keyed = nodes.select("node", "bucket", F.explode(parts).alias("_p")).select("node", "bucket", "_p.part", "_p.value")
+    """(part, value) keys of each node's frames with their places; ``spread`` adds the values one bit away."""
+    parts = F.flatten(F.transform("frames", lambda w, i: F.transform(_parts(w, kind), lambda p: F.struct(i.alias("at"), p["part"].alias("part"), p["value"].alias("value")))))
+    keyed = nodes.select("node", "bucket", F.size("frames").alias("size"), F.explode(parts).alias("_p")).select("node", "bucket", "size", "_p.*")
+    # Frames of both sides meet in one stretch of places if they are within the shifts tried.
+    stretch = F.floor(F.col("at") / max(CLUSTER_SHIFT[kind], 1)).cast("int")
     if not spread:
-        return keyed
+        return keyed.withColumn("stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1)))
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << i).cast("bigint") for i in range(PART_BITS)])
-    return keyed.select("node", "bucket", "part", F.explode(F.transform(flips, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
+    return keyed.withColumn("stretch", stretch).withColumn("value", F.explode(F.transform(flips, lambda m: F.col("value").bitwiseXOR(m))))
 
 
 def candidate_pairs(nodes: DataFrame, kind: str) -> DataFrame:
     """(a, b) node ids, a < b, that can reach the threshold: a superset of the near pairs."""
-    exact, near = _keys(nodes, kind, False), _keys(nodes, kind, True)
+    near = _keys(nodes, kind, True).withColumnsRenamed({"node": "a", "size": "size_a", "at": "at_a"})
+    exact = _keys(nodes, kind, False).withColumnsRenamed({"node": "b", "size": "size_b", "at": "at_b"})
+    key, sides = ["part", "value", "stretch"], ["a", "b", "size_a", "size_b", "at_a", "at_b"]
     # Known lengths meet within two buckets, as an equality on a repeated bucket; an unknown one meets all.
-    around = exact.filter("bucket IS NOT NULL").withColumn("_at", F.explode(F.sequence(F.col("bucket") - 2, F.col("bucket") + 2)))
-    known = near.filter("bucket IS NOT NULL").select(F.col("node").alias("a"), F.col("bucket").alias("_at"), "part", "value").join(
-        around.select(F.col("node").alias("b"), "_at", "part", "value"), ["_at", "part", "value"]
-    )
-    unknown = near.filter("bucket IS NULL").select(F.col("node").alias("a"), "part", "value").join(
-        exact.select(F.col("node").alias("b"), "part", "value"), ["part", "value"]
-    )
-    pairs = known.select("a", "b").unionByName(unknown.select("a", "b")).filter("a <> b")
+    around = exact.filter("bucket IS NOT NULL").withColumn("_at", F.explode(F.sequence(F.col("bucket") - 2, F.col("bucket") + 2))).drop("bucket")
+    known = near.filter("bucket IS NOT NULL").withColumnRenamed("bucket", "_at").join(around, ["_at", *key]).select(*sides)
+    unknown = near.filter("bucket IS NULL").drop("bucket").join(exact.drop("bucket"), key).select(*sides)
+    shift = F.col("at_b") - F.col("at_a")
+    met = known.unionByName(unknown).filter("a <> b").withColumn("shift", shift).filter(F.abs("shift") <= CLUSTER_SHIFT[kind])
+    agreeing = met.groupBy("a", "b", "shift").agg(F.count(F.lit(1)).alias("_keys"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
+    aligned = F.least(F.col("size_a"), F.col("size_b") - F.col("shift")) - F.greatest(F.lit(0), -F.col("shift"))
+    # Frames that may have more differing bits than CLOSE, of all that are aligned.
+    apart = F.floor(aligned * ((1 - THRESHOLD[kind]) * BITS[kind] / (CLOSE[kind] + 1)) + 1e-9)
+    pairs = agreeing.filter(F.col("_keys") >= F.greatest(aligned - apart, F.lit(1)))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -46,6 +46,7 @@ NOISE = (
 SEASON_OF = rf"(?iU)^\s*(?:(?:season|series|s)|[\s\S]*?[\s,;:\-–—_]+(?:season|series))\s*[._\-]?\s*({VALID_NUMBER})\s*$"
 SEASON_FOLDER = rf"(?iU)^(?:season|series|s)\s*[._\-]?\s*{NUMBER}$"
 SEASON_SUFFIX = rf"(?iU)[\s,;:\-–—_]+(?:season|series)\s*[._\-]?\s*{NUMBER}\s*$"
+# Numbers that are picture sizes and no episode codes, and the longest run of episodes in one file.
 RESOLUTIONS = (240, 360, 480, 540, 576, 720)
 RESOLUTIONS_4 = (1080, 1440, 2160, 4320, 1280, 1920, 2560, 3840, 7680)
 MAX_RUN = 8

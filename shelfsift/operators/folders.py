@@ -9,6 +9,7 @@ from ..functions.paths import ancestor_dirs, is_drive_root, is_under, parent_dir
 from ..functions.text import effective_title, is_blank, is_extra, not_blank, title_verified
 from .skew import ranked
 
+# Fixed value: how many folders above an extra its owner may be.
 MAX_LINK_LEVELS = 6
 
 
@@ -87,8 +88,9 @@ def counts_as_extra() -> Column:
     return is_extra() & ~claimed_as_main()
 
 
-def find_owners(files: DataFrame) -> DataFrame:
-    """(id, owner_id, level) of every extra with a main video at or above its folder, nearest folder first.
+def find_owners(files: DataFrame, levels: int | None = MAX_LINK_LEVELS) -> DataFrame:
+    """(id, owner_id, level) of every extra with a main video at or above its folder, nearest folder first;
+    at most ``levels`` folders up, or all of them with None.
 
     The main side is first reduced to the best file per (folder, season) and per folder, so a folder
     meets each extra with at most two rows whatever it holds.
@@ -98,7 +100,7 @@ def find_owners(files: DataFrame) -> DataFrame:
         (F.col("kind") == "Video") & ~counts_as_extra() & (F.col("video_category").isin("TvShow", "Movie") | claimed_as_main())
     )
     # Combine per (own folder, season) before climbing to the ancestors.
-    chain = ancestor_dirs(F.concat("folder_key", F.lit("/x")), MAX_LINK_LEVELS)
+    chain = ancestor_dirs(F.concat("folder_key", F.lit("/x")), levels)
     pick = F.struct(-F.col("size_bytes"), "ord", "id")
     nearest = mains.groupBy("folder_key", "season").agg(F.min(pick).alias("_pick"))
     placed = nearest.select("season", "_pick", F.explode(chain).alias("dir"))
@@ -113,9 +115,9 @@ def find_owners(files: DataFrame) -> DataFrame:
     return extras.join(nearest_owner, ["folder_key", "season"]).select("id", "_o.owner_id", "_o.level")
 
 
-def link_extras(files: DataFrame) -> DataFrame:
+def link_extras(files: DataFrame, levels: int | None = MAX_LINK_LEVELS) -> DataFrame:
     """Extras adopt their owner's link, category, title and year; extras without one lose their link."""
-    owners = find_owners(files)
+    owners = find_owners(files, levels)
     inherited = ["video_category", "parsed_title", "confirmed_title", "from_online", "from_dataset", "title_manual", "year"]
     source = files.select(F.col("id").alias("owner_id"), *[F.col(c).alias(f"_o_{c}") for c in inherited])
     adopted = owners.join(source, "owner_id").select("id", "owner_id", *[f"_o_{c}" for c in inherited])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import base_name, extension_of, folder_names, is_under, path_key
+from ..functions.staging import staged
 from ..functions.text import has_hash
 from ..functions.wildcards import any_of
 from .categories import is_incomplete, media_kind
@@ -65,9 +66,11 @@ def merge_listing(files: DataFrame, listing: DataFrame) -> DataFrame:
     found among them, by size and time; the others are done. Several catalogue rows may claim one
     path, and each takes what the listing says of it.
     """
-    joined = files.withColumn("_k", path_key("full_path")).join(_listed_once(listing), "_k", "full_outer")
-    met = joined.filter("id IS NOT NULL AND _full IS NOT NULL").withColumn("_was_moved", F.lit(False))
-    apart = joined.filter("id IS NULL OR _full IS NULL")
+    both = files.withColumn("_k", path_key("full_path")).join(_listed_once(listing), "_k", "full_outer")
+    # A computed mark, so that both parts read one and the same join; a plain filter would make two of it.
+    joined = staged(both, {"_apart": F.col("id").isNull() | F.col("_full").isNull()})
+    met = joined.filter("NOT _apart").withColumn("_was_moved", F.lit(False))
+    apart = joined.filter("_apart")
     keyed = apart.withColumns(dict(zip(("_size_key", "_time_key"), _content(), strict=True))).join(_moves(apart), ["_size_key", "_time_key"], "left")
     was_moved = F.coalesce(F.col("id") == F.col("_moved.id"), F.lit(False))
     taken = F.coalesce(F.col("id").isNull() & (F.col("_k") == F.col("_adopted._k")), F.lit(False))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import folder_names, slashed
 from ..functions.text import effective_title, is_blank, lookup_key, not_blank, strip, title_id_value, title_verified
+from ..session import ensure_checkpoint_dir
 from .skew import first_by, ranked
 from .reports import one_row
 
@@ -205,7 +206,9 @@ def _verification_answers(targets: DataFrame, titles: DataFrame | None, cache: D
     """
     from .ingest import lookup_cache
 
-    places = targets.select(*_place()).distinct()
+    # Read some six times below, so the input runs once for them.
+    ensure_checkpoint_dir(targets.sparkSession)
+    places = targets.select(*_place()).distinct().checkpoint()
     folders = places.select("folder", "kind").distinct()
     ordered = names_by_rank(F.filter(F.reverse(F.split("folder", "/")), lambda n: (F.length(n) > 0) & ~n.rlike(r"^[A-Za-z]:$")))
     listed = folders.select("folder", "kind", F.posexplode(ordered).alias("rank", "name"))

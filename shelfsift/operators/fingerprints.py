@@ -141,22 +141,34 @@ def near_duplicates(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, groups
 
 
+def _with_least(edges: DataFrame, cells: int) -> tuple[DataFrame, DataFrame]:
+    """(u, m) with the least neighbour of each node, and the edges with it. A node's edges are dealt into
+    cells by their other end; its least neighbour goes only to the cells that it has."""
+    dealt = edges.withColumn("_cell", F.pmod(F.xxhash64("v"), F.lit(cells)))
+    parts = dealt.groupBy("u", "_cell").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("_cell").alias("_cells"))
+    told = dealt.join(least.select("u", "m", F.explode("_cells").alias("_cell")), ["u", "_cell"]).drop("_cell")
+    return least.select("u", "m"), told
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for undirected edges (src, dst): the smallest id of each component.
 
     Alternating large-star and small-star steps; every step is a min per node, combined before the shuffle,
-    and a join back on the node. Lineage is cut by checkpoints.
+    and a join back on the node and one of its cells, so a hub's edges lie in as many tasks as there are
+    cells. Lineage is cut by checkpoints.
     """
     ensure_checkpoint_dir(edges.sparkSession)
+    cells = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     current = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct().checkpoint()
     everyone = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
     signature = None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(floor, "u")
+        _, told = _with_least(both, cells)
+        lower = told.withColumn("m", F.least("m", "u"))
+        large = lower.filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        floor, joined = _with_least(large, cells)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(floor.select("u", F.col("m").alias("v"))).distinct()
         current = small.checkpoint()
         state = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -2,8 +2,9 @@
 
 * ``first_by`` / ``last_by`` pick one row per key by aggregation, so a hot key is combined on the
   map side instead of being sorted in one task.
-* ``ranked`` numbers the rows of each key. Ordinary keys go through a window; a hot key is range
-  partitioned on (key, order), which spreads it over tasks, and numbered by offsets.
+* ``ranked`` numbers the rows of each key. The input runs once, into a checkpoint. Ordinary keys go
+  through a window; a hot key, null ones too, is range partitioned on (key, order), which spreads it
+  over tasks, and numbered by offsets.
 * ``fold`` runs a left fold over the rows of each key in order. The input runs once, into a
   checkpoint of the few columns a fold needs. Ordinary keys are folded in one array; a hot key is cut
   into segments that are folded side by side, each from its own first row, and the state is handed
@@ -13,6 +14,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,18 +37,26 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys)
 
 
+def _same(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """``other`` with its keys renamed, and the condition that they equal those of ``rows``, nulls too."""
+    renamed = other.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    return renamed, reduce(and_, [rows[k].eqNullSafe(renamed[f"_key_{k}"]) for k in keys])
+
+
 def split_hot(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
     """(ordinary rows, hot rows or None). The hot key list is checked first, so the usual plan stays one shuffle."""
     hot = hot_keys(df, keys, limit)
     if hot.isEmpty():
         return df, None
-    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+    listed, same = _same(df, hot, keys)
+    return df.join(listed, same, "left_anti"), df.join(listed, same, "left_semi")
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, limit: int | None = None) -> DataFrame:
-    """``row_number`` per key. ``order`` must be total within a key; key columns must not be null."""
+    """``row_number`` per key; rows without a key are rows of one key. ``order`` must be total within a key."""
+    ensure_checkpoint_dir(df.sparkSession)
     limit = limit or hot_rows(df.sparkSession)
-    usual, hot = split_hot(df, keys, limit)
+    usual, hot = split_hot(df.checkpoint(), keys, limit)
     window = Window.partitionBy(*keys).orderBy(*order)
     numbered = usual.withColumn(name, F.row_number().over(window).cast("bigint"))
     return numbered if hot is None else numbered.unionByName(_ranked_hot(hot, keys, order, name))
@@ -64,11 +75,8 @@ def _ranked_hot(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     parts = placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_start"), F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    return (
-        placed.join(offsets, [*keys, "_part"])
-        .withColumn(name, (F.col("_at") - F.col("_start") + F.col("_before") + 1).cast("bigint"))
-        .drop("_at", "_part", "_start", "_before")
-    )
+    listed, same = _same(placed, offsets, [*keys, "_part"])
+    return placed.join(listed, same).select(*df.columns, (F.col("_at") - F.col("_start") + F.col("_before") + 1).cast("bigint").alias(name))
 
 
 def fold(

@@ -42,6 +42,32 @@ def test_ranked_hot_equals_plain(spark):
     assert split == plain and len(plain) == 400
 
 
+def test_ranked_takes_null_keys_as_one_key(spark):
+    data = [(None if i % 3 else "a", i % 2 or None, i) for i in range(120)]
+    df = spark.createDataFrame(data, "k string, j int, v int")
+    want = {}
+    for k, j, v in data:
+        want[v] = sum((a, b) == (k, j) and x <= v for a, b, x in data)
+    for limit in (5, 10 ** 6):
+        got = ranked(df, ["k", "j"], ["v"], "n", limit=limit)
+        assert got.columns == ["k", "j", "v", "n"] and {r.v: r.n for r in got.collect()} == want
+
+
+def test_ranked_runs_its_input_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            runs.add(len(batch))
+            yield batch
+
+    df = spark.range(200, numPartitions=4).withColumn("k", F.col("id") % 3).mapInPandas(count, "id long, k long")
+    for limit in (5, 10 ** 6):
+        before = runs.value
+        assert ranked(df, ["k"], ["id"], "n", limit=limit).count() == 200
+        assert runs.value - before == 200
+
+
 def test_fold_hot_equals_brute_force(spark):
     for seed, ties in ((2, True), (3, False), (4, False)):
         data = rows(seed, ties=ties)

@@ -1,14 +1,18 @@
 """Language-model scores of texts from a weighted backoff automaton over the whole corpus.
 
-The smoothed n-grams are arcs between states; a state is the word just read (or the start of the
-text). From state h the arc of word w has the probability
+The smoothed n-grams of one to ORDER words become states and arcs. A state is a run of up to
+ORDER - 1 words that was seen, beginning at the start of the text or later; the root is the empty
+one. The arc of word w from state h leads to the longest state that h w ends with and weighs
 
-    P(w | h) = (c(h w) + MU P(w)) / (c(h) + MU)
+    P(w | h) = (c(h w) + MU P(w | h')) / (c(h) + MU)
 
-if h w was seen; every other word takes the failure arc to the root, at the weight
-MU / (c(h) + MU), and the root's arc P(w). The root gives a known word (c(w) - D) / N, and all
-that was discounted, D V / N, to the one unknown word, with D = n1 / (n1 + 2 n2) from the numbers
-of words seen once and twice. A text is read once from left to right, one state carried along.
+where h' is h without its first word. A word without an arc from h takes h's failure arc, which leads
+to h' at the weight MU / (c(h) + MU). The root gives a known word (c(w) - D) / N, and all that was
+discounted, D V / N, to the one unknown word, with D = n1 / (n1 + 2 n2) from the numbers of words
+seen once and twice. A text is read once from left to right: the state is carried along and the
+weights of the arcs taken, failure arcs too, are added up. Long texts are read in lanes of LANE
+words, side by side; ORDER - 1 words in front of a lane lead from the root to its first state, since
+no state remembers more.
 
 Counts are never gathered in one place. Documents lie in blocks; a block asks for the counts of
 its own distinct n-grams, and brings its training counts along. Questions are dealt to buckets by
@@ -29,9 +33,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
-MU = 30.0
+ORDER, MU = 3, 30.0
+#: Words that a lane of the traversal reads.
+LANE = 512
 #: Text bytes of a block and of a bucket's share, on average.
 BLOCK_BYTES = 12 << 20
 SLICE_BYTES = 2 << 20
@@ -57,15 +63,23 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.cumsum(np.concatenate(counts))
 
 
-def pairs_of(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The state in front of each word, and the 64-bit code of (state, word)."""
-    states = np.empty_like(words)
-    states[1:] = words[:-1]
-    states[np.concatenate([[0], ends[:-1]])[: len(ends)]] = START
-    codes = states * _LEFT + (words ^ (words >> np.uint64(31))) * _RIGHT
-    codes ^= codes >> np.uint64(33)
-    codes *= _STIR
-    return states, codes ^ (codes >> np.uint64(29))
+def grams_of(words: np.ndarray, ends: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each length up to ``order`` the 64-bit codes of the n-grams that end at each word. The start
+    of a text counts as a word in front of it; where an n-gram would reach beyond, its code is 0."""
+    place = np.arange(len(words)) - np.repeat(ends - np.diff(ends, prepend=0), np.diff(ends, prepend=0))
+    codes = [words]
+    for k in range(2, order + 1):
+        front = np.empty_like(words)
+        front[1:] = codes[-1][:-1]
+        if k == 2:
+            front[place == 0] = START
+        code = front * _LEFT + (words ^ (words >> np.uint64(31))) * _RIGHT
+        code ^= code >> np.uint64(33)
+        code *= _STIR
+        code ^= code >> np.uint64(29)
+        code[place < k - 2] = 0
+        codes.append(code)
+    return codes
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -82,120 +96,187 @@ def _unpack(blob: bytes, n: int, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _asked(words: np.ndarray, codes: np.ndarray) -> list[np.ndarray]:
-    """The sorted distinct words and pairs of a block; its questions, in order."""
-    return [np.unique(words), np.unique(codes)]
-
-
 def _cells(table: pa.Table, text: str) -> list[bytes]:
     """UTF-8 texts of the rows carried in ``doc``; null is empty."""
     return [b for chunk in table.column("doc").chunks for x in chunk.field(text).cast(pa.large_binary()) for b in (x.as_py() or b"",)]
 
 
-def _ask(buckets: int, text: str):
+def _schema(columns) -> pa.Schema:
+    return pa.schema([(c, pa.binary() if c[:4] == "blob" else pa.int64()) for c in columns])
+
+
+def _parts(order: int) -> str:
+    return ", ".join(f"n_{k} long, blob_{k} binary" for k in range(1, order + 1))
+
+
+def _ask(buckets: int, text: str, order: int):
     """Questions of a block: for each bucket the keys in its range, with the block's own counts."""
 
     def run(table: pa.Table) -> pa.Table:
         words, ends = tokens_of(_cells(table, text))
-        _, codes = pairs_of(words, ends)
         learn = np.repeat(table.column("learn").to_numpy(), np.diff(ends, prepend=0))
-        rows: dict[str, list] = {"bucket": [], "block": [], "n_words": [], "n_pairs": [], "blob_words": [], "blob_pairs": []}
-        parts = []
-        for keys, all_ in zip(_asked(words, codes), (words, codes), strict=True):
+        rows: dict[str, list] = {"bucket": list(range(buckets)), "block": [table.column("block")[0].as_py()] * buckets}
+        for k, codes in enumerate(grams_of(words, ends, order), 1):
+            keys = np.unique(codes)
             counts = np.zeros(len(keys), np.uint32)
-            seen, n = np.unique(all_[learn], return_counts=True)
+            seen, n = np.unique(codes[learn], return_counts=True)
             counts[np.searchsorted(keys, seen)] = n
             bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            parts.append((keys, counts, np.searchsorted(bucket, np.arange(buckets + 1))))
-        block = table.column("block")[0].as_py()
-        for b in range(buckets):
-            rows["bucket"].append(b)
-            rows["block"].append(block)
-            for name, (keys, counts, edges) in zip(("words", "pairs"), parts, strict=True):
-                own = keys[edges[b] : edges[b + 1]]
-                rows[f"n_{name}"].append(len(own))
-                rows[f"blob_{name}"].append(_pack(np.diff(own, prepend=np.uint64(0)), counts[edges[b] : edges[b + 1]]) if len(own) else b"")
-        return pa.table(rows, schema=pa.schema([(c, pa.binary() if c[:4] == "blob" else pa.int64()) for c in rows]))
+            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            rows[f"n_{k}"] = np.diff(edges).tolist()
+            rows[f"blob_{k}"] = [
+                _pack(np.diff(keys[low:high], prepend=np.uint64(0)), counts[low:high]) if high > low else b"" for low, high in zip(edges[:-1], edges[1:], strict=True)
+            ]
+        return pa.table(rows, schema=_schema(rows))
 
-    return run
+    return lean(run)
 
 
-QUESTIONS = "bucket long, block long, n_words long, n_pairs long, blob_words binary, blob_pairs binary"
-ANSWERS = "block long, bucket long, n_words long, n_pairs long, blob_words binary, blob_pairs binary, tokens long, known long, once long, twice long"
+STATS = ("tokens", "known", "once", "twice")
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(total of each place's key, totals of the distinct keys). ``keys`` are sorted runs, one a block,
+    which a stable sort merges."""
+    if not len(keys):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    line = np.argsort(keys, kind="stable")
+    ordered = keys[line]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    sums = np.add.reduceat(counts[line].astype(np.uint64), np.flatnonzero(new))
+    total = np.empty(len(keys), np.uint64)
+    total[line] = sums[np.cumsum(new) - 1]
+    return total, sums
+
+
+def _answer(order: int):
     """Adds up a bucket's counts and sends every block those it asked for."""
-    columns = table.to_pydict()
-    out: dict[str, list] = {"block": columns["block"], "bucket": columns["bucket"], "n_words": columns["n_words"], "n_pairs": columns["n_pairs"]}
-    stats = []
-    for name in ("words", "pairs"):
-        keys, counts = [], []
-        for blob, n in zip(columns[f"blob_{name}"], columns[f"n_{name}"], strict=True):
-            gaps, own = _unpack(blob, n, "<u8", "<u4")
-            keys.append(np.cumsum(gaps, dtype=np.uint64))
-            counts.append(own)
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(place, np.concatenate(counts), len(every)).astype(np.uint64) if len(every) else np.zeros(0, np.uint64)
-        ends = np.cumsum([len(k) for k in keys])
-        out[f"blob_{name}"] = [_pack(total[place[e - len(k) : e]]) if len(k) else b"" for k, e in zip(keys, ends, strict=True)]
-        if name == "words":
-            stats = [int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())]
-    for name, value in zip(("tokens", "known", "once", "twice"), stats, strict=True):
-        out[name] = [value] * table.num_rows
-    order = ["block", "bucket", "n_words", "n_pairs", "blob_words", "blob_pairs", "tokens", "known", "once", "twice"]
-    return pa.table({c: out[c] for c in order}, schema=pa.schema([(c, pa.binary() if c[:4] == "blob" else pa.int64()) for c in order]))
+
+    def run(table: pa.Table) -> pa.Table:
+        out: dict[str, object] = {"block": table.column("block"), "bucket": table.column("bucket")}
+        for k in range(1, order + 1):
+            lengths = table.column(f"n_{k}").to_pylist()
+            keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+            for blob, n in zip(table.column(f"blob_{k}"), lengths, strict=True):
+                gaps, own = _unpack(blob.as_py(), n, "<u8", "<u4")
+                keys.append(np.cumsum(gaps, dtype=np.uint64))
+                counts.append(own)
+            total, sums = _totals(np.concatenate(keys), np.concatenate(counts))
+            ends = np.cumsum(lengths)
+            out[f"n_{k}"] = lengths
+            out[f"blob_{k}"] = [_pack(total[e - n : e]) if n else b"" for n, e in zip(lengths, ends, strict=True)]
+            if k == 1:
+                stats = [int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum()), int((sums == 2).sum())]
+        for name, value in zip(STATS, stats, strict=True):
+            out[name] = [value] * table.num_rows
+        return pa.table(out, schema=_schema(out))
+
+    return lean(run)
 
 
 class BackoffAutomaton:
-    """Arcs and failure weights of the states that a set of texts reaches, as log10."""
+    """The states and arcs that a set of texts can reach, with weights as log10.
+
+    ``codes`` are the texts' n-grams (``grams_of``), ``counts`` those of the sorted distinct ones of
+    each length. ``number[k][i]`` is the n-gram of k + 1 words that ends at word i: as an arc, the one
+    that word i takes from the state of k words in front of it; as a state, the one it may lead to.
+    """
 
-    def __init__(self, words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, totals: tuple[int, int, int, int], mu: float = MU):
-        self.words, self.pairs, self.mu = words, pairs, mu
-        self.counts, self.pair_counts = word_counts.astype(float), pair_counts.astype(float)
+    def __init__(self, codes: list[np.ndarray], counts: list[np.ndarray], ends: np.ndarray, totals: tuple[int, int, int, int], texts_learned: float, mu: float = MU):
+        self.order, self.ends, self.begins = len(codes), ends, ends - np.diff(ends, prepend=0)
+        self.number, self.seen, self.weight, self.failure = [], [], [], []
         n, v, once, twice = totals
-        discount = once / (once + 2 * twice) if once else 0.5
-        unknown = discount * v / n if n else 1.0
-        self.root = np.where(self.counts > 0, (self.counts - discount) / max(n, 1), unknown)
-        self.root = np.where(self.root > 0, self.root, 0.5 / max(n, 1))  # every word is seen once: D = 1
-
-    def read(self, words: np.ndarray, states: np.ndarray, codes: np.ndarray, texts_learned: float) -> tuple[np.ndarray, np.ndarray]:
-        """(count, log10 probability) of each word, given the state that the one in front leads to."""
-        at = np.searchsorted(self.words, words)
-        to_root = self.root[at]
-        state_at = np.minimum(np.searchsorted(self.words, states), len(self.words) - 1)
-        weight = np.where(states == START, texts_learned, np.where(self.words[state_at] == states, self.counts[state_at], 0.0))
-        seen = self.pair_counts[np.searchsorted(self.pairs, codes)]
-        fail = self.mu / (weight + self.mu)
-        return self.counts[at], np.log10(np.where(seen > 0, (seen + self.mu * to_root) / (weight + self.mu), fail * to_root))
-
-
-def _score(mu: float, text: str):
+        self.starts = np.zeros(len(codes[0]), bool)
+        self.starts[self.begins[self.ends > self.begins]] = True
+        below = front = None
+        for k, code in enumerate(codes):
+            keys, number = np.unique(code, return_inverse=True)
+            number = number.astype(np.int32)
+            c = counts[k].astype(float)
+            if k == 0:
+                discount = once / (once + 2 * twice) if once else 0.5
+                unknown = discount * v / n if n else 1.0
+                p = np.where(c > 0, (c - discount) / max(n, 1), unknown)
+                p = np.where(p > 0, p, 0.5 / max(n, 1))  # every word is seen once: D = 1
+            else:
+                where = np.zeros(len(keys), np.int64)
+                where[number] = np.arange(len(number))  # some place of each
+                of_state = front[self._in_front(k, where)]
+                p = (c + mu * below[self.number[k - 1][where]]) / (of_state + mu)
+            self.number.append(number)
+            self.seen.append(c > 0)
+            self.weight.append(np.log10(p))
+            below = p
+            # The last state of one word is the start of a text.
+            front = np.append(c, texts_learned) if k == 0 else c
+            if k + 1 < self.order:
+                self.failure.append(np.log10(mu / (front + mu)))
+
+    def _in_front(self, k: int, at: np.ndarray) -> np.ndarray:
+        """The state of k words in front of each place."""
+        state = self.number[k - 1][at - 1]
+        return np.where(self.starts[at], len(self.seen[0]), state) if k == 1 else state
+
+    def read(self, lane: int | None = None) -> np.ndarray:
+        """log10 probability of each text, by one traversal of all lanes."""
+        lane, most = lane or LANE, self.order - 1
+        lanes = -(-(self.ends - self.begins) // lane)
+        text = np.repeat(np.arange(len(lanes)), lanes)
+        first = self.begins[text] + (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * lane
+        last = np.minimum(first + lane, self.ends[text])
+        enter = np.maximum(first - most, self.begins[text])
+        line = np.argsort(enter - last, kind="stable")  # the longest first
+        text, first, last, enter = text[line], first[line], last[line], enter[line]
+        # The words a state holds; with the place they end at, that is the state.
+        held = (enter == self.begins[text]).astype(np.int8)
+        total, reads = np.zeros(len(text)), last - enter
+        for step in range(int(reads[0]) if len(reads) else 0):
+            n = len(reads) - np.searchsorted(reads[::-1], step, "right")  # lanes that still read
+            at, state = enter[:n] + step, held[:n]
+            to, gained = np.zeros(n, np.int8), np.zeros(n)
+            for k in range(most, -1, -1):
+                here = np.flatnonzero(state == k)
+                arc = self.number[k][at[here]]
+                if k == 0:
+                    gained[here] += self.weight[0][arc]
+                    to[here] = self.seen[0][arc]
+                    continue
+                there = self.seen[k][arc]
+                gained[here[there]] += self.weight[k][arc[there]]
+                to[here[there]] = min(k + 1, most)
+                fails = here[~there]
+                gained[fails] += self.failure[k - 1][self._in_front(k, at[fails])]
+                state[fails] = k - 1
+            held[:n] = to
+            total[:n] += np.where(at >= first[:n], gained, 0.0)
+        return np.bincount(text, total, len(lanes))
+
+
+def _score(mu: float, text: str, order: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         words, ends = tokens_of(_cells(texts, text))
-        states, codes = pairs_of(words, ends)
-        keys = _asked(words, codes)
+        codes = grams_of(words, ends, order)
         rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
-        counts = [np.concatenate([_unpack(r[f"blob_{x}"], r[f"n_{x}"], "<u8")[0] for r in rows] or [np.zeros(0)]) for x in ("words", "pairs")]
-        totals = tuple(sum(r[c] for r in rows) for c in ("tokens", "known", "once", "twice"))
+        counts = [np.concatenate([_unpack(r[f"blob_{k}"], r[f"n_{k}"], "<u8")[0] for r in rows] or [np.zeros(0)]) for k in range(1, order + 1)]
+        totals = tuple(sum(r[c] for r in rows) for c in STATS)
         n, v = totals[:2]
-        automaton = BackoffAutomaton(keys[0], counts[0], keys[1], counts[1], totals, mu)
         # As many texts begin as end; every text holds END, so its count is always among the answers.
-        texts_learned = float(counts[0][np.searchsorted(keys[0], END)]) if len(words) else 0.0
-        c, log_p = automaton.read(words, states, codes, texts_learned) if len(words) else (np.zeros(0), np.zeros(0))
+        texts_learned = float(counts[0][np.searchsorted(np.unique(words), END)]) if len(words) else 0.0
+        automaton = BackoffAutomaton(codes, counts, ends, totals, texts_learned, mu)
+        c = counts[0][automaton.number[0]].astype(float)
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-        begins = ends - np.diff(ends, prepend=0)
-        add = lambda x: np.add.reduceat(x, begins) if len(begins) else x[:0]  # noqa: E731  no text is without END
+        add = lambda x: np.add.reduceat(x, automaton.begins) if len(ends) else x[:0]  # noqa: E731  no text is without END
         return pa.table({
             "doc": texts.column("doc"), "n_tokens": pa.array(np.diff(ends, prepend=0)), "n_known": pa.array(add((c > 0).astype(np.int64))),
-            "train_tokens": pa.array(np.full(len(ends), n, np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(log_p)),
+            "train_tokens": pa.array(np.full(len(ends), n, np.int64)), "base_score": pa.array(add(base)), "score": pa.array(automaton.read()),
         })
 
-    return run
+    return lean(run)
 
 
-def score(docs: DataFrame, learn: Column, text: str = "text", mu: float = MU) -> DataFrame:
-    """``doc`` (the whole row) with n_tokens, n_known, train_tokens, base_score and score.
+def score(docs: DataFrame, learn: Column, text: str = "text", mu: float = MU, order: int = ORDER) -> DataFrame:
+    """``doc`` (the whole row) with n_tokens, n_known, train_tokens, base_score and score; ``order`` is at
+    least two words.
 
     Learns from the rows for which ``learn`` holds (a null counts as no), scores all of them, in
     whole texts. Null and empty texts are one end. Repeated rows count as often as they come.
@@ -209,8 +290,8 @@ def score(docs: DataFrame, learn: Column, text: str = "text", mu: float = MU) ->
     # Rows spread by their text, with a salt by id, so many copies of one text do not meet.
     salt = F.xxhash64("bytes", *[F.col("doc")[c].cast("string") for c, kind in docs.dtypes if kind in ("bigint", "int", "string") and c != text])
     blocked = own.withColumn("block", F.pmod(salt, F.lit(n))).drop("bytes").repartition(n, "block")
-    questions = blocked.groupBy("block").applyInArrow(_ask(n, text), QUESTIONS)
-    answers = questions.groupBy("bucket").applyInArrow(_answer, ANSWERS)
+    questions = blocked.groupBy("block").applyInArrow(_ask(n, text, order), f"bucket long, block long, {_parts(order)}")
+    answers = questions.groupBy("bucket").applyInArrow(_answer(order), f"block long, bucket long, {_parts(order)}, {', '.join(f'{c} long' for c in STATS)}")
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _score(mu, text), f"doc {docs.schema.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        _score(mu, text, order), f"doc {docs.schema.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

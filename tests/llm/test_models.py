@@ -13,49 +13,96 @@ from pyspark.sql import functions as F
 
 from shelfsift.llm import language, lm_scoring, toxicity
 from shelfsift.llm.language import identify
-from shelfsift.llm.lm_scoring import MU, score
+from shelfsift.llm.lm_scoring import MU, ORDER, score
 from shelfsift.llm.toxicity import grade
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def scored_by_hand(rows, learn):
-    """(n_tokens, n_known, N, base, score) of each row from plain counts."""
+def scored_by_hand(rows, learn, order=ORDER):
+    """(n_tokens, n_known, N, base, score) of each row from plain counts of whole n-grams."""
     read = [[*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or "")), None] for r in rows]
-    c, pairs, starts = Counter(), Counter(), 0
+    c, grams, fronts = Counter(), Counter(), Counter()
     for words, own in zip(read, learn, strict=True):
         if own:
             c.update(words)
-            pairs.update(zip(["<s>", *words], words, strict=False))
-            starts += 1
+            line = ["<s>", *words]
+            for k in range(2, order + 1):
+                for i in range(k, len(line) + 1):
+                    grams[tuple(line[i - k : i])] += 1
+                    fronts[tuple(line[i - k : i - 1])] += 1
     n, v = sum(c.values()), len(c)
     once, twice = list(c.values()).count(1), list(c.values()).count(2)
     d = once / (once + 2 * twice) if once else 0.5
 
-    def p(w):
+    def p(w, h):
+        if h:
+            return (grams[(*h, w)] + MU * p(w, h[1:])) / (fronts[h] + MU)
         x = (c[w] - d) / n if c[w] else (d * v / n if n else 1.0)
         return x if x > 0 else 0.5 / max(n, 1)
 
     out = []
     for words in read:
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
-        total = 0.0
-        for h, w in zip(["<s>", *words], words, strict=False):
-            weight = starts if h == "<s>" else c[h]
-            total += math.log10((pairs[h, w] + MU * p(w)) / (weight + MU))
+        line = ["<s>", *words]
+        total = sum(math.log10(p(line[i], tuple(line[max(0, i - order + 1) : i]))) for i in range(1, len(line)))
         out.append((len(words), sum(c[w] > 0 for w in words), n, base, total))
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 3000])
-def test_scores_equal_plain_counts(monkeypatch, edge, edge_rows, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "lane", "order"), [(1 << 20, 512, 3), (3000, 7, 3), (3000, 1, 4), (1 << 20, 50, 2)])
+def test_scores_equal_plain_counts(monkeypatch, edge, edge_rows, block_bytes, lane, order):
     monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", block_bytes)
     learn = [r[0] is not None and r[0] % 3 != 1 for r in edge_rows]
-    got = sorted((repr((r.doc.doc_id, r.doc.text)), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in score(edge, F.col("doc_id") % 3 != 1).collect())
-    want = sorted((repr((r[0], r[1])), *x) for r, x in zip(edge_rows, scored_by_hand(edge_rows, learn), strict=True))
+    scored = score(edge, F.col("doc_id") % 3 != 1, order=order).collect()
+    got = sorted((repr((r.doc.doc_id, r.doc.text)), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in scored)
+    want = sorted((repr((r[0], r[1])), *x) for r, x in zip(edge_rows, scored_by_hand(edge_rows, learn, order), strict=True))
     for g, w in zip(got, want, strict=True):
         assert g[:4] == w[:4]
         assert g[4:] == pytest.approx(w[4:], rel=1e-9)
+    # Lanes, whatever their length, read what one lane reads.
+    automaton, _ = _automaton([(r[1] or "").encode() for r in edge_rows], learn, order)
+    assert automaton.read(lane) == pytest.approx(automaton.read(1 << 30), rel=1e-9)
+
+
+def _automaton(texts, learn, order, cut=False):
+    """Of one block, with its own counts; ``cut`` leaves the ends of texts out of what is read."""
+    words, ends = lm_scoring.tokens_of(texts)
+    learned = np.repeat(np.array(learn, bool), np.diff(ends, prepend=0))
+    codes = lm_scoring.grams_of(words, ends, order)
+    vocabulary = Counter(words[learned].tolist())
+    totals = (sum(vocabulary.values()), len(vocabulary), *(list(vocabulary.values()).count(k) for k in (1, 2)))
+    if cut:
+        keep, ends = words != lm_scoring.END, ends - np.arange(1, len(ends) + 1)
+        kept = [x[keep] for x in codes]
+    else:
+        kept = codes
+    counts = [np.array([Counter(x[learned].tolist())[g] for g in np.unique(y).tolist()]) for x, y in zip(codes, kept, strict=True)]
+    return lm_scoring.BackoffAutomaton(kept, counts, ends, totals, float(sum(learn))), vocabulary
+
+
+def test_probabilities_of_a_state_add_up():
+    """Over all known words, the end and the unknown word, from states of every length."""
+    trained = ["a b c a b d", "b c c a", "a b c d", "d d a b"]
+    for front in ("", "a", "a b", "b c", "c z", "d a b"):
+        probes = [f"{front} {w}" for w in ("a", "b", "c", "d", "zz")]
+        texts = [t.encode() for t in [*trained, *probes, front]]
+        log_p = _automaton(texts, [True] * 4 + [False] * 6, 3, cut=True)[0].read()
+        following = 10 ** (log_p[4:9] - log_p[9])
+        closed = _automaton(texts, [True] * 4 + [False] * 6, 3)[0].read()
+        assert following.sum() + 10 ** (closed[9] - log_p[9]) == pytest.approx(1.0)
+
+
+def test_copies_of_learned_texts_score_apart(make):
+    """A held-out text whose runs of three words were learned scores above one of the same words."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(200)]
+    shuffled = texts[0].split()
+    rng.shuffle(shuffled)
+    rows = [(i, t, "en", "a") for i, t in enumerate([*texts, texts[0], " ".join(shuffled)])]
+    got = {r.doc.doc_id: r.score for r in score(make(rows), F.col("doc_id") < 200).collect()}
+    assert got[200] > got[201] and got[200] == pytest.approx(got[0], rel=1e-9)
 
 
 def test_scores_without_training_rows_and_of_nothing(edge, empty):
@@ -63,15 +110,6 @@ def test_scores_without_training_rows_and_of_nothing(edge, empty):
     assert score(empty, F.lit(True)).count() == 0
 
 
-def test_probabilities_of_a_state_add_up():
-    """Over all known words and the unknown one, from any state."""
-    words = np.sort(np.array([11, 22, 33, int(lm_scoring.END)], np.uint64))
-    counts = np.array([5, 3, 1, 2], np.uint64)
-    automaton = lm_scoring.BackoffAutomaton(words, counts, np.zeros(1, np.uint64), np.zeros(1), (11, 4, 1, 1))
-    unknown = (1 / 3) * 4 / 11
-    assert automaton.root.sum() + unknown == pytest.approx(1.0)
-
-
 LETTERS = {"aa": "abcde", "bb": "bdfgz", "cc": "éèàabx"}
 
 

@@ -39,7 +39,7 @@ ORDER, MU = 3, 30.0
 #: Words that a lane of the traversal reads.
 LANE = 512
 #: Text bytes of a block and of a bucket's share, on average.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 20 << 20
 SLICE_BYTES = 2 << 20
 
 # Any fixed values: the end of a text as a word, the start as a state.

@@ -72,3 +72,11 @@ def test_detect_extra(spark):
     rows = table(spark, [r"D:\Films\Heat\Heat-featurette.mkv", r"D:\TV\Show\Specials\One.mkv", r"D:\Films\Heat\Heat.mkv", r"D:\TV\Show\Season 0\One.mkv"])
     got = [r[0] for r in detect_extra(rows).orderBy(F.col("id").cast("int")).select("extra_category").collect()]
     assert got == ["MovieExtra", "MovieExtra", None, "TvExtra"]
+
+
+def test_years_to_come(spark):
+    paths = [r"D:\x\Blue Ring 2063 S01E02 480p.mkv", r"D:\x\Blue Ring 2063 1983 720p.mkv", r"D:\x\Blue Ring 2027 S01E02.mkv", r"D:\x\Blue Ring 2063.mkv"]
+    read = lambda **how: [tuple(r) for r in classify_files(table(spark, paths), 2026, **how).orderBy("id").select("year", "parsed_title").collect()]
+    titles = ["Blue Ring 2063", "Blue Ring 2063", "Blue Ring 2027", "Blue Ring"]
+    assert read(future_years=False) == list(zip([None, 1983, 2027, None], titles))
+    assert read() == list(zip([2063, 1983, 2027, 2063], titles))

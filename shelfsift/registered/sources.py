@@ -182,7 +182,8 @@ def _(spark, sf):
     folder = _folder(spark, "xml")
     rows = files(spark, sf).withColumn("last_modified_utc", F.date_format(F.col("last_modified_utc").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss"))
     held = [F.col(c).alias(x) for c, x in C.XML_NAMES.items() if c in rows.columns]
-    rows.select(*held).write.format("xml").option("rootTag", "Catalog").option("rowTag", "File").save(folder)
+    # Compressed, in files of bounded size, since a compressed one is read by one task.
+    rows.select(*held).write.format("xml").option("compression", "gzip").option("maxRecordsPerFile", 250_000).option("rootTag", "Catalog").option("rowTag", "File").save(folder)
     return C.read_catalog(spark, folder).select(
         "id", "full_path", "size_bytes", "kind", "year", "season", "title_manual", "quality", "duration_seconds", "last_modified_utc", "parsed_title"
     )

@@ -249,9 +249,20 @@ def _shared(blocks: int):
     return run
 
 
+def _seen(data: np.ndarray, at: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """The bytes around each suffix; those of none of its strings are 0. Places are eight bytes for
+    each byte, so they are made for some thousand suffixes at once."""
+    seen, reach = np.empty((len(at), _WIDTH), np.uint8), np.arange(-REACH, LENGTH)
+    for a in range(0, len(at), AT_ONCE // 8):
+        cut = slice(a, a + AT_ONCE // 8)
+        own = data[np.clip(at[cut][:, None] + reach, 0, len(data) - 1)]
+        own[(reach < -far[cut][:, None]) | (reach >= LENGTH - near[cut][:, None])] = 0
+        seen[cut] = own
+    return seen
+
+
 def _surroundings(splitters: np.ndarray, text: str):
     """Texts of a block and its reported suffixes to blobs with the bytes around, by bucket."""
-    reach = np.arange(-REACH, LENGTH)
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         doc, at = _read(found.column("blob").to_pylist(), *_FOUND)
@@ -276,9 +287,7 @@ def _surroundings(splitters: np.ndarray, text: str):
         rows: list[tuple[int, bytes]] = []
         for a in range(0, len(row), 2 * AT_ONCE):
             cut = slice(a, a + 2 * AT_ONCE)
-            where = (offsets[row[cut]] + at[cut])[:, None] + reach
-            seen = data[np.clip(where, 0, len(data) - 1)]
-            seen[(reach < -far[cut].astype(int)[:, None]) | (reach >= LENGTH - near[cut].astype(int)[:, None])] = 0
+            seen = _seen(data, offsets[row[cut]] + at[cut], near[cut].astype(int), far[cut].astype(int))
             own = owner[row[cut]]
             rows += _dealt(splitters, seen[:, REACH : REACH + LEAD], [seen, own.astype("<i8"), tags[row[cut]].astype("<u4"), at[cut].astype("<u4"), near[cut], far[cut]], own)
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
@@ -290,26 +299,36 @@ def _sorted_ranges(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     """Columns in (suffix, document) order, and the bounds of the ranges of equal leading bytes."""
     columns = _read(table.column("blob").to_pylist(), *_SEEN)
     by_doc = np.argsort(columns[1], kind="stable")
-    columns = [c[by_doc] for c in columns]
-    order, begins = multikey_order(_words(columns[0][:, REACH : REACH + LEAD]))
-    return [c[order] for c in columns], np.append(begins, len(order))
-
-
-def _sums(seen: np.ndarray) -> list[np.ndarray]:
-    """For both hashes, sums of weighted bytes in front of each column; a string's hash is the
-    difference of two of them. Only strings at one distance from their suffix are compared."""
-    wide = seen.astype(np.uint64)
-    return [np.concatenate([np.zeros((len(seen), 1), np.uint64), np.cumsum(wide * w, axis=1, dtype=np.uint64)], axis=1) for w in _WEIGHTS]
-
-
-def _strings(sums: list[np.ndarray], docs: np.ndarray, near: np.ndarray, far: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    order, begins = multikey_order(_words(columns[0][by_doc, REACH : REACH + LEAD]))
+    return [c[by_doc[order]] for c in columns], np.append(begins, len(order))
+
+
+def _hashes(seen: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """For each distance from the suffix: both hashes of the strings that start so far in front of
+    it, sums of weighted bytes. They roll from one distance to the next, so no row holds more than
+    its two sums. Only strings at one distance are compared."""
+    sums = [np.zeros(len(seen), np.uint64) for _ in _WEIGHTS]
+    for column in range(REACH, _WIDTH):
+        own = seen[:, column].astype(np.uint64)
+        for total, w in zip(sums, _WEIGHTS, strict=True):
+            total += own * w[column]
+    yield 0, sums
+    for shift in range(1, REACH + 1):
+        first, gone = (seen[:, c].astype(np.uint64) for c in (REACH - shift, REACH - shift + LENGTH))
+        for total, w in zip(sums, _WEIGHTS, strict=True):
+            total += first * w[REACH - shift]
+            total -= gone * w[REACH - shift + LENGTH]
+        yield shift, sums
+
+
+def _strings(seen: np.ndarray, docs: np.ndarray, near: np.ndarray, far: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
     """For each distance: the rows with a string so far in front of their suffix, the first
     document of each one's string among them, and its two hashes. Rows are in order of documents
     within their ranges."""
-    for shift in range(REACH + 1):
+    for shift, sums in _hashes(seen):
         rows = np.flatnonzero((near <= shift) & (far >= shift))
         if len(rows):
-            k1, k2 = (s[rows, REACH - shift + LENGTH] - s[rows, REACH - shift] for s in sums)
+            k1, k2 = (s[rows] for s in sums)
             order = np.lexsort((docs[rows], k2, k1))
             new = np.concatenate([[True], (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)])
             first = docs[rows[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -328,9 +347,9 @@ def _settled(blocks: int):
             high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + AT_ONCE, side="right")) - 1)
             cut = slice(bounds[low], bounds[high])
             low = high
-            sums, docs = _sums(seen[cut]), doc[cut]
+            docs = doc[cut]
             marked = np.zeros((len(docs), REACH + 3), bool)
-            for shift, rows, firsts, _ in _strings(sums, docs, near[cut], far[cut]):
+            for shift, rows, firsts, _ in _strings(seen[cut], docs, near[cut], far[cut]):
                 marked[rows, shift + 1] = docs[rows] > firsts
             step = np.diff(marked.astype(np.int8), axis=1)
             row, nearest = np.nonzero(step == 1)
@@ -357,7 +376,7 @@ def _edge_strings(buckets: int):
         for low, high in sorted({(int(bounds[0]), int(bounds[1])), (int(bounds[-2]), int(bounds[-1]))}) if len(doc) else []:
             for begin in range(low, high, AT_ONCE):
                 cut = slice(begin, min(begin + AT_ONCE, high))
-                for shift, rows, firsts, (k1, k2) in _strings(_sums(seen[cut]), doc[cut], near[cut], far[cut]):
+                for shift, rows, firsts, (k1, k2) in _strings(seen[cut], doc[cut], near[cut], far[cut]):
                     open_ = doc[cut][rows] == firsts
                     own = rows[open_] + begin
                     parts.append((np.full(len(own), shift, np.uint8), k1[open_], k2[open_], doc[own].astype("<i8"), tag[own].astype("<u4"), (at[own] - shift).astype("<u4")))

@@ -1,6 +1,9 @@
 """Suffix-array removal and the Jaccard join against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,6 +38,26 @@ def removed(df):
     return sorted(((r.doc.doc_id, r.n_bytes, bytes(r.kept), len(r.removed_starts)) for r in remove_repeats(df).collect()), key=repr)
 
 
+def test_a_long_range_of_equal_suffixes_is_compared_in_little_memory():
+    """Pipeline of round 3: prefix sums took some 2 KB a suffix, and a range is compared as a whole."""
+    n = 40_000
+    rng = np.random.default_rng(3)
+    seen = np.tile(rng.integers(1, 200, suffix_dedup._WIDTH, np.uint8), (n, 1))
+    seen[1::2, :3] += 1  # every other one differs where only the farthest strings reach
+    blob = suffix_dedup._write(seen, np.arange(n, dtype="<i8"), np.zeros(n, "<u4"), np.full(n, 40, "<u4"), np.zeros(n, np.uint8), np.full(n, suffix_dedup.REACH, np.uint8))
+    table = pa.table({"bucket": pa.array([0]), "blob": pa.array([blob], pa.binary())})
+    tracemalloc.start()
+    made = suffix_dedup._settled(3)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    doc, _, begin, end = suffix_dedup._read(made.column("blob").to_pylist(), *suffix_dedup._SPANS)
+    found = sorted(zip(doc.tolist(), begin.tolist(), end.tolist(), strict=True))
+    # The first document of all is nobody's copy, the second only as far as it equals the first.
+    assert found[0] == (1, 40 - suffix_dedup.REACH + 3, 40 + LENGTH)
+    assert found[1:] == [(d, 40 - suffix_dedup.REACH, 40 + LENGTH) for d in range(2, n)]
+    assert peak < 700 * n
+
+
 def test_removal_equals_brute_force(edge, edge_rows):
     assert removed(edge) == removal(edge_rows)
 

@@ -299,9 +299,9 @@ def library_preference(filed: Column, under_root: Column, destination: Column) -
     )
 
 
-def prefer_library_copy(files: DataFrame, keys: Sequence[str], order: Sequence[str] = POSITION) -> DataFrame:
-    """Per key, the copy with the lowest ``library_rank``; first in order on ties."""
-    return first_by(files, keys, ["library_rank", *order])
+def prefer_library_copy(files: DataFrame, keys: Sequence[str], order: Sequence[str] = POSITION, columns: Sequence[str] | None = None) -> DataFrame:
+    """Per key, the copy with the lowest ``library_rank``; first in order on ties. Only ``columns`` of it are moved."""
+    return first_by(files, keys, ["library_rank", *order], columns)
 
 
 def duplicates_of_consolidated(files: DataFrame) -> DataFrame:

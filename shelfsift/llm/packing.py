@@ -14,14 +14,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .tokens import encoder, groups
+from .common import give_back, slices, written
+from .tokens import encoder
 
 CAPACITY = 2048
+#: Texts are encoded in groups of about so many characters, whose pieces a worker holds as objects.
+GROUP_CHARS = 400_000
 #: Ids a full bin may leave empty, as a share of the capacity.
 SLACK = 1 / 128
 
@@ -51,7 +54,7 @@ def _cut_partition(vocabulary: str, end_id: int, capacity: int, slack: float):
         counters = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
-            for low, high in groups(texts.to_pylist()):
+            for low, high in slices(pa.compute.utf8_length(texts).to_numpy(), GROUP_CHARS):
                 flat, n = encode(texts[low:high].to_pylist())
                 ids, n = np.insert(flat, np.cumsum(n), end_id).astype("<u4"), n + 1
                 full, rest = n // capacity, n % capacity
@@ -75,6 +78,7 @@ def _cut_partition(vocabulary: str, end_id: int, capacity: int, slack: float):
                     [pa.array(np.full(len(ends), part)), pa.array(kinds), pa.array(ranks), owners, pa.array(starts), pa.array(lengths), pa.array(n[doc]), cells],
                     names=[c.split()[0] for c in PIECES.split(", ")],
                 )
+            give_back()
 
     return run
 

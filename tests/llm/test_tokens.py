@@ -126,3 +126,24 @@ def test_cuts_keep_all_ids_and_fit_their_class(n):
     pieces = cut_lengths(n)
     assert sum(length for _, length in pieces) == n
     assert all(0 <= 2048 - j * length <= 2048 / 128 for j, length in pieces)
+
+
+def test_packing_encodes_small_groups(monkeypatch):
+    """Pipeline of round 3: a worker held all texts of a batch, and the pieces of 1.5 million characters, as objects."""
+    import pyarrow as pa
+
+    from shelfsift.llm import packing
+
+    seen = []
+
+    class Counted:
+        def encode(self, texts):
+            seen.append(sum(map(len, texts)))
+            return np.zeros(len(texts), np.uint32), np.ones(len(texts), np.int64)
+
+    monkeypatch.setattr(packing, "encoder", lambda vocabulary: Counted())
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array(["é" * 1000] * 1200)], names=["d", "t"])
+    out = list(packing._cut_partition("any", 1, packing.CAPACITY, packing.SLACK)(iter([batch])))
+    assert sum(seen) == 1_200_000 and max(seen) <= 401_000
+    assert [d for b in out for d in b.column(3).to_pylist()][-1] == 1199

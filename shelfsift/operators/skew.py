@@ -29,9 +29,10 @@ FOLD_CHUNK = 10_000
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], columns: Sequence[str] | None = None) -> DataFrame:
     """The row with the smallest ``order`` per key. Columns of the order are carried once, not as order and as row."""
     kept = [c for c in (columns or df.columns) if c not in keys]
-    rest = [c for c in kept if c not in order]
+    named = {c: i for i, c in enumerate(order) if isinstance(c, str)}
+    rest = [c for c in kept if c not in named]
     placed = [F.col(c).alias(f"_at{i}") if isinstance(c, str) else c.alias(f"_at{i}") for i, c in enumerate(order)]
-    back = [F.col(f"_row._at{order.index(c)}").alias(c) if c in order else F.col("_row._rest")[c].alias(c) for c in kept]
+    back = [F.col(f"_row._at{named[c]}").alias(c) if c in named else F.col("_row._rest")[c].alias(c) for c in kept]
     if not rest:
         chosen = F.min(F.struct(*placed))
     elif any(_holds_map(df.schema[c].dataType) for c in rest):  # maps cannot be compared, not even behind the order

@@ -152,5 +152,7 @@ def test_first_by_carries_columns_of_its_order_once(spark):
     assert sorted(map(tuple, few.collect()), key=str) == [("k", "a", 1), (None, "d", 3)]
     moved = [line for line in few._jdf.queryExecution().executedPlan().toString().splitlines() if "partial_min" in line]
     assert moved and not any("note" in line or "min_by" in line for line in moved)
+    by_column = first_by(rows, ["key"], [-F.col("library_rank"), "ord", "id"])
+    assert sorted((r.key or "", r.id) for r in by_column.collect()) == [("", "d"), ("k", "b")]
     mapped = rows.withColumn("m", F.create_map("id", "n"))
     assert sorted((r.key or "", r.m["a"] if r.key else r.m["d"]) for r in first_by(mapped, ["key"], ["library_rank", "ord", "id"]).collect()) == [("", 7), ("k", 6)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.display import numbering_display, quality_display
 from ..functions.paths import base_name, extension_of, is_under, parent_dir, path_key, slashed, stem_of, trim_slashes
 from ..functions.staging import staged
-from ..functions.text import INVALID_NAME_CHARS, effective_title, is_blank, letter_bucket, not_blank, sanitize, sort_name, strip
+from ..functions.text import INVALID_NAME_CHARS, digits_value, effective_title, is_blank, letter_bucket, not_blank, sanitize, sort_name, strip
 from ..functions.wildcards import any_of
 from ..operators.classify import SEASON_FOLDER
 from ..operators.folders import ancestors_of, with_folder
@@ -98,8 +98,13 @@ class Library:
         return [c.folder for c in self.categories if c.folder.strip()]
 
 
+def two_digits(number: Column) -> Column:
+    """At least two digits, as ``%02d`` writes them, without a formatter for each row."""
+    return F.concat(F.when(number.between(0, 9), "0").otherwise(""), number.cast("string"))
+
+
 def season_folder(season: Column) -> Column:
-    return F.concat(F.lit("Season "), F.when(season < 100, F.format_string("%02d", season)).otherwise(season.cast("string")))
+    return F.concat(F.lit("Season "), two_digits(season))
 
 
 def _under(folder: Column, name: Column, buckets: Column) -> Column:
@@ -161,7 +166,7 @@ EPISODE_PREFIX = r"^\d{2,3}(-\d{2,3})?\s*-\s+"
 
 
 def starts_with_episode(name, episode) -> Column:
-    number = F.regexp_extract(stem_of(name), LEADING_NUMBER, 1).try_cast("int")
+    number = digits_value(F.regexp_extract(stem_of(name), LEADING_NUMBER, 1))
     return F.coalesce(number == episode, F.lit(False))
 
 
@@ -250,8 +255,7 @@ def plan_file_name(files: DataFrame, library: Library) -> DataFrame:
         if template.strip():
             filled = F.when(F.upper(category) == name.upper(), filled_template(template)).otherwise(filled)
     df = name_template(files, filled, "_templated")
-    pad = lambda n: F.when(n < 100, F.format_string("%02d", n)).otherwise(n.cast("string"))
-    prefix = F.concat(pad(episode), F.when(last > episode, F.concat(F.lit("-"), pad(last))).otherwise(""))
+    prefix = F.concat(two_digits(episode), F.when(last > episode, F.concat(F.lit("-"), two_digits(last))).otherwise(""))
     numbered = F.col("file_name").rlike(EPISODE_PREFIX) | starts_with_episode("file_name", episode)
     plain = F.when((category != "TvShow") | episode.isNull() | (episode < 0) | numbered, F.col("file_name")).otherwise(
         F.concat(prefix, F.lit(" - "), "file_name")
@@ -293,8 +297,10 @@ def destination_collisions(planned: DataFrame, existing: DataFrame) -> DataFrame
 
     ``existing``: full_path, size_bytes. Two listings of one path count once; any of equal size makes it a duplicate.
     """
-    taken = existing.groupBy(path_key("full_path").alias("_at")).agg(F.min("size_bytes").alias("_size"))
-    joined = planned.withColumn("_at", path_key("planned_path")).join(taken, "_at", "left")
+    # Paths begin alike, so rows are sorted by a hash of the path before the path itself.
+    hashed = lambda df: df.withColumn("_hash", F.xxhash64("_at"))
+    taken = hashed(existing.select(path_key("full_path").alias("_at"), "size_bytes")).groupBy("_hash", "_at").agg(F.min("size_bytes").alias("_size"))
+    joined = hashed(planned.withColumn("_at", path_key("planned_path"))).join(taken, ["_hash", "_at"], "left")
     kind = (
         F.when(F.col("planned_path").isNull(), None)
         .when(F.col("_at") == path_key("full_path"), "in place")
@@ -302,7 +308,7 @@ def destination_collisions(planned: DataFrame, existing: DataFrame) -> DataFrame
         .when(F.col("_size").isNotNull(), "name taken")
         .otherwise("free")
     )
-    return joined.withColumn("collision", kind).drop("_at", "_size")
+    return joined.withColumn("collision", kind).drop("_at", "_size", "_hash")
 
 
 def collision_by_hash(planned: DataFrame, existing: DataFrame, skip_taken: bool = True) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import path_key
 from ..functions.staging import staged
 from ..functions.text import effective_title, is_blank, title_verified
 from ..operators.survivorship import quality_from_name
@@ -15,7 +14,8 @@ from .destinations import Library, destination_collisions, plan_paths
 def suggest_consolidation(files: DataFrame, library: Library, existing: DataFrame) -> DataFrame:
     """(id, current_path, proposed_path, category, recommended, note). Needs ``category``.
 
-    The preferred copy of an identity is an aggregate per identity, joined back; notes come in a fixed order.
+    Paths are planned where the rows are read, and rows then move with what the notes need. The preferred copy
+    of an identity is an aggregate per identity, joined back; notes come in a fixed order.
     """
     rows = files.filter(~is_blank(library.folder(F.col("category"))))
     category = F.col("category")
@@ -26,24 +26,30 @@ def suggest_consolidation(files: DataFrame, library: Library, existing: DataFram
         .when(category == "Movie", F.concat_ws("|", F.lit("mv"), title, text("year")))
         .otherwise(F.concat(F.lit("id|"), "id"))
     )
-    keyed = staged(rows, {"_identity": identity})
-    best = keyed.groupBy("_identity").agg(
-        F.count(F.lit(1)).alias("_copies"),
-        F.min_by("id", F.struct(-quality_from_name(), -F.col("size_bytes"), "ord", "id")).alias("_best"),
-    )
-    planned = destination_collisions(plan_paths(keyed.join(best, "_identity"), library), existing).filter("planned_dir IS NOT NULL")
+    # Identities begin alike, so rows are sorted by a hash of the identity before the identity itself.
+    keys = ["_hash", "_identity"]
+    keyed = staged(rows, {"_identity": identity}).withColumn("_hash", F.xxhash64("_identity"))
+    order = F.struct((-quality_from_name()).alias("quality"), (-F.col("size_bytes")).alias("size"), "ord", "id")
+    best = keyed.groupBy(*keys).agg(F.min(order).alias("_first")).select(*keys, F.col("_first.id").alias("_best"))
     extra = category.isin("TvExtra", "MovieExtra")
-    linked = ~is_blank("linked_file_id")
     tv = category == "TvShow"
+    placed = plan_paths(keyed, library).filter("planned_dir IS NOT NULL").select(
+        "id", "full_path", "planned_path", "category", "size_bytes", *keys,
+        (tv & ~title_verified()).alias("_unconfirmed"), (tv & (F.col("season").isNull() | F.col("episode").isNull())).alias("_unnumbered"),
+        extra.alias("_extra"), (~is_blank("linked_file_id")).alias("_linked"),
+    )
+    # The only copy of an identity is its best one.
+    judged = placed.join(best, keys).withColumn("_better", F.col("id") != F.col("_best")).drop(*keys, "_best")
+    planned = destination_collisions(judged, existing)
     against = [
-        F.when((F.col("_copies") > 1) & (F.col("id") != F.col("_best")), "better_copy"),
-        F.when(tv & ~title_verified(), "title_unconfirmed"),
-        F.when(tv & (F.col("season").isNull() | F.col("episode").isNull()), "no_number"),
-        F.when(extra & ~linked, "extra_unlinked"),
+        F.when(F.col("_better"), "better_copy"),
+        F.when(F.col("_unconfirmed"), "title_unconfirmed"),
+        F.when(F.col("_unnumbered"), "no_number"),
+        F.when(F.col("_extra") & ~F.col("_linked"), "extra_unlinked"),
         F.when(F.col("collision") == "duplicate", "already_there").when(F.col("collision") == "name taken", "name_taken"),
-        F.when(path_key("planned_path") == path_key("full_path"), "in_place"),
+        F.when(F.col("collision") == "in place", "in_place"),
     ]
-    travels = F.when(extra & linked, "extra_travels")
+    travels = F.when(F.col("_extra") & F.col("_linked"), "extra_travels")
     notes = F.array_compact(F.array(*against[:4], travels, *against[4:]))
     objections = F.array_compact(F.array(*against))
     return planned.select(

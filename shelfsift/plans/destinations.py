@@ -425,17 +425,19 @@ def subtitle_companions(videos: DataFrame, listing: DataFrame) -> DataFrame:
     """
     subs = listing.withColumns({"_name": base_name("full_path")}).filter(F.lower(extension_of("_name")).isin(*SUBTITLES))
     subs = subs.select(F.col("full_path").alias("subtitle_path"), path_key(parent_dir("full_path")).alias("_dir"), stem_of("_name").alias("_stem"))
-    size = F.length("_stem")
-    starts = F.sequence(F.greatest(size - 32, F.lit(1)), size)
-    suffixes = F.filter(
-        F.transform(starts, lambda k: F.substring("_stem", k + 1, size)),
-        lambda s: (s == "") | s.rlike(r"^[.\-_ ]+\p{L}"),
-    )
-    open_ends = subs.select("*", F.explode(suffixes).alias("suffix")).withColumn(
+    # The end of the stem, cut in front of each tag it may hold; the first piece is never a tag, being the video's.
+    # Staged, so that neither ``explode`` interprets them nor a filter inferred from it carries them down to the paths.
+    pieces = F.regexp_extract_all(F.right("_stem", F.lit(33)), F.lit(r"(?s)(.(?:(?![.\-_ ]+\p{L}).)*)"), F.lit(1))
+    count = F.greatest(F.size("_pieces"), F.lit(1))
+    suffixes = F.transform(F.sequence(F.lit(1), count), lambda k: F.array_join(F.slice("_pieces", k + 1, count), ""))
+    cut = staged(staged(subs, {"_pieces": pieces}), {"_suffixes": suffixes})
+    open_ends = cut.select("subtitle_path", "_dir", "_stem", F.explode("_suffixes").alias("suffix")).withColumn(
         "_key", F.upper(F.substring("_stem", F.lit(1), F.length("_stem") - F.length("suffix")))
     )
     owners = videos.select("id", path_key(parent_dir("full_path")).alias("_dir"), F.upper(stem_of(base_name("full_path"))).alias("_key"))
-    return owners.filter("_key <> ''").join(open_ends, ["_dir", "_key"]).select("id", "subtitle_path", "suffix")
+    # Folders begin alike, so rows are sorted by a hash of both keys before the keys themselves.
+    hashed = lambda df: df.withColumn("_hash", F.xxhash64("_dir", "_key"))
+    return hashed(owners.filter("_key <> ''")).join(hashed(open_ends), ["_hash", "_dir", "_key"]).select("id", "subtitle_path", "suffix")
 
 
 def subtitle_target(new_video_path, suffix="suffix", subtitle="subtitle_path") -> Column:

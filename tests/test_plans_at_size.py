@@ -50,3 +50,13 @@ def test_texts_are_read_as_before(spark):
     assert one(slashed(F.lit("a\\b/c"))) == "a/b/c"
     for text, name in (("a  b", "a b"), ("a\tb", "a b"), ("a \t b. .", "a b"), (" a: b ", "a b")):
         assert one(sanitize(F.lit(text))) == name
+
+
+def test_subtitle_tags(spark):
+    stem = "Show S01E02"
+    tags = {".en": True, "": True, " 2": False, "_forced-nl": True, "." + "x" * 31: True, "." + "x" * 32: False, "..en": True, ".2.en": False}
+    subs = spark.createDataFrame([(f"/d/{stem}{tag}.srt",) for tag in tags], "full_path string")
+    videos = spark.createDataFrame([("v", f"/D/{stem}.mkv"), ("w", "/d/Show.mkv"), ("z", "/d/.mkv")], "id string, full_path string")
+    found = {(r.id, r.suffix) for r in P.subtitle_companions(videos, subs).collect()}
+    assert {s for i, s in found if i == "v"} == {tag for tag, known in tags.items() if known}
+    assert {s for i, s in found if i == "w"} == {" S01E02" + tag for tag in tags if len(tag) < 26}

@@ -183,12 +183,13 @@ def same_episode_in_library(files: DataFrame) -> DataFrame:
     all a file has to look at to find one that is not itself.
     """
     identifies = (F.col("category") == "TvShow") & F.col("season").isNotNull() & F.col("episode").isNotNull()
-    keys = ["_show", "season", "episode", "_last"]
+    # Titles begin alike, so rows are sorted by a hash of the keys before the keys themselves.
+    keys = ["_hash", "_show", "season", "episode", "_last"]
     named = files.filter(identifies).select(
         "id", "ord", "season", "episode", "under_root", title_key(effective_title()).alias("_show"), run_end().alias("_last"), path_key("full_path").alias("_path")
     )
     # Read four times below, so the input runs once for them.
-    rows = stored(named.filter("_show <> ''"))
+    rows = stored(named.filter("_show <> ''").withColumn("_hash", F.xxhash64(*keys[1:])))
     shelf = rows.filter("under_root").groupBy(*keys, "_path").agg(F.min(F.struct("ord", "id")).alias("_at"))
     first = shelf.groupBy(*keys).agg(F.min(F.struct("_at", "_path")).alias("_one"))
     second = shelf.join(first, keys).filter(F.col("_path") != F.col("_one._path")).groupBy(*keys).agg(F.min("_at").alias("_two"))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.fingerprints import connected_components
-from .common import slices, written
+from .common import give_back, slices, written
 
 WORDS = 4
 SIMILARITY = (85, 100)
@@ -134,6 +134,7 @@ def _signatures(words: int, seeds: np.ndarray):
                 [batch.column(0), pa.array(sizes), pa.array(one), pa.array(two), pa.array(least, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
                 names=["doc_id", "n_shingles", "one", "two", "least", "bits"],
             )
+        give_back()
 
     return run
 
@@ -247,6 +248,8 @@ def _grouped(names: list[str], key: list[str], work) -> Callable[[Iterator[pa.Re
                 at = end
         if len(held["id"]) > 1:
             yield from work(held)
+        held.clear()
+        give_back()
 
     return run
 
@@ -350,6 +353,7 @@ def _set_rows(words: int):
                     one[sizes > 0], two[sizes > 0] = _sums(sets, (ends - sizes)[sizes > 0])
                 kept = {"n_shingles": pa.array(sizes), "one": pa.array(one), "two": pa.array(two), "set": pa.array([six[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())}
                 yield pa.RecordBatch.from_pydict(kept | {c: some.column(c) for c in ("id", "component", "parts")})
+        give_back()
 
     return run
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator, Sequence
-from itertools import chain, repeat
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 
@@ -20,8 +20,11 @@ _SIDE_BY_SIDE = re.compile(r"\s\s")
 #: How byte-level vocabularies spell bytes: printable ones as they are, the rest from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_SPELLING = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
-#: Pieces a worker remembers before it starts anew. Bounds memory, never changes ids.
-POOL_PIECES = 1_500_000
+#: Pieces a worker remembers at most, those it keeps when it forgets the ones it seldom met, and ids of a
+#: piece on average. Never changes ids.
+POOL_PIECES = 600_000
+KEPT_PIECES = 50_000
+POOL_IDS = 8
 #: Texts are cut into groups of about so many characters; one longer text is a group of its own.
 GROUP_CHARS = 1_500_000
 
@@ -36,7 +39,10 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         # A vocabulary that drops white space gives one space no id.
         self.keeps_space = bool(self._ids([" "])[0])
-        self._reset()
+        self.known: dict[str, int] = {}
+        self.pool = np.zeros(0, np.uint32)
+        self.starts, self.lengths, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+        self._keep([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def _ids(self, pieces: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(list(pieces), add_special_tokens=False)]
@@ -51,17 +57,28 @@ class PieceEncoder:
             return None
         return word.encode().decode("latin-1").translate(_BYTE_SPELLING)
 
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-        self._keep([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+    def forget(self) -> None:
+        """Keep the pieces met most often, of those met twice. A task ends with it: Spark keeps workers from
+        stage to stage, and later stages would bear what is remembered."""
+        often = np.argsort(-self.uses[1:], kind="stable")[:KEPT_PIECES] + 1
+        often = often[(self.uses[often] > 1) & (np.cumsum(self.lengths[often]) <= POOL_IDS * KEPT_PIECES)]
+        slots = np.concatenate([[0], np.sort(often)])  # the empty piece stays in front
+        ids, ends = self._gather(slots)
+        names = list(self.known)
+        names = [names[slot] for slot in slots.tolist()]
+        sizes, joined = [len(name) for name in names], "".join(names)
+        # Cut out anew when the others are gone: what is kept lies together and pins no memory around it.
+        del names
+        self.known.clear()
+        self.known.update((joined[end - size : end], i) for i, (size, end) in enumerate(zip(sizes, accumulate(sizes), strict=True)))
+        self.pool, self.lengths, self.uses = ids, self.lengths[slots], self.uses[slots] // 2
+        self.starts = ends - self.lengths
 
     def _keep(self, pieces: Sequence[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
+        self.uses = np.concatenate([self.uses, np.zeros(len(lengths), np.int64)])
         self.pool = np.concatenate([self.pool, ids])
 
     def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +116,8 @@ class PieceEncoder:
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > POOL_PIECES:
-            self._reset()
+        if len(self.known) > POOL_PIECES or len(self.pool) > POOL_IDS * POOL_PIECES:
+            self.forget()
         pieces: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -113,6 +130,7 @@ class PieceEncoder:
             lacked = [pieces[i] for i in lacking]
             self._learn(list(set(lacked)))
             slots[lacking] = np.fromiter(map(self.known.__getitem__, lacked), np.int64, len(lacked))
+        self.uses += np.bincount(slots, minlength=len(self.uses))
         ids, ends = self._gather(slots)
         edges = np.concatenate([[0], np.cumsum(counts)])
         upto = np.concatenate([[0], ends])

@@ -37,6 +37,18 @@ def test_ids_of_pieces_are_those_of_whole_texts(file):
     assert [x.tolist() for x in got] == plain(file)(texts)
 
 
+def test_encoder_forgets_rare_pieces_and_keeps_common_ones():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    encoder, ids_of = PieceEncoder(P.path("byte_bpe_50k.json")), plain("byte_bpe_50k.json")
+    for _ in range(3):
+        texts = [" ".join(["often"] * 3 + [word() for _ in range(60_000)]), "whole\x00" + word() * 5000]
+        ids, n = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == ids_of(texts)
+        encoder.forget()
+        assert " often" in encoder.known and len(encoder.known) < 100
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 70_000), st.integers(0, 2**32 - 1)), max_size=1500))
 def test_codes_round_trip_and_random_access(values):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import give_back, slices, written
-from .tokens import encoder
+from .tokens import encoder, forget_rare
 
 CAPACITY = 2048
 #: Texts are encoded in groups of about so many characters, whose pieces a worker holds as objects.
@@ -47,7 +47,7 @@ def cut_lengths(tokens: int, capacity: int = CAPACITY, slack: float = SLACK) ->
 
 def _cut_partition(vocabulary: str, end_id: int, capacity: int, slack: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, part = encoder(vocabulary), TaskContext.get().partitionId()
+        encode, part = encoder(vocabulary).encode, TaskContext.get().partitionId()
         table = [cut_lengths(n, capacity, slack) for n in range(capacity)]
         tail_lengths = [np.array([n for _, n in t], np.int64) for t in table]
         tail_kinds = [np.array([j for j, _ in t], np.int64) for t in table]
@@ -55,7 +55,7 @@ def _cut_partition(vocabulary: str, end_id: int, capacity: int, slack: float):
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
             for low, high in slices(pa.compute.utf8_length(texts).to_numpy(), GROUP_CHARS):
-                flat, n = tool.encode(texts[low:high].to_pylist())
+                flat, n = encode(texts[low:high].to_pylist())
                 ids, n = np.insert(flat, np.cumsum(n), end_id).astype("<u4"), n + 1
                 full, rest = n // capacity, n % capacity
                 many = full + np.array([len(tail_lengths[r]) for r in rest])
@@ -79,7 +79,7 @@ def _cut_partition(vocabulary: str, end_id: int, capacity: int, slack: float):
                     names=[c.split()[0] for c in PIECES.split(", ")],
                 )
             give_back()
-        tool.forget()
+        forget_rare()
         give_back()
 
     return run

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import give_back
-from .tokens import encoder, groups
+from .tokens import encoder, forget_rare, groups
 
 MAGIC = b"DAC1"
 CHUNK_BITS = 8
@@ -98,7 +98,7 @@ class Codes:
 
 def _pack_partition(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, part, block = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encode, part, block = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0
         docs: list = []
         counts: list[np.ndarray] = []
         held: list[np.ndarray] = []
@@ -117,7 +117,7 @@ def _pack_partition(vocabulary: str, end_id: int):
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for low, high in groups(texts.to_pylist()):
-                flat, n = tool.encode(texts[low:high].to_pylist())
+                flat, n = encode(texts[low:high].to_pylist())
                 held.append(np.insert(flat, np.cumsum(n), end_id).astype(np.uint32))
                 counts.append(n + 1)
                 docs += doc_ids[low:high]
@@ -127,7 +127,7 @@ def _pack_partition(vocabulary: str, end_id: int):
                     block, docs, counts, held, size = block + 1, [], [], [], 0
         if docs:
             yield close()
-        tool.forget()
+        forget_rare()
         give_back()
 
     return run

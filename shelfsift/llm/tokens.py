@@ -147,6 +147,12 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
+def forget_rare() -> None:
+    """What a task ends with: every encoder of this worker forgets the pieces it seldom met."""
+    for tool in _encoders.values():
+        tool.forget()
+
+
 def groups(texts: Sequence[str], chars: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
     """(from, to) runs of texts of about ``chars`` characters."""
     start = held = 0

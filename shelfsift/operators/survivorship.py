@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -38,14 +39,14 @@ def length_rank() -> Column:
     return F.when(seconds > 0, F.bround(seconds, 0).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
-def rank_order() -> list[Column]:
+def rank_order(quality: Column | None = None, path: Column | None = None) -> list[Column]:
     """Ascending keys of the preference: sound, better picture, longer, smaller, path, position."""
     return [
         F.when(F.col("integrity") == "Corrupt", 1).otherwise(0),
-        -quality_of(),
+        -(quality_of() if quality is None else quality),
         -length_rank(),
         F.col("size_bytes"),
-        F.upper("full_path"),
+        F.upper("full_path") if path is None else path,
         F.col("ord"),
         F.col("id"),
     ]
@@ -264,26 +265,29 @@ PAIR_MEASURES = {
 }
 
 
+def policy_columns(policies: dict[str, tuple[Sequence[PairRule], Sequence[RuleStep]]]) -> dict[str, Column]:
+    """What the verdicts of ``policies`` read of a copy: the values of steps, and the columns and measures that pair rules name."""
+    values = {f"v{n}_{i}": rule_value(step) for n, (rules, steps) in enumerate(policies.values()) if not rules for i, step in enumerate(steps)}
+    asked = " ".join(rule.condition for rules, _ in policies.values() for rule in rules)
+    # A condition may also take f1 or f2 as a whole.
+    whole = re.search(r"\bf[12]\b(?!`?\s*\.)", asked, re.IGNORECASE) or "*" in asked
+    known = {**{c: F.col(c) for c in ("full_path", "file_name", "kind", "frames")}, **{c: make() for c, make in PAIR_MEASURES.items()}}
+    return values | {c: value for c, value in known.items() if whole or re.search(rf"\b{c}\b", asked, re.IGNORECASE)}
+
+
 def choose_by_policies(files: DataFrame, keys: Sequence[str], policies: dict[str, tuple[Sequence[PairRule], Sequence[RuleStep]]], order: Sequence[str], **fold_options) -> DataFrame:
     """Fold the copies of each key by the rules of its category: pair rules where there are some, else steps.
 
     ``files`` carries ``rule_category``, one of the names of ``policies``. All categories are folded
-    together: the verdict of a pair is that of its category, over the values that any of them needs.
+    together: the verdict of a pair is that of its category. ``policy_columns`` that are there already are taken as they are.
     """
-    values, branches = {}, []
-    for n, (name, (rules, steps)) in enumerate(policies.items()):
-        if rules:
-            verdict = pair_verdict(rules)
-        else:
-            own = F.col("rule_category") == name
-            values |= {f"v{n}_{i}": F.when(own, rule_value(step)) for i, step in enumerate(steps)}
-            verdict = steps_verdict(steps, f"v{n}_")
-        branches.append(f"WHEN {n} THEN {verdict}")
+    branches = [f"WHEN {n} THEN {pair_verdict(rules) if rules else steps_verdict(steps, f'v{n}_')}" for n, (rules, steps) in enumerate(policies.values())]
     number = F.lit(None).cast("int")
     for n, name in enumerate(policies):
         number = F.when(F.col("rule_category") == name, n).otherwise(number)
-    rows = files.withColumns({"rule_number": number, **values, **{c: make() for c, make in PAIR_MEASURES.items()}})
-    names = ["id", "full_path", "file_name", "kind", "frames", "rule_number", *values, *PAIR_MEASURES]
+    read = policy_columns(policies)
+    rows = files.withColumns({"rule_number": number, **{c: value for c, value in read.items() if c not in files.columns}})
+    names = ["id", "rule_number", *read]
     result = fold(rows, keys, order, names, f"CASE f1.rule_number {' '.join(branches)} ELSE 0 END", **fold_options)
     kept = ~F.col("undecided") | (F.col("copies") == 1)
     return result.select(*keys, "copies", F.when(kept, F.col("winner.id")).alias("winner_id"), (~kept).alias("undecided"))

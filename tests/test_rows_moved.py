@@ -36,3 +36,12 @@ def test_rules_carry_what_they_name():
     steps = {"A": ((), (RuleStep("Size"), RuleStep("Length"))), "B": ((PairRule("f1.sound AND f1.`file_name` < f2.file_name", "keep1"),), ())}
     assert sorted(policy_columns(steps)) == ["file_name", "sound", "v0_0", "v0_1"]
     assert {"full_path", "frames", "size"} <= set(policy_columns({"B": ((PairRule("f1 = f2", "keep1"),), ())}))
+
+
+def test_doomed_files_are_planned_once(plan_of):
+    assert plan_of("doomed_files").count("planned_dir") == plan_of("settle_jobs").count("planned_dir") > 0
+
+
+def test_title_duplicates_are_settled_without_stored_rows(plan_of):
+    plan = plan_of("settle_title_duplicates")
+    assert moves(plan, "title_group") + moves(plan, "job_key") == 2

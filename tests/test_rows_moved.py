@@ -45,3 +45,21 @@ def test_doomed_files_are_planned_once(plan_of):
 def test_title_duplicates_are_settled_without_stored_rows(plan_of):
     plan = plan_of("settle_title_duplicates")
     assert moves(plan, "title_group") + moves(plan, "job_key") == 2
+
+
+def test_twins_move_by_episode_alone(plan_of):
+    for name in ("resolve_episode_conflicts", "settle_episode_rivals"):
+        plan = plan_of(name)
+        assert moves(plan, "_hash") == 1 and not moves(plan, "id") and "planned" not in plan
+
+
+def test_conflicts_of_some_files(spark):
+    from shelfsift.plans import jobs as J
+    from shelfsift.registered.planning import LIBRARY, P, _fingerprinted
+
+    rows = _fingerprinted(spark, SF).withColumn("under_root", P.under_library(LIBRARY.roots()))
+    some = rows.filter("ord % 4 = 1")
+    due = {r.id for r in some.select("id").collect()}
+    every = {tuple(r) for r in J.resolve_episode_conflicts(rows, rows, LIBRARY).collect()}
+    # Listed twice, a file is still to be filed once.
+    assert sorted(map(tuple, J.resolve_episode_conflicts(rows, some.union(some), LIBRARY).collect())) == sorted(r for r in every if r[0] in due)

@@ -63,3 +63,8 @@ def test_conflicts_of_some_files(spark):
     every = {tuple(r) for r in J.resolve_episode_conflicts(rows, rows, LIBRARY).collect()}
     # Listed twice, a file is still to be filed once.
     assert sorted(map(tuple, J.resolve_episode_conflicts(rows, some.union(some), LIBRARY).collect())) == sorted(r for r in every if r[0] in due)
+
+
+def test_neighbours_move_by_title(plan_of):
+    plan = plan_of("are_copies_by_mode")
+    assert moves(plan, "parsed_title") == 1 and "rangepartitioning" not in plan

@@ -68,3 +68,13 @@ def test_conflicts_of_some_files(spark):
 def test_neighbours_move_by_title(plan_of):
     plan = plan_of("are_copies_by_mode")
     assert moves(plan, "parsed_title") == 1 and "rangepartitioning" not in plan
+
+
+def test_copies_that_lie_by_content_stay_there(spark):
+    from shelfsift.operators.edits import CONTENT, content_place, propagate_duplicate_metadata
+    from shelfsift.testtables import files
+
+    rows = files(spark, SF)
+    placed = propagate_duplicate_metadata(rows.withColumn(CONTENT, content_place()))
+    assert moves(placed._jdf.queryExecution().executedPlan().toString(), CONTENT) == 1
+    assert sorted(map(repr, placed.collect())) == sorted(map(repr, propagate_duplicate_metadata(rows).collect()))

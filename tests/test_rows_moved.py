@@ -78,3 +78,7 @@ def test_copies_that_lie_by_content_stay_there(spark):
     placed = propagate_duplicate_metadata(rows.withColumn(CONTENT, content_place()))
     assert moves(placed._jdf.queryExecution().executedPlan().toString(), CONTENT) == 1
     assert sorted(map(repr, placed.collect())) == sorted(map(repr, propagate_duplicate_metadata(rows).collect()))
+
+
+def test_names_are_read_once(plan_of):
+    assert "_masked" not in plan_of("renumber_catalogue")

@@ -82,3 +82,24 @@ def test_copies_that_lie_by_content_stay_there(spark):
 
 def test_names_are_read_once(plan_of):
     assert "_masked" not in plan_of("renumber_catalogue")
+
+
+def test_refresh_writes_rows_once_before_titles(spark, monkeypatch):
+    from shelfsift.plans import refresh
+    from shelfsift.registered.folders import rules
+    from shelfsift.testtables import files
+
+    written = []
+    monkeypatch.setattr(refresh, "stored", lambda df: written.append(df) or df)
+    refresh.refresh_catalog(files(spark, SF), [], [], rules(spark, SF), rules(spark, SF), 2026)
+    assert len(written) == 1
+
+
+def test_years_and_genres_ask_once(spark):
+    from shelfsift.operators import titles as T
+    from shelfsift.registered.titles import titles
+    from shelfsift.testtables import files
+
+    rows, known = files(spark, SF).withColumn("year", F.when(F.col("ord") % 3 > 0, F.col("year"))), titles(spark, SF)
+    both = T.fill_years_and_genres(rows, known)
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, T.fill_genres(T.fill_years(rows, known), known).collect()))

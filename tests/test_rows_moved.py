@@ -103,3 +103,15 @@ def test_years_and_genres_ask_once(spark):
     rows, known = files(spark, SF).withColumn("year", F.when(F.col("ord") % 3 > 0, F.col("year"))), titles(spark, SF)
     both = T.fill_years_and_genres(rows, known)
     assert sorted(map(repr, both.collect())) == sorted(map(repr, T.fill_genres(T.fill_years(rows, known), known).collect()))
+
+
+def test_flags_move_digests(spark):
+    from shelfsift.operators.categories import effective_category
+    from shelfsift.operators.duplicates import duplicate_flags
+    from shelfsift.testtables import files
+
+    rows = files(spark, SF)
+    plan = duplicate_flags(rows, rows.filter("ord % 5 = 0"), effective_category())._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(plan) if "Join LeftOuter" in line and "_content" in line]
+    # What comes out of the join by content stands above it.
+    assert len(joins) == 1 and not any("sha256" in line or "title_group" in line for line in plan[:joins[0] + 1])
